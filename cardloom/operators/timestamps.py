@@ -196,7 +196,7 @@ def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = _sorted(pdf)
     records = [list(x) for x in pdf["__r"]]
     if not records:
-        return pd.DataFrame({"__source": [], "__run": [], "head": [], "tail": [], "costs": []})
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in ("__source", "__run", "head", "tail", "costs")})
     costs = [_paths(records, i)[0] for i in range(len(records[0]))]
     return pd.DataFrame({"__source": [pdf["__source"].iloc[0]], "__run": [pdf["__run"].iloc[0]], "head": [records[0]], "tail": [records[-1]], "costs": [costs]})
 
