@@ -259,7 +259,8 @@ def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table"
     chars = base.select(F.explode(arrow(_char_counts, "array<struct<c:string,n:bigint>>", "__text")).alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n"))
     counts = values.sparkSession.sparkContext.broadcast({r["c"]: r["n"] for r in chars.toLocalIterator()})
     counted = materialise(base.select(F.explode(arrow(_odd_words, "array<string>", "__text")).alias("word")).groupBy("word").count())
-    rated = counted.where(F.col("word").rlike(_SUSPECT.pattern) | F.col("word").contains(LOST)).select(
+    spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rated = counted.repartition(spread, "word").where(F.col("word").rlike(_SUSPECT.pattern) | F.col("word").contains(LOST)).select(
         "word", F.col("count").alias("n"),
         F.explode_outer(arrow(lambda w, n: _readings(w, n, _lattice(counts)), "array<struct<channel:int,text:string,gain:double,runs:int>>", "word", "count")).alias("r"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding
+from . import encoding, residue
 
-QUERIES = {"p7_found": encoding.p7_found, "p7_restored": encoding.p7_restored}
+QUERIES = {"p2_found": residue.p2_found, "p2_reasons": residue.p2_reasons, "p7_found": encoding.p7_found, "p7_restored": encoding.p7_restored}
 SQL: dict[str, str] = {}
