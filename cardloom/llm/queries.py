@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encoding, leakage, residue
+from . import encoding, leakage, pii, residue
 
-QUERIES = {"p2_found": residue.p2_found, "p2_reasons": residue.p2_reasons, "p7_found": encoding.p7_found, "p7_restored": encoding.p7_restored, "p9_found": leakage.p9_found}
+QUERIES = {"p2_found": residue.p2_found, "p2_reasons": residue.p2_reasons, "p7_found": encoding.p7_found, "p7_restored": encoding.p7_restored, "p9_found": leakage.p9_found, "p10_found": pii.p10_found, "p10_redacted": pii.p10_redacted}
 SQL: dict[str, str] = {}
