@@ -10,7 +10,6 @@ segment. Slots and leftovers inside ordinary text are found separately, segment
 
 from __future__ import annotations
 
-import html
 import re
 
 from pyspark.sql import DataFrame, functions as F
@@ -34,7 +33,7 @@ _NUMBER = re.compile(r"\d+")
 
 # What servers, browsers, scripts and page builders say in place of content, lower case, numbers as 0.
 _REASON = r"(?:bad gateway|bad request|forbidden|unauthorized|not found|gone|too many requests|internal server error|service (?:temporarily )?unavailable|gateway time-?out|method not allowed|request time-?out|not implemented)"
-_CODED = re.compile(rf"(?:(?:http(?:/0\.0)?|http status|http error|error|oops,?|fehler|erreur|erro)\s*)?0\s*[:!–(-]*\s*{_REASON}\)?[!.]*|{_REASON}(?:\s*\(0\))?[.!]?|http error 0\.?|error 0\.?|(?:error )?0\s*[–-]\s*the page you requested could not be found\.?")
+_CODED = re.compile(rf"(?:(?:http(?:/0\.0)?|http status|http error|error|oops,?|fehler|erreur|erro)\s*)?0\s*[:!–(-]*\s*{_REASON}\)?[!.]*|{_REASON}(?:\s*\(0\))?[.!]?|http error 0\.?|error 0\.?|(?:error )?0\s*[–-]\s*the page you requested could not be found\.?|sorry, something went wrong on our end\. please try again in a few minutes\.(?: reference [0-9a-f]+)?")
 _MESSAGES = """
 access denied.|you do not have permission to view this resource.|zugriff verweigert – fehler 0|zugriff verweigert.|acceso denegado.|acesso negado.
 accès refusé : vous n’avez pas les droits nécessaires.|접근 권한이 없습니다.|アクセスが拒否されました。
@@ -68,15 +67,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\da-z])|(?<=[。！？])|\n+")
 
 
+_SIGNS = frozenset("{[%<$#_@&")
+
+
 def masked(segment: str) -> str:
-    return " ".join(_NUMBER.sub("0", SLOT.sub("\x01", segment)).lower().split())
+    if not _SIGNS.isdisjoint(segment):
+        segment = SLOT.sub("\x01", segment)
+    return " ".join(_NUMBER.sub("0", segment).lower().split())
 
 
 def segments(text: str | None, blocks) -> list[str]:
     """The parts a value falls into: whole, the blocks that its text has, lines and sentences. Repeats count once."""
     if not text:
         return []
-    text = html.unescape(text) if "&" in text and not SLOT.search(text) else text
     parts = [text.strip()]
     for block in blocks if blocks is not None else ():
         if block and block in text:
@@ -87,7 +90,7 @@ def segments(text: str | None, blocks) -> list[str]:
 
 
 def is_message(template: str) -> bool:
-    return template in MESSAGES or _CODED.fullmatch(template) is not None
+    return template in MESSAGES or len(template) < 120 and _CODED.fullmatch(template) is not None
 
 
 def is_filler(segment: str, words: frozenset) -> bool:
@@ -95,19 +98,39 @@ def is_filler(segment: str, words: frozenset) -> bool:
     return len(tokens) >= 3 and sum(t in words for t in tokens) >= FILLER_SHARE * len(tokens)
 
 
-def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED)) -> str | None:
-    """What a value holds beside content, by itself: 'message', 'filler', 'leftover', 'slot' or None."""
+def leaf_key(template: str) -> tuple[tuple, list[str]]:
+    """The leaf of the prefix tree that a masked value falls into, and its tokens."""
+    tokens = template.split(" ")
+    return (len(tokens), *(tokens[i] if i < len(tokens) else "" for i in range(DEPTH))), tokens
+
+
+def fits(tokens: list[str], pattern: list[str]) -> bool:
+    return all(p in ("*", t) for t, p in zip(tokens, pattern))
+
+
+def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED), leaves: dict | None = None) -> str | None:
+    """What a value holds beside content: 'message', 'filler', 'leftover', 'slot' or None."""
     parts = segments(text, blocks)
+    if not parts:
+        return None
+    dummy = not filler.isdisjoint(w.lower() for w in _WORD.findall(text))
+    left = "NaN" in text or "undefined" in text or "null" in text or "[object" in text
     for p in parts:
-        if is_message(masked(p)):
+        template = masked(p)
+        if is_message(template):
             return "message"
-        if is_filler(p, filler):
+        if leaves:
+            key, tokens = leaf_key(template)
+            if (pattern := leaves.get(key)) and fits(tokens, pattern):
+                return "message"
+        if dummy and is_filler(p, filler):
             return "filler"
-        if _LEFTOVER.search(p):
+        if left and _LEFTOVER.search(p):
             return "leftover"
-    for p in parts[1:] or parts:
-        if SLOT.search(p) and not _ABOUT.search(SLOT.sub(" ", p)) and "\n" not in p:
-            return "slot"
+    if not _SIGNS.isdisjoint(text):
+        for p in parts[1:] or parts:
+            if not _SIGNS.isdisjoint(p) and "\n" not in p and SLOT.search(p) and not _ABOUT.search(SLOT.sub(" ", p)):
+                return "slot"
     return None
 
 
@@ -157,6 +180,10 @@ def message_templates(values: DataFrame) -> DataFrame:
     return rated.where(F.col("own") >= ISOLATION).select(*KEYS, "pattern")
 
 
+#: Message templates up to this many go to every task; beyond, segments are joined with them.
+MOST_LEAVES = 50_000
+
+
 def residue_values(cards: DataFrame, renders: DataFrame) -> DataFrame:
     """(source_table, row_id, field_name, reason) of the values that hold residue or notices.
 
@@ -166,12 +193,16 @@ def residue_values(cards: DataFrame, renders: DataFrame) -> DataFrame:
     values = _values(cards, renders)
     filler = frozenset(FILLER_SEED) | frozenset(r["word"] for r in filler_words(values).toLocalIterator())
     keys = ["source_table", "row_id", "field_name"]
-    alone = values.select(*keys, arrow(lambda t, b: reason(t, b, filler), "string", "text", "blocks").alias("reason")).where(F.col("reason").isNotNull())
-    mined = message_templates(values)
-    parts = values.select(*keys, F.explode(arrow(lambda t, b: [masked(p) for p in segments(t, b)], "array<string>", "text", "blocks")).alias("template"))
-    fits = F.forall(F.zip_with("tokens", "pattern", lambda t, p: (p == "*") | (t == p)), lambda x: x)
-    told = _placed(parts).join(mined, KEYS).where(fits).select(*keys, F.lit("message").alias("reason"))
-    return alone.unionByName(told).groupBy(*keys).agg(F.min("reason").alias("reason"))
+    mined = materialise(message_templates(values))
+    few = mined.count() <= MOST_LEAVES
+    leaves = {tuple(r[k] for k in KEYS): r["pattern"] for r in mined.toLocalIterator()} if few else None
+    shared = values.sparkSession.sparkContext.broadcast((filler, leaves))
+    found = values.select(*keys, arrow(lambda t, b: reason(t, b, *shared.value), "string", "text", "blocks").alias("reason")).where(F.col("reason").isNotNull())
+    if not few:
+        parts = values.select(*keys, F.explode(arrow(lambda t, b: [masked(p) for p in segments(t, b)], "array<string>", "text", "blocks")).alias("template"))
+        same = F.forall(F.zip_with("tokens", "pattern", lambda t, p: (p == "*") | (t == p)), lambda x: x)
+        found = found.unionByName(_placed(parts).join(mined, KEYS).where(same).select(*keys, F.lit("message").alias("reason")))
+    return found.groupBy(*keys).agg(F.min("reason").alias("reason"))
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
