@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, encoding, leakage, pii, residue
+from . import boilerplate, encoding, leakage, pii, residue, truncation
 
-QUERIES = {"p2_found": residue.p2_found, "p2_reasons": residue.p2_reasons, "p3_found": boilerplate.p3_found, "p3_main_bodies": boilerplate.p3_main_bodies, "p7_found": encoding.p7_found, "p7_restored": encoding.p7_restored, "p9_found": leakage.p9_found, "p10_found": pii.p10_found, "p10_redacted": pii.p10_redacted}
+QUERIES = {"p2_found": residue.p2_found, "p2_reasons": residue.p2_reasons, "p3_found": boilerplate.p3_found, "p3_main_bodies": boilerplate.p3_main_bodies, "p5_found": truncation.p5_found, "p5_cut_shares": truncation.p5_cut_shares, "p7_found": encoding.p7_found, "p7_restored": encoding.p7_restored, "p9_found": leakage.p9_found, "p10_found": pii.p10_found, "p10_redacted": pii.p10_redacted}
 SQL: dict[str, str] = {}
