@@ -58,13 +58,15 @@ def bands(words) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - 2**63 for i, row in enumerate(low)]
 
 
-def windows(words: list[str], size: int, known: frozenset | None, least: int) -> list[dict]:
-    """Windows of a document that could hold a sentence, as (no, words)."""
+def windows(words: list[str], size: int, known: frozenset | None, least: int, names: frozenset = frozenset(), least_names: int = 0) -> list[dict]:
+    """Windows of a document that could hold a sentence, as (no, words): they have enough of its kind's words and names."""
     out = []
+    if least_names and sum(w in names for w in set(words)) < least_names:
+        return out
     half = size // 2
     for no, start in enumerate(range(0, max(1, len(words) - half), half)):
         part = words[start : start + size]
-        if len(part) >= LEAST and (known is None or sum(w in known for w in set(part)) >= least):
+        if len(part) >= LEAST and (known is None or sum(w in known for w in set(part)) >= least) and (not least_names or sum(w in names for w in set(part)) >= least_names):
             out.append({"size": size, "no": no, "words": part})
     return out
 
@@ -102,7 +104,7 @@ def item_sentences(items: list[tuple[int, str]]) -> list[dict]:
         words = tokens(s)
         if len(words) < LEAST:
             continue
-        out.append({"item_id": i, "words": words, "facts": [w.isdigit() or w in names for w in words]})
+        out.append({"item_id": i, "words": words, "facts": [w.isdigit() or w in names for w in words], "names": sorted({w for w in words if w in names})})
         for w in set(words):
             counts[w] = counts.get(w, 0) + 1
     for k, s in enumerate(out):
@@ -120,13 +122,14 @@ def leaked_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str
     items = sorted({(r[0], r[1]) for r in benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator()})
     sentences = item_sentences(items)
     schema = "item_id bigint, words array<string>, facts array<boolean>, sentence int, size int, keys array<string>"
-    asked = spark.createDataFrame(sentences, schema) if sentences else spark.createDataFrame([], schema)
+    asked = spark.createDataFrame([{k: v for k, v in s.items() if k != "names"} for s in sentences], schema)
+    names = frozenset(w for s in sentences for w in s["names"])
     known = frozenset(w for s in sentences for w in s["keys"])
-    shared = spark.sparkContext.broadcast((known if len(known) <= MOST_WORDS else None, sorted({s["size"] for s in sentences}), min((len(s["keys"]) for s in sentences), default=0)))
+    shared = spark.sparkContext.broadcast((known if len(known) <= MOST_WORDS else None, sorted({s["size"] for s in sentences}), min((len(s["keys"]) for s in sentences), default=0), names, min((len(s["names"]) for s in sentences), default=0)))
 
     def cut(text):
-        words, (keep, sizes, least) = tokens(text), shared.value
-        return [w for size in sizes for w in windows(words, size, keep, max(1, int(CONTAINED * least)))]
+        words, (keep, sizes, least, own, fewest) = tokens(text), shared.value
+        return [w for size in sizes for w in windows(words, size, keep, max(1, int(CONTAINED * least)), own, fewest)]
 
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text")).where(F.col("doc_id").isNotNull() & (F.length("__text") > 0))
     held = materialise(docs.select("doc_id", F.explode(arrow(cut, "array<struct<size:int,no:int,words:array<string>>>", "__text")).alias("w")).select("doc_id", "w.*"))
