@@ -17,10 +17,14 @@ __all__ = ["arrow", "field_values", "logit", "materialise", "table"]
 def arrow(fn: Callable, returns: str, *cols: Column | str) -> Column:
     """fn(value, ...) per row, carried in Arrow batches; evaluated once even where a filter follows."""
 
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([fn(*row) for row in zip(*series)], index=series[0].index, dtype=object)
+    struct = returns.startswith("struct<")
 
-    run.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    def run(*series):
+        out = [fn(*row) for row in zip(*series)]
+        return pd.DataFrame(out, index=series[0].index) if struct and out else pd.DataFrame(columns=fields) if struct else pd.Series(out, index=series[0].index, dtype=object)
+
+    fields = [f.split(":")[0] for f in returns[7:-1].split(",")] if struct else []
+    run.__annotations__ = {"series": pd.Series, "return": pd.DataFrame if struct else pd.Series}
     return pandas_udf(run, returns).asNondeterministic()(*cols)
 
 

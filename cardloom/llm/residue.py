@@ -184,6 +184,15 @@ def message_templates(values: DataFrame) -> DataFrame:
 MOST_LEAVES = 50_000
 
 
+def residue_model(cards: DataFrame, renders: DataFrame):
+    """What reason() needs beside a text, sent to every task: words of filler, and message templates where they are few."""
+    values = _values(cards, renders)
+    filler = frozenset(FILLER_SEED) | frozenset(r["word"] for r in filler_words(values).toLocalIterator())
+    mined = materialise(message_templates(values))
+    leaves = {tuple(r[k] for k in KEYS): r["pattern"] for r in mined.toLocalIterator()} if mined.count() <= MOST_LEAVES else None
+    return values.sparkSession.sparkContext.broadcast((filler, leaves))
+
+
 def residue_values(cards: DataFrame, renders: DataFrame) -> DataFrame:
     """(source_table, row_id, field_name, reason) of the values that hold residue or notices.
 
