@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from ..session import materialise, table
 
-__all__ = ["arrow", "field_values", "logit", "materialise", "table"]
+__all__ = ["arrow", "bounded_sample", "field_values", "materialise", "table"]
 
 
 def arrow(fn: Callable, returns: str, *cols: Column | str) -> Column:
@@ -45,5 +44,12 @@ def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).where(F.col("row_id").isNotNull() & (F.trim("text") != ""))
 
 
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
+def bounded_sample(df: DataFrame, most: int, total: int, *key: str) -> list:
+    """At most so many rows of df, the same ones wherever they lie.
+
+    A hash of the key thins the rows by their number first: else every task would send its own share of the limit.
+    """
+    every = max(1, total // (3 * most))
+    h = F.xxhash64(*key)
+    return df.withColumn("__h", h).where(F.pmod("__h", F.lit(every)) == 0).orderBy("__h").limit(most).drop("__h").collect()
+

@@ -60,6 +60,8 @@ escriba aquí su título|texto de ejemplo, sustitúyalo|página sin título|escr
 ここに見出しを入力|本文を入力してください|無題のページ|여기에 내용을 입력해 주세요|제목을 입력하세요|제목 없음|null|undefined|nan
 """
 MESSAGES = frozenset(m.strip() for line in _MESSAGES.strip().splitlines() for m in line.split("|") if m.strip())
+#: No known message has more words.
+LONGEST_MESSAGE = 24
 #: Filler: words of which a passage of dummy text consists; more are learnt from the company they keep.
 FILLER_SEED = ("lorem", "ipsum")
 FILLER_SHARE, FILLER_COMPANY = 0.7, 0.25
@@ -73,7 +75,9 @@ _SIGNS = frozenset("{[%<$#_@&")
 def masked(segment: str) -> str:
     if not _SIGNS.isdisjoint(segment):
         segment = SLOT.sub("\x01", segment)
-    return " ".join(_NUMBER.sub("0", segment).lower().split())
+    if any(c in segment for c in "0123456789"):
+        segment = _NUMBER.sub("0", segment)
+    return " ".join(segment.lower().split())
 
 
 def segments(text: str | None, blocks) -> list[str]:
@@ -115,14 +119,16 @@ def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED),
         return None
     dummy = not filler.isdisjoint(w.lower() for w in _WORD.findall(text))
     left = "NaN" in text or "undefined" in text or "null" in text or "[object" in text
+    longest = max(LONGEST_MESSAGE, max((k[0] for k in leaves), default=0)) if leaves else LONGEST_MESSAGE
     for p in parts:
-        template = masked(p)
-        if is_message(template):
-            return "message"
-        if leaves:
-            key, tokens = leaf_key(template)
-            if (pattern := leaves.get(key)) and fits(tokens, pattern):
+        if p.count(" ") < longest:  # a longer segment can be none
+            template = masked(p)
+            if is_message(template):
                 return "message"
+            if leaves:
+                key, tokens = leaf_key(template)
+                if (pattern := leaves.get(key)) and fits(tokens, pattern):
+                    return "message"
         if dummy and is_filler(p, filler):
             return "filler"
         if left and _LEFTOVER.search(p):
