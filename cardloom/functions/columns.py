@@ -245,16 +245,21 @@ def _plain(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", " "))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside another lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def overlap_ratio(text: Column, target: Column) -> Column:
     """Share of the target's words, repeats counted, that the text has."""
     long = lambda c: F.filter(F.split(_plain(F.coalesce(c, F.lit(""))), " "), lambda t: F.length(t) >= 2)
-    have, want = long(text), long(target)
-    return F.when(F.size(want) > 0, F.size(F.filter(want, lambda t: F.array_contains(have, t))) / F.size(want)).otherwise(F.lit(0.0))
+    share = lambda want: let(long(text), lambda have: F.size(F.filter(want, lambda t: F.array_contains(have, t))) / F.size(want))
+    return let(long(target), lambda want: F.when(F.size(want) > 0, share(want)).otherwise(F.lit(0.0)))
 
 
 def keyword_hits(text: Column, words: Column) -> Column:
-    flat = _plain(text)
-    return F.size(F.filter(F.transform(F.coalesce(words, F.array().cast("array<string>")), _plain), lambda k: (k != "") & F.contains(flat, k)))
+    known = F.transform(F.coalesce(words, F.array().cast("array<string>")), _plain)
+    return let(_plain(text), lambda flat: F.size(F.filter(known, lambda k: (k != "") & F.contains(flat, k))))
 
 
 def quality(text: Column, blocks: Column, nodes: Column, title: Column, main: Column, noise: Column, truncated: Column) -> dict[str, Column]:
