@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import table
+from .common import bounded_sample, table
 from .residue import SLOT, reason
 
 #: Intact values of each field that the model is fitted on, the size of its feature space, and the passes over them.
@@ -168,11 +168,12 @@ def truncated_values(cards: DataFrame, renders: DataFrame, pages: DataFrame) ->
     whole = values.where(F.col("text") == F.col("full")).select("source_table", "text", F.lit(True).alias("known"))
     # Titles close without a full stop and are complete: so may a description.
     titles = cards.where(F.length("title") > 3).select(F.lit("cards").alias("source_table"), F.col("title").alias("text"), F.lit(False).alias("known"))
-    sample = whole.unionByName(titles).dropDuplicates(["source_table", "text"]).withColumn("h", F.xxhash64("source_table", "text"))
-    parts = [sample.where((F.col("source_table") == s) & (F.col("known") == k)).orderBy("h").limit(m) for s, k, m in (("cards", True, INTACT), ("cards", False, INTACT // 4), ("render_results", True, INTACT // 2))]
+    sample = whole.unionByName(titles)
+    total = {s: sum(c for (x, _), c in counts.items() if x == s) for s in ("cards", "render_results")}
+    parts = [bounded_sample(sample.where((F.col("source_table") == s) & (F.col("known") == k)), m, total[s], "source_table", "text") for s, k, m in (("cards", True, INTACT), ("cards", False, INTACT // 4), ("render_results", True, INTACT // 2))]
     intact: dict[str, list[tuple[str, bool]]] = {}
     for part in parts:
-        for r in part.collect():
+        for r in {(r["source_table"], r["text"], r["known"]): r for r in part}.values():
             intact.setdefault(r["source_table"], []).append((r["text"], r["known"]))
     model = values.sparkSession.sparkContext.broadcast((fit(intact, piles), piles))
 
