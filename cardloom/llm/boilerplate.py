@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import table
+from .common import bounded_sample, table
 from .trees import Tree, fit_tree
 
 #: Pages whose blocks the tree is fitted on, and its depth.
@@ -101,9 +102,18 @@ def leaves(html: str | None) -> list[tuple[str, str, int, int, str]]:
 
 def words(text: str) -> float:
     """Words of a text; two East Asian characters count as one."""
+    if text.isascii():
+        return len(text.split())
     return len(_CJK.sub(" ", text).split()) + len(_CJK.findall(text)) / 2
 
 
+@lru_cache(maxsize=10_000)
+def hints(name: str) -> tuple[float, float]:
+    """Whether the name of a box speaks of main content, and of other things."""
+    noise = _NOISE_HINT.search(name) is not None
+    return float(_MAIN_HINT.search(name) is not None and not noise), float(noise)
+
+
 def align(texts: list[str], found: list[tuple]) -> list[int]:
     """For each block text the number of its leaf, or -1."""
     norm = [t[1] for t in found]
@@ -161,13 +171,13 @@ def block_rows(texts: list[str], html: str | None) -> np.ndarray:
         distance = k - index[box[head]] if head is not None else 0
         between = order[index[box[head]] + 1 : k] if head is not None and distance > 0 else []
         out[i] = [
-            w[i], link[i], tag[i], float(bool(_END.search(text or ""))), (text or "").count("·") + (text or "").count("|"), sum(c.isdigit() for c in text or ""),
+            w[i], link[i], tag[i], float(bool(_END.search(text or ""))), (text or "").count("·") + (text or "").count("|"), sum(map(str.isdigit, text or "")),
             w[i - 1] if i else -1, link[i - 1] if i else -1, w[i + 1] if i + 1 < n else -1, link[i + 1] if i + 1 < n else -1,
-            np.clip(distance, -6, 6), float(head is not None), float(head is not None and b == box[head]), *s,
+            max(-6, min(6, distance)), float(head is not None), float(head is not None and b == box[head]), *s,
             *((before[1], before[3], before[2]) if before else none), *((after[1], after[3], after[2]) if after else none),
             min(k, 8), min(len(order) - 1 - k, 8), i / n, (n - 1 - i) / n, float(place[i] < 0), len(between), max((stat[x][2] for x in between), default=0.0),
             second[1], second[2], float(headed == k - 2), second[3], third[1], float(headed == k - 3),
-            float(bool(_MAIN_HINT.search(label[i])) and not _NOISE_HINT.search(label[i])), float(bool(_NOISE_HINT.search(label[i]))),
+            *hints(label[i]),
         ]
     return out
 
@@ -213,8 +223,8 @@ def judge(tree: Tree, blocks, html: str | None) -> list[bool]:
 
 def labelled_pages(renders: DataFrame, most: int = LABELLED_PAGES) -> list[tuple[list[str], str]]:
     """A bounded sample of pages for the tree, the same for the same rows wherever they lie."""
-    rows = renders.where(F.col("html").rlike("<(?:article|nav|aside|footer)[ >]|class=\"[a-z]+-[a-z]+")).select(F.xxhash64("render_id", "html").alias("h"), "blocks", "html")
-    return [([t for _, t in text_blocks(r["blocks"])], r["html"]) for r in rows.orderBy("h").limit(most).collect()]
+    rows = renders.where(F.col("html").rlike("<(?:article|nav|aside|footer)[ >]|class=\"[a-z]+-[a-z]+")).select("render_id", "blocks", "html")
+    return [([t for _, t in text_blocks(r["blocks"])], r["html"]) for r in bounded_sample(rows, most, renders.count(), "render_id", "html")]
 
 
 def fitted_tree(renders: DataFrame):
