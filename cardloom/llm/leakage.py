@@ -108,7 +108,7 @@ def item_sentences(items: list[tuple[int, str]]) -> list[dict]:
         for w in set(words):
             counts[w] = counts.get(w, 0) + 1
     for k, s in enumerate(out):
-        s |= {"sentence": k, "size": size_class(len(s["words"])), "keys": sorted({w for w in s["words"] if counts[w] <= COMMON * len(out)})}
+        s |= {"sentence": k, "size": size_class(len(s["words"])), "keys": sorted({w for w in s["words"] if counts[w] <= max(5, COMMON * len(out))})}
     return out
 
 
