@@ -66,6 +66,22 @@ def tidy(text: str | None) -> str:
     return _WS.sub(" ", decode_entities(text)).strip(" ") if text else ""
 
 
+def _dots(path: str) -> str:
+    """A path without '.' and '..'."""
+    out: list[str] = []
+    parts = path.split("/")
+    for i, part in enumerate(parts):
+        if part == "..":
+            if len(out) > 1:
+                out.pop()
+        elif part != ".":
+            out.append(part)
+            continue
+        if i == len(parts) - 1:
+            out.append("")
+    return "/".join(out) or "/"
+
+
 @lru_cache(maxsize=20_000)
 def join_url(base: str, link: str) -> str | None:
     """A link as an absolute URL in canonical form; None if it can't be one."""
@@ -79,7 +95,7 @@ def join_url(base: str, link: str) -> str | None:
         if not host:
             return None
         port = f":{parts.port}" if parts.port and f":{parts.port}" != _PORT[parts.scheme] else ""
-        return urlunsplit((parts.scheme, host + port, quote(parts.path or "/", safe="/%:@!$&'()*+,;=~-._"), quote(parts.query, safe="/%:@!$&'()*+,;=?~-._"), parts.fragment))
+        return urlunsplit((parts.scheme, host + port, quote(_dots(parts.path or "/"), safe="/%:@!$&'()*+,;=~-._"), quote(parts.query, safe="/%:@!$&'()*+,;=?~-._"), parts.fragment))
     except (ValueError, UnicodeError):
         return None
 
