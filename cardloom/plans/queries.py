@@ -378,3 +378,21 @@ def cards_stream(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(pages.schema).parquet(f"{d}/pages.parquet" if pages.inputFiles() and pages.inputFiles()[0].rstrip("/").split("/")[-2] == "pages.parquet" else f"{d}/pages*.parquet")
     write_cards(stream, f"{place}/out", f"{place}/checkpoint", content=False).awaitTermination()
     return spark.read.parquet(f"{place}/out").select("page_id", "provider", "resource_type", "page_kind", "interaction_mode", "title")
+
+
+@query()
+def dom_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of rendered pages below their main box, one node a row."""
+    from ..operators.dom import dom_tree
+
+    df = table(spark, d, "render_results").where(F.col("source") == "dynamic-dom").select("render_id", dom_tree("html", F.lit("https://page.example/"), None, ("article", "[class*=story]"), (".promo-box", "nav", "aside")).alias("t"))
+    return df.select("render_id", F.explode("t").alias("n")).select("render_id", "n.idx", "n.parent", "n.depth", "n.subtree_end", "n.kind", "n.tag", "n.text")
+
+
+@query("SELECT page_id, '<!doctype html><html><head><meta charset=\"utf-8\"><title>' || " + _E.format(c="coalesce(nullif(regexp_replace(t, " + q(f"^{C.WS}+|{C.WS}+$") + ", '', 'g'), ''), 'Preview Document')") + f" || '</title><link rel=\"stylesheet\" href=\"index.css\"></head><body>' || '<p>' || coalesce({s_strip('h')}, '') || '</p></body></html>' AS document FROM (SELECT page_id, {s_first('html', C.RX_TITLE)} AS t, {s_first('html', C.RX_BODY)} AS h FROM pages)")
+def render_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents around the text of pages."""
+    from ..operators.dom import render_document
+
+    df = table(spark, d, "pages").select("page_id", C.first(F.col("html"), C.RX_TITLE).alias("t"), C.first(F.col("html"), C.RX_BODY).alias("h"))
+    return df.select("page_id", render_document(F.col("t"), F.concat(F.lit("<p>"), F.coalesce(C.strip_tags(F.col("h")), F.lit("")), F.lit("</p>"))).alias("document"))
