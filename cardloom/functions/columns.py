@@ -74,8 +74,7 @@ def url_host(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z\d+.-]*://[^/?#]+([^?#]*)", 1)
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z\d+.-]*://[^/?#]+([^?#]*)", 1), "^$", "/")
 
 
 def normalize_host(host: Column) -> Column:
@@ -106,7 +105,10 @@ def extension(path: Column) -> Column:
 
 
 def url_shape(path: Column) -> Column:
-    ext = F.coalesce(extension(path), F.lit(""))
+    return let(F.coalesce(extension(path), F.lit("")), lambda ext: _shape(ext, path))
+
+
+def _shape(ext: Column, path: Column) -> Column:
     return (
         F.when(ext.isin(*IMAGE_EXTENSIONS), "direct-image").when(ext.isin(*VIDEO_EXTENSIONS), "direct-video").when(ext.isin(*AUDIO_EXTENSIONS), "direct-audio")
         .when(path.isin("/", ""), "root").when(F.size(segments(path)) >= 2, "path-document").otherwise("unknown")
@@ -156,9 +158,13 @@ def reading_minutes(words: Column) -> Column:
     return F.when(words.isNotNull(), F.greatest(F.lit(1), F.floor(words / WORDS_PER_MINUTE + 0.5).cast("int")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def excerpt(text: Column) -> Column:
-    t = collapse(text)
-    return F.when(F.length(t) >= 60, F.left(t, F.lit(320)))
+    return let(collapse(text), lambda t: F.when(F.length(t) >= 60, F.left(t, F.lit(320))))
 
 
 def title_candidates(title: Column, least: int) -> Column:
@@ -245,11 +251,6 @@ def _plain(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", " "))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, also where the body uses it inside another lambda."""
-    return F.transform(F.array(value), body)[0]
-
-
 def overlap_ratio(text: Column, target: Column) -> Column:
     """Share of the target's words, repeats counted, that the text has."""
     long = lambda c: F.filter(F.split(_plain(F.coalesce(c, F.lit(""))), " "), lambda t: F.length(t) >= 2)
@@ -267,16 +268,21 @@ def quality(text: Column, blocks: Column, nodes: Column, title: Column, main: Co
     text = F.coalesce(text, F.lit(""))
     n_blocks = F.when(blocks.isNull(), 0).otherwise(F.size(blocks))
     media = F.when(blocks.isNull(), 0).otherwise(F.size(F.filter(blocks, lambda b: b["type"] != "text")))
-    similarity, noisy, mains = overlap_ratio(text, title), keyword_hits(text, noise), keyword_hits(text, main)
-    ratio = F.when(noisy + mains > 0, noisy / (noisy + mains)).otherwise(F.lit(0.0))
+    ratio = lambda n, m: F.when(n + m > 0, n / (n + m)).otherwise(F.lit(0.0))
     clamp = lambda c, hi: F.greatest(F.lit(0.0), F.least(F.lit(float(hi)), c))
-    raw = (
-        clamp(F.length(text) / 1400 * 38, 38) + clamp(n_blocks / 42 * 16, 16) + clamp(media.cast("double"), 3) * 2 + similarity * 16 + clamp(mains.cast("double"), 6) * 4
-        + F.coalesce(clamp(nodes / 1200 * 8, 8), F.lit(0.0)) - ratio * 18 - F.when(truncated, 8).otherwise(0)
-    )
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw + 0.5))).cast("int")
-    grade = F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").otherwise("poor")
-    return {"score": score, "grade": grade, "text_length": F.length(text), "block_count": n_blocks, "media_count": media, "title_similarity": F.round(similarity, 3), "noise_ratio": F.round(ratio, 3), "main_keyword_hits": mains}
+    signals = F.struct(overlap_ratio(text, title).alias("similarity"), keyword_hits(text, noise).alias("noisy"), keyword_hits(text, main).alias("mains"), F.length(text).alias("length"))
+
+    def rate(s: Column) -> Column:
+        raw = (
+            clamp(s["length"] / 1400 * 38, 38) + clamp(n_blocks / 42 * 16, 16) + clamp(media.cast("double"), 3) * 2 + s["similarity"] * 16 + clamp(s["mains"].cast("double"), 6) * 4
+            + F.coalesce(clamp(nodes / 1200 * 8, 8), F.lit(0.0)) - ratio(s["noisy"], s["mains"]) * 18 - F.when(truncated, 8).otherwise(0)
+        )
+        return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw + 0.5))).cast("int")
+
+    score = let(signals, rate)
+    grade = let(score, lambda x: F.when(x >= 80, "excellent").when(x >= 60, "good").when(x >= 40, "fair").otherwise("poor"))
+    similarity, mains = overlap_ratio(text, title), keyword_hits(text, main)
+    return {"score": score, "grade": grade, "text_length": F.length(text), "block_count": n_blocks, "media_count": media, "title_similarity": F.round(similarity, 3), "noise_ratio": F.round(let(F.struct(keyword_hits(text, noise).alias("n"), mains.alias("m")), lambda s: ratio(s["n"], s["m"])), 3), "main_keyword_hits": mains}
 
 
 # Limits and rendering -------------------------------------------------------------------------------------------------
@@ -284,8 +290,7 @@ def quality(text: Column, blocks: Column, nodes: Column, title: Column, main: Co
 
 def clamp_text(c: Column, most: int) -> Column:
     """Collapsed and cut to a length, with an ellipsis in its last place; null for an empty text."""
-    t = F.nullif(collapse(c), F.lit(""))
-    return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most - 1)), F.lit("…"))).otherwise(t)
+    return let(F.nullif(collapse(c), F.lit("")), lambda t: F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most - 1)), F.lit("…"))).otherwise(t))
 
 
 def clamp_raw(c: Column, most: int) -> Column:

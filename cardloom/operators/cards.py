@@ -31,8 +31,9 @@ def _need(df: DataFrame, *columns: str) -> None:
 def bootstrap(df: DataFrame) -> DataFrame:
     """original_url, provider; a URL that is no web address leaves them null and an error."""
     _need(df, "page_id", "url")
-    url = C.normalize_url(F.col("url"))
-    return df.withColumn("original_url", url).withColumn("provider", F.when(url.isNotNull(), C.provider(url))).withColumn("url_error", F.when(url.isNull(), F.when(C.collapse(F.coalesce("url", F.lit(""))) == "", "URL must not be empty").otherwise("Unsupported protocol")))
+    df = df.withColumn("original_url", C.normalize_url(F.col("url")))
+    url = F.col("original_url")
+    return df.withColumn("provider", F.when(url.isNotNull(), C.provider(url))).withColumn("url_error", F.when(url.isNull(), F.when(C.collapse(F.coalesce("url", F.lit(""))) == "", "URL must not be empty").otherwise("Unsupported protocol")))
 
 
 def fetch_static(plugins: Registry = DEFAULTS, options: Options = Options(capture_mode="focused-body"), content: bool = True) -> Stage:
@@ -79,21 +80,25 @@ def classify(plugins: Registry = DEFAULTS) -> Stage:
     def stage(df: DataFrame) -> DataFrame:
         _need(df, "resolved_url", "content_type", "og_type")
         url = F.col("resolved_url")
-        path = C.url_path(url)
+        df = df.withColumn("c_path", C.url_path(url))
+        path = F.col("c_path")
         text = F.col("content.text") if "content" in df.columns else F.lit(None).cast("string")
         words = C.word_count(F.coalesce(text, C.strip_tags(F.col("html"))))
+        silent = ~reduce(lambda a, b: a | b, [F.coalesce(F.length(c) > 0, F.lit(False)) for c in (F.col("og_type"), F.col("description"), F.col("excerpt"), text, F.col("title"))]) & F.col("word_count").isNull()
+        df = df.withColumn("word_count", words)
+        words = F.col("word_count")
         suggests = C.suggests_article(F.col("og_type"), text, F.col("description"), F.col("excerpt"), words)
-        silent = ~reduce(lambda a, b: a | b, [F.coalesce(F.length(c) > 0, F.lit(False)) for c in (F.col("og_type"), F.col("description"), F.col("excerpt"), text, F.col("title"))]) & words.isNull()
-        df = df.withColumn("word_count", words).withColumn("c_type", C.resource_type(path, F.col("content_type"), F.col("og_type"), suggests, silent))
+        df = df.withColumn("c_type", C.resource_type(path, F.col("content_type"), F.col("og_type"), suggests, silent))
         values = plugins.fold("refine_classification", url, F.col("provider"), {"resource_type": F.col("c_type"), "page_kind": C.page_kind(path, F.col("c_type"))})
         df = df.withColumns(values).drop("c_type")
         kind, page = F.col("resource_type"), F.col("page_kind")
         own = C.embed_url(url, kind, page, F.col("oembed_url"), F.col("player_url"))
         df = df.withColumn("c_embed", F.coalesce(own, F.when(F.col("original_url") != url, C.embed_url(F.col("original_url"), kind, page, F.col("oembed_url"), F.col("player_url")))))
         embeddable = F.col("c_embed").isNotNull()
-        play = C.playable(embeddable, kind, F.col("content_type"), path)
+        df = df.withColumn("c_play", C.playable(embeddable, kind, F.col("content_type"), path))
+        play = F.col("c_play")
         values = {"embed_url": F.col("c_embed"), "embeddable": embeddable, "playable": play, "interaction_mode": C.interaction_mode(embeddable, play, kind, page), "player_url": F.col("player_url")}
-        return df.withColumns(plugins.fold("refine_capability", url, F.col("provider"), values)).drop("c_embed")
+        return df.withColumns(plugins.fold("refine_capability", url, F.col("provider"), values)).drop("c_embed", "c_play", "c_path")
 
     return stage
 
@@ -126,8 +131,10 @@ def build(plugins: Registry = DEFAULTS) -> Stage:
         if content:
             long = (F.length("content.text") > TEXT) | (F.length("content.html") > HTML) | (F.size("content.blocks") > BLOCKS)
             quality = C.quality(F.col("content.text"), F.col("content.blocks"), F.col("content.tree_node_count"), F.lit(None).cast("string"), F.lit(list(C.MAIN_KEYWORDS)), F.lit(list(C.NOISE_KEYWORDS)), F.col("content.truncated"))
+            df = df.withColumn("c_score", quality["score"])
+            graded = F.when(F.col("c_score") >= 80, "excellent").when(F.col("c_score") >= 60, "good").when(F.col("c_score") >= 40, "fair").otherwise("poor")
             out += [C.clamp_raw(text, TEXT).alias("content_text"), C.clamp_raw(F.col("content.html"), HTML).alias("content_html"), F.slice("content.blocks", 1, BLOCKS).alias("content_blocks"), F.slice("content.tree", 1, 2000).alias("content_tree"),
-                    (F.col("content.truncated") | long).alias("content_truncated"), F.when(text.isNotNull(), quality["score"]).alias("content_score"), F.when(text.isNotNull(), quality["grade"]).alias("content_grade")]
+                    (F.col("content.truncated") | long).alias("content_truncated"), F.when(text.isNotNull(), F.col("c_score")).alias("content_score"), F.when(text.isNotNull(), graded).alias("content_grade")]
         return df.select(*out)
 
     return stage
