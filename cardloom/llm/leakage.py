@@ -28,6 +28,9 @@ LEAST, COMMON = 6, 0.2
 #: Above this many distinct words of items, windows are no longer thinned by a word list sent to every task.
 MOST_WORDS = 500_000
 
+#: Up to this many sentences their bands go to every task, and documents are searched where they lie; beyond, by joins.
+MOST_SENTENCES = 50_000
+
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|\[(?:b|i|/b|/i)\]")
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -112,7 +115,33 @@ def item_sentences(items: list[tuple[int, str]]) -> list[dict]:
     return out
 
 
-def leaked_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Index:
+    """Bands of sentences, to look windows up in."""
+
+    def __init__(self, sentences: list[dict], known: frozenset, names: frozenset):
+        self.sentences, self.known, self.names = sentences, known, names
+        self.sizes = sorted({s["size"] for s in sentences})
+        self.least = max(1, int(CONTAINED * min((len(s["keys"]) for s in sentences), default=0)))
+        self.fewest = min((len(s["names"]) for s in sentences), default=0)
+        self.buckets: dict[tuple[int, int], list[int]] = {}
+        for k, s in enumerate(sentences):
+            for b in bands(s["keys"]):
+                self.buckets.setdefault((s["size"], b), []).append(k)
+
+    def items(self, text: str | None) -> list[int]:
+        """The items of which a text holds a sentence."""
+        words, out = tokens(text), set()
+        for size in self.sizes:
+            for w in windows(words, size, self.known, self.least, self.names, self.fewest):
+                found = {k for b in bands([x for x in w["words"] if x in self.known]) for k in self.buckets.get((size, b), ())}
+                for k in found:
+                    s = self.sentences[k]
+                    if s["item_id"] not in out and contains(w["words"], s["words"], s["facts"]):
+                        out.add(s["item_id"])
+        return sorted(out)
+
+
+def leaked_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_sentences: int = MOST_SENTENCES) -> DataFrame:
     """(item_id, doc_id) of every document that holds a whole sentence of an item.
 
     Items are a set of evaluation items that the driver can hold. Null and empty texts on either side hold nothing, null
@@ -125,13 +154,17 @@ def leaked_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str
     asked = spark.createDataFrame([{k: v for k, v in s.items() if k != "names"} for s in sentences], schema)
     names = frozenset(w for s in sentences for w in s["names"])
     known = frozenset(w for s in sentences for w in s["keys"])
+    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text")).where(F.col("doc_id").isNotNull() & (F.length("__text") > 0))
+    if len(sentences) <= most_sentences:
+        index = spark.sparkContext.broadcast(Index(sentences, known, names))
+        held = docs.select("doc_id", F.explode(arrow(lambda t: index.value.items(t), "array<bigint>", "__text")).alias("item_id"))
+        return held.select("item_id", "doc_id").distinct()
     shared = spark.sparkContext.broadcast((known if len(known) <= MOST_WORDS else None, sorted({s["size"] for s in sentences}), min((len(s["keys"]) for s in sentences), default=0), names, min((len(s["names"]) for s in sentences), default=0)))
 
     def cut(text):
         words, (keep, sizes, least, own, fewest) = tokens(text), shared.value
         return [w for size in sizes for w in windows(words, size, keep, max(1, int(CONTAINED * least)), own, fewest)]
 
-    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text")).where(F.col("doc_id").isNotNull() & (F.length("__text") > 0))
     held = materialise(docs.select("doc_id", F.explode(arrow(cut, "array<struct<size:int,no:int,words:array<string>>>", "__text")).alias("w")).select("doc_id", "w.*"))
 
     def keys(words):

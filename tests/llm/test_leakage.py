@@ -1,3 +1,5 @@
+import pytest
+
 from cardloom.llm import leakage as L
 
 ITEM = "Entry to Rasmere costs 90 pennies for every 87 tubs, but Dunshaw wants only 92 for the last 106 of damp candles. A barge leaves Yarshaw at 5:59 with 257 sacks of finest slate tiles and ties up at Ulmcombe after 99 locks."
@@ -5,14 +7,15 @@ ONE, TWO = ITEM.split(". ")[0] + ".", ITEM.split(". ")[1]
 FILL = "nothing to see in these words at all, "
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1000, 0])
+def test_leaks_against_brute_force(spark, most):
     texts = {
         1: ONE, 2: FILL * 40 + TWO.upper() + FILL * 30, 3: "<p>" + ONE.replace(" ", "&nbsp;\n") + "</p>", 4: ONE.replace("wants only", "asks merely"), 5: ONE.replace("90", "91"), 6: ONE.replace("Dunshaw", "Selshaw"),
         7: " ".join(ONE.split()[:9]), 8: "", 9: None, 10: FILL * 2000, 11: "Entry to Ulmcombe costs 90 pennies for every 87 tubs, but Yarshaw wants only 92 for the last 106 of damp candles.",
     }
     docs = spark.createDataFrame([(i, t, 0) for i, t in texts.items()] + [(1, ONE, 0), (None, ONE, 0)], "doc_id bigint, text string, size int")
     items = spark.createDataFrame([(7, ITEM), (8, None), (None, ITEM), (9, "")], "item_id bigint, text string")
-    got = sorted(tuple(r) for r in L.leaked_documents(docs, items).collect())
+    got = sorted(tuple(r) for r in L.leaked_documents(docs, items, most_sentences=most).collect())
     sentences = L.item_sentences([(7, ITEM)])
     brute = sorted((7, i) for i, t in texts.items() if any(L.contains(L.tokens(t), s["words"], s["facts"]) for s in sentences))
     assert got == brute == [(7, 1), (7, 2), (7, 3), (7, 4)]
