@@ -88,8 +88,12 @@ def segments(text: str | None, blocks) -> list[str]:
     for block in blocks if blocks is not None else ():
         if block and block in text:
             parts.append(block.strip())
-    for p in list(parts):
+    # Blocks that make up the text are split in its place.
+    covered = sum(map(len, parts[1:])) >= 0.9 * len(parts[0])
+    for p in parts[1:] if covered else list(parts):
         parts += [x.strip() for x in _SENTENCE.split(p)]
+    if covered:
+        parts += [x.strip() for x in _SENTENCE.split(parts[0][-200:])]
     return list(dict.fromkeys(p for p in parts if p))
 
 
@@ -117,7 +121,8 @@ def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED),
     parts = segments(text, blocks)
     if not parts:
         return None
-    dummy = not filler.isdisjoint(w.lower() for w in _WORD.findall(text))
+    low = text.lower()
+    dummy = any(w in low for w in filler)
     left = "NaN" in text or "undefined" in text or "null" in text or "[object" in text
     longest = max(LONGEST_MESSAGE, max((k[0] for k in leaves), default=0)) if leaves else LONGEST_MESSAGE
     for p in parts:
