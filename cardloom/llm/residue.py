@@ -116,7 +116,7 @@ def fits(tokens: list[str], pattern: list[str]) -> bool:
     return all(p in ("*", t) for t, p in zip(tokens, pattern))
 
 
-def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED), leaves: dict | None = None) -> str | None:
+def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED), leaves: dict | None = None, longest: int = LONGEST_MESSAGE) -> str | None:
     """What a value holds beside content: 'message', 'filler', 'leftover', 'slot' or None."""
     parts = segments(text, blocks)
     if not parts:
@@ -124,7 +124,6 @@ def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED),
     low = text.lower()
     dummy = any(w in low for w in filler)
     left = "NaN" in text or "undefined" in text or "null" in text or "[object" in text
-    longest = max(LONGEST_MESSAGE, max((k[0] for k in leaves), default=0)) if leaves else LONGEST_MESSAGE
     for p in parts:
         if p.count(" ") < longest:  # a longer segment can be none
             template = masked(p)
@@ -195,13 +194,19 @@ def message_templates(values: DataFrame) -> DataFrame:
 MOST_LEAVES = 50_000
 
 
-def residue_model(cards: DataFrame, renders: DataFrame):
-    """What reason() needs beside a text, sent to every task: words of filler, and message templates where they are few."""
-    values = _values(cards, renders)
+def _model(values: DataFrame):
+    """What reason() needs beside a text, sent to every task; and the leaves as a table where they are too many for that."""
     filler = frozenset(FILLER_SEED) | frozenset(r["word"] for r in filler_words(values).toLocalIterator())
     mined = materialise(message_templates(values))
-    leaves = {tuple(r[k] for k in KEYS): r["pattern"] for r in mined.toLocalIterator()} if mined.count() <= MOST_LEAVES else None
-    return values.sparkSession.sparkContext.broadcast((filler, leaves))
+    few = mined.count() <= MOST_LEAVES
+    leaves = {tuple(r[k] for k in KEYS): r["pattern"] for r in mined.toLocalIterator()} if few else {}
+    longest = max([LONGEST_MESSAGE, *(k[0] for k in leaves)])
+    return values.sparkSession.sparkContext.broadcast((filler, leaves, longest)), None if few else mined
+
+
+def residue_model(cards: DataFrame, renders: DataFrame):
+    """What reason() needs beside a text, for operators that only leave such values out."""
+    return _model(_values(cards, renders))[0]
 
 
 def residue_values(cards: DataFrame, renders: DataFrame) -> DataFrame:
@@ -211,14 +216,10 @@ def residue_values(cards: DataFrame, renders: DataFrame) -> DataFrame:
     matter. Very long texts are cut into segments, never shortened.
     """
     values = _values(cards, renders)
-    filler = frozenset(FILLER_SEED) | frozenset(r["word"] for r in filler_words(values).toLocalIterator())
     keys = ["source_table", "row_id", "field_name"]
-    mined = materialise(message_templates(values))
-    few = mined.count() <= MOST_LEAVES
-    leaves = {tuple(r[k] for k in KEYS): r["pattern"] for r in mined.toLocalIterator()} if few else None
-    shared = values.sparkSession.sparkContext.broadcast((filler, leaves))
+    shared, mined = _model(values)
     found = values.select(*keys, arrow(lambda t, b: reason(t, b, *shared.value), "string", "text", "blocks").alias("reason")).where(F.col("reason").isNotNull())
-    if not few:
+    if mined is not None:
         parts = values.select(*keys, F.explode(arrow(lambda t, b: [masked(p) for p in segments(t, b)], "array<string>", "text", "blocks")).alias("template"))
         same = F.forall(F.zip_with("tokens", "pattern", lambda t, p: (p == "*") | (t == p)), lambda x: x)
         found = found.unionByName(_placed(parts).join(mined, KEYS).where(same).select(*keys, F.lit("message").alias("reason")))

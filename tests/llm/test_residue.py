@@ -19,7 +19,9 @@ def test_blocks_are_segments():
     assert R.reason("Menu Home Page not found Back", ["Menu Home", "Page not found", "Back"]) == "message"
 
 
-def test_mined_template_is_found_in_a_page(spark):
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_mined_template_is_found_in_a_page(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "MOST_LEAVES", most)
     notice = "Sorry folks, our hamster left the wheel again"
     words = [f"word{i} of note{i} number {i}" for i in range(400)]
     cards = [(i, 1, "p", w, None) for i, w in enumerate(words)] + [(1000 + i, 1, "p", notice, notice) for i in range(6)] + [(None, None, None, "TBD", None)]
