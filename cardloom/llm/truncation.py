@@ -2,7 +2,7 @@
 
 Intact values are cut artificially, at limits and anywhere, which gives positives of known kind; a logistic regression
 over hashed features of how a value closes, its punctuation, its length and the lengths at which its field piles up, and
-of whether a longer form of it is known, is fitted on them and scores every record. Marks put after the cut are taken
+of whether a longer form of it is known or its html breaks off, is fitted on them and scores every record. Marks put after the cut are taken
 off first. What stops at the end of a sentence, or of a line of its page, is not cut for this purpose.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import bounded_sample, table
+from .common import arrow, bounded_sample, materialise, table
 from .residue import SLOT, reason
 
 #: Intact values of each field that the model is fitted on, the size of its feature space, and the passes over them.
@@ -31,6 +32,10 @@ _SLOT_TAIL = re.compile(rf"\s*(?:[|–:-]\s*)?(?:{SLOT.pattern})\s*$")
 _END = re.compile(r"(?:[.!?。！？]|€‚|\x80\x82)[)\]”’\"'»›“」』\x9d]*(?:€\x9d|\x80\x9d)?[.]?$|(?:€‚|ã\x80\x82|\x81B|��B|��B|¡B|¡£)$")
 _TERMINATOR = re.compile(r"[.!?](?=\s)|[。！？]")
 _WORD = re.compile(r"[^\W_]+")
+_INLINE_TAG = re.compile(r"(?i)<!--.*?-->|</?(?:a|abbr|b|bdi|cite|code|em|i|kbd|mark|q|s|small|span|strong|sub|sup|time|u)\b[^>]*>", re.S)
+_BLOCK_TAG = re.compile(r"<[^>]*>?")
+#: A last line shorter than this is looked for in no other form of its page: others begin like it by chance.
+LEAST_BYTES = 24
 _OPEN = {"(": ")", "[": "]", "“": "”", "„": "“", "«": "»", "「": "」"}
 
 
@@ -47,8 +52,8 @@ def ends_whole(part: str) -> bool:
     return _END.search(part.rstrip()) is not None
 
 
-def hashed(text: str, field: str, pile: float, longer: int) -> list[int]:
-    """Feature numbers of a value. longer: 1 if it is a proper beginning of a known form, 0 if a known form is no longer, -1 if none is known."""
+def hashed(text: str, field: str, pile: float, longer: int, broken: bool = False) -> list[int]:
+    """Feature numbers of a value. longer: 1 if it is a proper beginning of a known form, 0 if a known form is no longer, -1 if none is known; broken: its html breaks off within text."""
     part, mark = kept(text)
     part = _TAIL.sub("", part)
     words = _WORD.findall(part)
@@ -58,7 +63,7 @@ def hashed(text: str, field: str, pile: float, longer: int) -> list[int]:
     named = [
         f"end:{part[-1:]}", f"end3:{part[-3:].lower()}", f"kind:{_kind(part[-1:])}{_kind(part[-2:-1])}", f"word:{last.lower()}", f"size:{min(len(last), 6)}", f"whole:{ends_whole(part)}", f"mark:{mark}", f"many:{min(sentences, 3)}",
         f"whole:{ends_whole(part)}:many:{min(sentences, 2)}", f"long:{min(int(math.log2(n + 1) * 2), 24)}", f"limit:{len(text) in LIMITS or n in LIMITS}", f"pile:{int(min(pile, 12))}", f"open:{any(part.count(a) > part.count(b) for a, b in _OPEN.items())}",
-        f"longer:{longer}", f"longer:{longer}:whole:{ends_whole(part)}", f"longer:{longer}:mark:{mark}", f"comma:{part[-1:] in ',;:、，'}", f"few:{min(len(words), 8)}:{sentences > 0}", "bias",
+        f"longer:{longer}", f"longer:{longer}:whole:{ends_whole(part)}", f"longer:{longer}:mark:{mark}", f"broken:{broken}", f"comma:{part[-1:] in ',;:、，'}", f"few:{min(len(words), 8)}:{sentences > 0}", "bias",
     ]
     return [xxhash.xxh32_intdigest(f"{field}|{f}") % DIM for f in named]
 
@@ -93,6 +98,9 @@ def fit(intact: dict[str, list[tuple[str, bool]]], piles: dict[tuple[str, int],
                 pile = float(rng.integers(2, 9)) if len(part) in LIMITS else piles.get((field, len(part)), 0.0)
                 rows.append(hashed(part, field, pile, 1 if known and rng.random() < 0.8 else -1))
                 ys.append(1.0)
+                if field == "render_results":  # the same cut in transfer: html and blocks end there too
+                    rows.append(hashed(part, field, 0.0, 1 if rng.random() < 0.2 else -1, True))
+                    ys.append(1.0)
     weights = np.zeros(DIM)
     if not rows:
         return weights
@@ -109,8 +117,8 @@ def fit(intact: dict[str, list[tuple[str, bool]]], piles: dict[tuple[str, int],
     return weights
 
 
-def score(weights: np.ndarray, text: str, field: str, pile: float, longer: int) -> float:
-    return float(1 / (1 + np.exp(-np.clip(weights[hashed(text, field, pile, longer)].sum(), -30, 30))))
+def score(weights: np.ndarray, text: str, field: str, pile: float, longer: int, broken: bool = False) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[hashed(text, field, pile, longer, broken)].sum(), -30, 30))))
 
 
 def relation(text: str | None, full: str | None) -> int:
@@ -125,32 +133,58 @@ def relation(text: str | None, full: str | None) -> int:
 
 
 def inside(text: str, lines: list[str] | None) -> bool:
-    """Whether the kept part stops inside a line of its page; True where the page is not known."""
+    """Whether the kept part stops inside a line of its page; True where that is not known, as at the end of all lines."""
     part = kept(text)[0]
     if not lines:
         return True
-    at, rest = 0, " ".join(part.split())
-    for line in lines:
-        line = " ".join((line or "").split())
+    rest, lines = " ".join(part.split()), [x for line in lines if (x := " ".join((line or "").split()))]
+    for at, line in enumerate(lines):
         if rest == line:
-            return False
-        if not rest.startswith(line + " ") and line:
+            return at == len(lines) - 1
+        if not rest.startswith(line + " "):
             return True
-        rest = rest[len(line) + 1 :] if line else rest
-        at += 1
+        rest = rest[len(line) + 1 :]
     return True
 
 
+def page_lines(html: str) -> list[str]:
+    """Lines of a page's html: what stands between tags that are not inline, without comments."""
+    return [x for part in _BLOCK_TAG.split(_INLINE_TAG.sub("", html)) if (x := " ".join(unescape(part).split()))]
+
+
+def continued(last: str, lines: list[str]) -> bool:
+    """Whether a line of another form of the page goes on where the last line of a value stops."""
+    part = re.sub(r"�+$", "", _TAIL.sub("", kept(" ".join(last.split()))[0]))
+    return len(part.encode()) >= LEAST_BYTES and any(len(x) > len(part) and x.startswith(part) for x in lines)
+
+
+def _texts(blocks: str = "blocks"):
+    return F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])
+
+
+def _continued(renders: DataFrame, pages: DataFrame) -> DataFrame:
+    """(row_id, more) of the renders whose last block goes on in the page's html or in another capture of the page."""
+    ends = renders.where(F.col("render_id").isNotNull() & F.col("page_id").isNotNull() & ~F.col("text").rlike(r"[.!?。！？]\s*$")).select("page_id", F.col("render_id").alias("row_id"), F.get(F.reverse(F.filter(_texts(), lambda t: F.trim(t) != "")), F.lit(0)).alias("last"))
+    ends = ends.where(F.octet_length("last") >= LEAST_BYTES).distinct()
+    html = pages.where(F.col("page_id").isNotNull() & F.col("html").isNotNull()).select("page_id", "html", F.lit(None).cast("array<string>").alias("lines"))
+    captures = renders.where(F.col("page_id").isNotNull()).select("page_id", F.lit(None).cast("string").alias("html"), _texts().alias("lines"))
+    more = arrow(lambda last, html, lines: continued(last, page_lines(html) if html is not None else [" ".join((x or "").split()) for x in lines] if lines is not None else []), "boolean", "last", "html", "lines")
+    return ends.join(html.unionByName(captures), "page_id").select("row_id", more.alias("more")).where("more").distinct()
+
+
 def _values(cards: DataFrame, renders: DataFrame, pages: DataFrame) -> DataFrame:
-    """(source_table, row_id, page_id, text, full, lines): full is the longer form that is known, lines the blocks of a render."""
+    """(source_table, row_id, page_id, text, full, lines, broken, more): full is the longer form that is known, lines the blocks of a render, broken whether its html breaks off within text, more whether another form of the page goes on there."""
     meta = F.regexp_extract("html", '(?i)<meta\\s+name="description"\\s+content="([^"]*)"', 1)
     plain = F.replace(F.replace(F.replace(F.replace(meta, F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
     known = pages.where(F.col("page_id").isNotNull() & F.col("html").isNotNull()).select("page_id", plain.alias("full")).where(F.col("full") != "").groupBy("page_id").agg(F.max("full").alias("full"))
-    blocks = F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"])
     own = cards.where(F.col("card_id").isNotNull() & (F.trim("description") != "")).select("card_id", "page_id", "description").join(known, "page_id", "left")
-    left = own.select(F.lit("cards").alias("source_table"), F.col("card_id").alias("row_id"), "page_id", F.col("description").alias("text"), "full", F.lit(None).cast("array<string>").alias("lines"))
+    left = own.select(F.lit("cards").alias("source_table"), F.col("card_id").alias("row_id"), "page_id", F.col("description").alias("text"), "full", F.lit(None).cast("array<string>").alias("lines"), F.lit(False).alias("broken"), F.lit(False).alias("more"))
+    tail = F.substring("html", -400, 400)
+    # A tag that breaks off ends the line before it if it is a closing one.
+    broken = F.coalesce(~tail.rlike(r">\s*(<[^<>]*)?$") & ~tail.rlike(r"<(/[^<>]*)?$") & (F.trim(tail) != ""), F.lit(False))
     right = renders.where(F.col("render_id").isNotNull() & (F.trim("text") != "")).select(
-        F.lit("render_results").alias("source_table"), F.col("render_id").alias("row_id"), "page_id", "text", F.array_join(blocks, " ").alias("full"), blocks.alias("lines"))
+        F.lit("render_results").alias("source_table"), F.col("render_id").alias("row_id"), "page_id", "text", F.array_join(_texts(), " ").alias("full"), _texts().alias("lines"), broken.alias("broken"))
+    right = right.join(materialise(_continued(renders, pages)), "row_id", "left").withColumn("more", F.coalesce("more", F.lit(False))).select(left.columns)
     return left.unionByName(right)
 
 
@@ -165,7 +199,7 @@ def truncated_values(cards: DataFrame, renders: DataFrame, pages: DataFrame) ->
     lengths = values.groupBy("source_table", F.length("text").alias("n")).count()
     counts = {(r[0], r[1]): r[2] for r in lengths.where(F.col("n") <= 2 * max(LIMITS)).toLocalIterator()}
     piles = {k: c / (1 + np.mean([counts.get((k[0], k[1] + d), 0) for d in (-3, -2, -1, 1, 2, 3)])) for k, c in counts.items()}
-    whole = values.where(F.col("text") == F.col("full")).select("source_table", "text", F.lit(True).alias("known"))
+    whole = values.where((F.translate("text", "\n", " ") == F.translate("full", "\n", " ")) & ~F.col("broken") & ~F.col("more")).select("source_table", "text", F.lit(True).alias("known"))
     # Titles close without a full stop and are complete: so may a description.
     titles = cards.where(F.length("title") > 3).select(F.lit("cards").alias("source_table"), F.col("title").alias("text"), F.lit(False).alias("known"))
     sample = whole.unionByName(titles)
@@ -177,22 +211,24 @@ def truncated_values(cards: DataFrame, renders: DataFrame, pages: DataFrame) ->
             intact.setdefault(r["source_table"], []).append((r["text"], r["known"]))
     model = values.sparkSession.sparkContext.broadcast((fit(intact, piles), piles))
 
-    def run(field: pd.Series, text: pd.Series, full: pd.Series, lines: pd.Series) -> pd.Series:
+    def run(field: pd.Series, text: pd.Series, full: pd.Series, lines: pd.Series, broken: pd.Series, more: pd.Series) -> pd.Series:
         weights, pile = model.value
         out = []
-        for f, t, u, ls in zip(field, text, full, lines):
+        for f, t, u, ls, b, m in zip(field, text, full, lines, broken, more):
             u = u if isinstance(u, str) else None
             part = _SLOT_TAIL.sub("", _TAIL.sub("", kept(t)[0]))
             if ends_whole(part) or not _WORD.search(SLOT.sub(" ", part)) or f == "cards" and reason(t, None) in ("message", "filler"):
                 out.append(False)
                 continue
             longer = relation(t, u)
-            sure = score(weights, t, f, pile.get((f, len(t)), 0.0), longer) >= 0.5
-            out.append(bool(sure and (longer != 0) and inside(t, list(ls) if ls is not None else None)))
+            if longer == 0 and (b or m):  # the row's own blocks stop with its text, so they tell nothing
+                longer = 1 if m else -1
+            sure = score(weights, t, f, pile.get((f, len(t)), 0.0), longer, b) >= 0.5
+            out.append(bool(sure and inside(t, list(ls) if ls is not None else None)))
         return pd.Series(out, index=text.index)
 
-    run.__annotations__ = {"field": pd.Series, "text": pd.Series, "full": pd.Series, "lines": pd.Series, "return": pd.Series}
-    return values.select("source_table", "row_id", "page_id", pandas_udf(run, "boolean").asNondeterministic()("source_table", "text", "full", "lines").alias("cut"))
+    run.__annotations__ = {"field": pd.Series, "text": pd.Series, "full": pd.Series, "lines": pd.Series, "broken": pd.Series, "more": pd.Series, "return": pd.Series}
+    return values.select("source_table", "row_id", "page_id", pandas_udf(run, "boolean").asNondeterministic()("source_table", "text", "full", "lines", "broken", "more").alias("cut"))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

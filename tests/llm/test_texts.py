@@ -126,6 +126,18 @@ def test_truncated_edges(spark):
     assert U.truncated_values(*[a.where("false") for a in args]).count() == 0
 
 
+def test_capture_that_breaks_off_in_transfer(spark):
+    line = "The harbour office measures the old tide tables near the canal, and so on."
+    cut = "It is the choir that borrows a row of be"
+    whole = [(i, 1, f"<p>{line}</p>\n<p>Notes on boat number {i}</p>", f"{line}\nNotes on boat number {i}", 2, None, [block(line), block(f"Notes on boat number {i}")]) for i in range(40)]
+    broken = (100, 2, f"<p>{line}</p>\n<p>{cut}", f"{line}\n{cut}", 2, False, [block(line), block(cut)])
+    closed = (101, 3, f"<p>{line}</p>\n<p>{cut}</p>", f"{line}\n{cut}", 2, False, [block(line), block(cut)])
+    tag = (102, 4, f"<p>{line}</p>\n<h2>The painted shutters</h", f"{line}\nThe painted shutters", 2, False, [block(line), block("The painted shutters")])
+    pages = [(3, "https://a.example/x", f"<body><p>{line}</p><p>It is the <em>choir</em> that borrows a row of beehives.</p></body>")]
+    got = U.truncated_values(spark.createDataFrame([], CARD), spark.createDataFrame([*whole, broken, closed, tag], RENDER), spark.createDataFrame(pages, PAGE)).where("cut").collect()
+    assert sorted(r.row_id for r in got) == [100, 101]
+
+
 def test_queries_have_their_columns(spark, data):
     from cardloom.llm import queries as Q
 
