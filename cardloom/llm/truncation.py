@@ -129,6 +129,8 @@ def relation(text: str | None, full: str | None) -> int:
     a, b = " ".join(part.split()), " ".join(full.split())
     if not a or not b.startswith(a):
         return -1
+    if " ".join(text.split()) == b:  # lost characters at the end of both are no cut
+        return 0
     return int(len(a) < len(b))
 
 
@@ -155,7 +157,7 @@ def page_lines(html: str) -> list[str]:
 def continued(last: str, lines: list[str]) -> bool:
     """Whether a line of another form of the page goes on where the last line of a value stops."""
     part = re.sub(r"�+$", "", _TAIL.sub("", kept(" ".join(last.split()))[0]))
-    return len(part.encode()) >= LEAST_BYTES and any(len(x) > len(part) and x.startswith(part) for x in lines)
+    return len(part.encode()) >= LEAST_BYTES and any(len(x.rstrip("�")) > len(part) and x.startswith(part) for x in lines)
 
 
 def _texts(blocks: str = "blocks"):

@@ -126,6 +126,12 @@ def test_truncated_edges(spark):
     assert U.truncated_values(*[a.where("false") for a in args]).count() == 0
 
 
+def test_lost_character_at_the_end_of_both_is_no_cut():
+    line = "Mentions l�gales � Confidentialit� � Accessibilit�"
+    assert U.relation(line, line) == 0 and not U.continued(line, [line])
+    assert U.continued("Mentions l�gales � Confi�", [line])
+
+
 def test_capture_that_breaks_off_in_transfer(spark):
     line = "The harbour office measures the old tide tables near the canal, and so on."
     cut = "It is the choir that borrows a row of be"
