@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow, materialise, table
 
 DEPTH = 3
-#: A word is a template's own if at most this share of the distinct values has it, within these bounds.
-OWN_SHARE, OWN_LEAST, OWN_MOST = 0.004, 3, 60
+#: A word is a template's own if at most this share of the distinct values has it, or so few; a share, so that verdicts don't turn as the corpus grows.
+OWN_SHARE, OWN_LEAST = 0.004, 3
 ISOLATION, SUPPORT, WILD = 0.3, 4, 0.34
 
 _NAME = r"[A-Za-z][A-Za-z_.]{2,40}"
@@ -184,7 +184,7 @@ def message_templates(values: DataFrame) -> DataFrame:
         F.max("n").alias("n"), F.max("fields").alias("fields"))
     leaves = leaves.where((F.col("fields") > 1) & (F.col("n") >= SUPPORT) & ~F.exists("pattern", lambda t: t.contains("\x01")) & (F.size(F.filter("pattern", lambda t: t == "*")) <= WILD * F.size("pattern")))
     split = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}]+"), lambda w: w != ""))
-    most = min(OWN_MOST, max(OWN_LEAST, OWN_SHARE * lines.count()))
+    most = max(OWN_LEAST, OWN_SHARE * lines.count())
     common = lines.select(F.explode(split(F.col("template"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     rated = leaves.select(*KEYS, "pattern", F.explode(split(F.array_join("pattern", " "))).alias("word")).join(common, "word").groupBy(*KEYS, "pattern").agg(F.avg((F.col("df") <= most).cast("double")).alias("own"))
     return rated.where(F.col("own") >= ISOLATION).select(*KEYS, "pattern")

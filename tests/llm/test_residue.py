@@ -32,5 +32,16 @@ def test_mined_template_is_found_in_a_page(spark, monkeypatch, most):
     assert ("render_results", 1) in {(r.source_table, r.row_id) for r in got}
 
 
+def test_verdict_does_not_turn_with_the_size_of_the_corpus(spark):
+    notice = "Sorry folks, our hamster left the wheel again"
+    lists = [f"{w} hamster" for w in ("sorry folks our", "left the wheel again")]
+    for times in (1, 4):
+        # A word of the notice is in 20 of 8,000 distinct values, then in 80 of 32,000.
+        rows = [(i, 1, "p", f"alpha{chr(97 + i % 26)} " + " ".join(chr(97 + int(c)) * 3 for c in str(i)), None) for i in range(8000 * times)]
+        rows += [(100_000 + i, 1, "p", " ".join(chr(97 + int(c)) * 4 for c in str(i)) + f" {lists[0]} {lists[1]}", None) for i in range(20 * times)] + [(200_000 + i, 1, "p", notice, notice) for i in range(6)]
+        mined = R.message_templates(R._values(spark.createDataFrame(rows, CARD), spark.createDataFrame([], RENDER))).collect()
+        assert notice.lower().split() in [r.pattern for r in mined], times
+
+
 def test_empty(spark):
     assert R.residue_values(spark.createDataFrame([], CARD), spark.createDataFrame([], RENDER)).count() == 0
