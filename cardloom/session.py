@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the checkpoint folder of the context, else spark.checkpoint.dir.
+
+    Only a local session, as in tests, may do without: it gets a temporary one.
+    """
+    sc = spark.sparkContext
+    place = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if place is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="cardloom-")
+        sc.setCheckpointDir(place)
+        place = sc.getCheckpointDir()
+    return place.rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage of something that is read more than once.
 
-    checkpoint() writes into the folder all executors share (spark.checkpoint.dir, as the session names it), so
-    losing an executor loses nothing. Only where nobody set a folder, as in tests, a temporary one is made.
+    It is written as a table into the folder all executors share, so losing an executor loses nothing, and columns that
+    a reader doesn't need are not read.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        conf = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="cardloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/cardloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
