@@ -15,10 +15,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .boilerplate import fitted_tree, judge, text_blocks
-from .common import arrow, bounded_sample, table
-from .residue import reason, residue_model
-from .texttype import TYPES, fit as fit_types, posterior, statistics, votes
+from .common import arrow, bounded_sample, field_values, materialise, table
+from .encoding import damaged_values
+from .residue import residue_values
+from .texttype import main_texts, noted_renders, text_types
 
 #: Centroids per language, longest n-gram; a sure answer needs this share of the cosine that a language's own sentences have at least when held out, and this lead.
 CENTROIDS, GRAMS, NEAREST, LEAD = 4, 3, 0.75, 0.04
@@ -36,8 +36,6 @@ _STOP = re.compile(r"[.!?。！？][\"”’»」』)]*\s*$")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _QUOTED = re.compile(r"[“«„「『\"][^”»“」』\"]{0,200}[”»“」』\"]")
-#: Marks of a wrong decoding; such renders are left to that operator.
-_GARBLED = re.compile("[ÃÂ][\x80-\xbf€ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|â€|â\x80|�|[\x80-\x9f]|[Ѐ-ӿ]|√[^\\s\\d]|‚[ÄÅÇ]|[Ͱ-Ͽ]|[─-▟]|[ãìíëê][\x80-¿€ƒ„…†‡ˆ‰Š‹Œ]|&[aAiIeE](?:circ|tilde|grave|uml);|[a-z][ÁÂÃÈÉÊËÌÍÎÏÒÓÔÕÙÚÛ][a-z]|[a-z][˙·¿‡ˆ÷³±ⁿ∩][a-z]")
 
 
 def label_code(label: str | None) -> str | None:
@@ -173,38 +171,19 @@ def fitted(samples: DataFrame) -> Centroids:
 SEGMENTS = "array<struct<segment:string,lang:string,confidence:double>>"
 
 
-def language_segments(renders: DataFrame, cards: DataFrame, samples: DataFrame, common_words: DataFrame, *, skip: bool = True, texts: bool = True) -> DataFrame:
-    """(render_id, segments) of each render: the sentences of its main body in order.
+def language_segments(bodies: DataFrame, samples: DataFrame, *, texts: bool = True) -> DataFrame:
+    """(render_id, segments) of each main body: its sentences in order, with language and confidence.
 
-    With skip, renders of residue, of no prose or of garbled text have null segments. Without texts
-    the segments are one per language, without their wording. Null and empty texts have none, null ids
-    are dropped, repeated rows count once; extra columns don't matter; texts are read whole.
+    Without texts the segments are one per language, without their wording. Null and empty bodies have none, repeated
+    rows count once; extra columns don't matter; texts are read whole.
     """
-    common = frozenset(r[0].lower() for r in common_words.select("word").where(F.col("word").isNotNull()).distinct().toLocalIterator())
-    sc = renders.sparkSession.sparkContext
-    tree, model, known = fitted_tree(renders), sc.broadcast(fitted(samples)), residue_model(cards, renders) if skip else None
-    start = fit_types({})
-
-    def run(text, blocks, html):
-        if not text:
-            return []
-        numbered = text_blocks(blocks)
-        body = "\n".join(t for (_, t), main in zip(numbered, judge(tree.value, blocks, html)) if main) if numbered else text
-        if skip:
-            if _GARBLED.search(_QUOTED.sub(" ", text)):
-                return None
-            if reason(text, [t for _, t in numbered], *known.value) is not None:
-                return None
-            # A body that is mostly whole sentences is prose without further ado.
-            if sum(len(m[0]) for m in _SENTENCE.finditer(body) if _STOP.search(m[0])) < 0.6 * len(body):
-                bits = votes(statistics(body, common))
-                kind = posterior(np.array([[bits >> i & 1 for i in range(start[1].shape[1])]], dtype=float), *start)[0].argmax()
-                if TYPES[kind] != "prose":
-                    return None
-        found = judged_segments(body, model.value)
+    model = bodies.sparkSession.sparkContext.broadcast(fitted(samples))
+
+    def run(body):
+        found = judged_segments(body, model.value) if body else []
         return found if texts else [{"segment": None, "lang": x, "confidence": max(s["confidence"] for s in found if s["lang"] == x)} for x in dict.fromkeys(s["lang"] for s in found) if x]
 
-    rows = renders.where(F.col("render_id").isNotNull()).select("render_id", arrow(run, SEGMENTS, "text", "blocks", "html").alias("segments"))
+    rows = bodies.select("render_id", arrow(run, SEGMENTS, "body").alias("segments"))
     return rows.dropDuplicates(["render_id"]) if texts else rows.groupBy("render_id").agg(F.max("segments").alias("segments"))
 
 
@@ -221,11 +200,20 @@ def corrected_languages(segments: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def p4_segments(spark, sf_dir: str) -> DataFrame:
     """Every sentence of every main body with its language and confidence."""
-    found = language_segments(*(table(spark, sf_dir, t) for t in ("render_results", "cards", "language_samples", "common_words")), skip=False)
+    found = language_segments(main_texts(table(spark, sf_dir, "render_results")), table(spark, sf_dir, "language_samples"))
     return found.select("render_id", F.posexplode("segments").alias("segment_no", "s")).select("render_id", "segment_no", "s.segment", "s.lang", "s.confidence")
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    """Renders with a missing or wrong label or several languages, and the languages of their sentences."""
-    found = language_segments(*(table(spark, sf_dir, t) for t in ("render_results", "cards", "language_samples", "common_words")), texts=False)
-    return corrected_languages(found, table(spark, sf_dir, "snapshots"))
+    """Renders with a missing or wrong label or several languages, and the languages of their sentences.
+
+    Renders that hold residue, are no prose or are decoded wrongly are left out by the verdicts of those operators.
+    """
+    renders, cards, quality, words, samples, snapshots = (table(spark, sf_dir, t) for t in ("render_results", "cards", "quality_cases", "common_words", "language_samples", "snapshots"))
+    noted = materialise(noted_renders(residue_values(cards, renders)))
+    bodies = materialise(main_texts(renders))
+    kinds = text_types(bodies, noted, quality, words)
+    other = kinds.where((F.col("source_table") == "render_results") & (F.col("kind") != "prose")).select(F.col("row_key").cast("bigint").alias("render_id"))
+    garbled = damaged_values(field_values(spark, sf_dir)).where(F.col("source_table") == "render_results").select(F.col("row_id").alias("render_id"))
+    out = noted.unionByName(other).unionByName(garbled)
+    return corrected_languages(language_segments(bodies.join(out, "render_id", "left_anti"), samples, texts=False), snapshots)

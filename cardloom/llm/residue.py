@@ -1,25 +1,36 @@
 """Values that hold unfilled placeholders, filler, error messages, script notices or what a failed rendering leaves.
 
-Every value is cut into segments (the blocks of a page, the sentences of a card) and every segment is masked: numbers
-and slots become signs. A tree of fixed depth (token count, then the first tokens) groups the masked values of cards
-into templates; tokens that differ inside a leaf become wildcards. A template is classified once: it is a message if it
-says what a known message says, or if it stands alone, that is if it fills both titles and descriptions and shares its
-words with next to no other template, as notices do and content doesn't. The verdict is then joined back to every
-segment. Slots and leftovers inside ordinary text are found separately, segment by segment.
+Every value of every field is cut into segments (the blocks of a page, lines and sentences, the value itself) and every
+segment is masked: numbers and slots become signs. The distinct segments are counted by field and are the lines from
+which templates are mined: a prefix tree of fixed depth (token count, then the first tokens) places them, and within a
+leaf those that share most of their tokens are one template, the others' tokens becoming wildcards. A template is judged
+once, by what it says (a model of notices fitted on a small labelled table and on lines of the corpus) and by where it
+stands (notices fill titles and descriptions alike and recur; content has its own field). Verdicts go back to the values
+by a join on the segments. Slots and leftovers inside ordinary text are found separately, segment by segment.
 """
 
 from __future__ import annotations
 
 import re
 
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow, materialise, table
-
-DEPTH = 3
-#: A word is a template's own if at most this share of the distinct values has it, or so few; a share, so that verdicts don't turn as the corpus grows.
-OWN_SHARE, OWN_LEAST = 0.004, 3
-ISOLATION, SUPPORT, WILD = 0.3, 4, 0.34
+from .common import arrow, bounded_sample, materialise, table
+from .notices import Notices
+
+#: Depth of the prefix tree; share of a template's tokens that may be wildcards.
+DEPTH, WILD = 3, 0.34
+#: Log-odds at which a template is a notice. What it says counts, and where it stands: in titles and descriptions alike
+#: adds BOTH, recurring in several fields adds RECURS for each doubling, twice at most; recurring in texts alone, as the
+#: furniture of pages does, takes RECURS for each doubling, four times at most.
+BAR, BOTH, RECURS = 0.6, 0.7, 0.25
+#: Lines of the corpus that the model of notices is fitted on beside its labelled table: any, and those that recur most in texts.
+CORPUS_LINES, COMMON_LINES = 3000, 500
+#: Verdicts up to this many rows of 12 bytes are sent to every task; beyond, the same join shuffles.
+MOST_SENT = 1_000_000
+#: Size of the bit table that carries filler words to every task, whatever their number.
+BITS = 1 << 24
 
 _NAME = r"[A-Za-z][A-Za-z_.]{2,40}"
 SLOT = re.compile(
@@ -31,37 +42,6 @@ _ABOUT = re.compile(r"\b(explain\w*|means?|meant|stands? for|bedeutet|bedeuten|e
 _LEFTOVER = re.compile(r"\[object (?:Object|Undefined|Null)\]|\((?:NaN|undefined|null)(?: \w+)?\)|^(?:null|undefined|NaN)(?:\s*[–|:·-]\s|$)|\s[–|·-]\s*(?:undefined|null|NaN)$")
 _NUMBER = re.compile(r"\d+")
 
-# What servers, browsers, scripts and page builders say in place of content, lower case, numbers as 0.
-_REASON = r"(?:bad gateway|bad request|forbidden|unauthorized|not found|gone|too many requests|internal server error|service (?:temporarily )?unavailable|gateway time-?out|method not allowed|request time-?out|not implemented)"
-_CODED = re.compile(rf"(?:(?:http(?:/0\.0)?|http status|http error|error|oops,?|fehler|erreur|erro)\s*)?0\s*[:!–(-]*\s*{_REASON}\)?[!.]*|{_REASON}(?:\s*\(0\))?[.!]?|http error 0\.?|error 0\.?|(?:error )?0\s*[–-]\s*the page you requested could not be found\.?|sorry, something went wrong on our end\. please try again in a few minutes\.(?: reference [0-9a-f]+)?")
-_MESSAGES = """
-access denied.|you do not have permission to view this resource.|zugriff verweigert – fehler 0|zugriff verweigert.|acceso denegado.|acesso negado.
-accès refusé : vous n’avez pas les droits nécessaires.|접근 권한이 없습니다.|アクセスが拒否されました。
-page not found|page not found.|the page you requested could not be found.|die angeforderte seite wurde nicht gefunden.|la page demandée est introuvable.
-no se ha encontrado la página solicitada.|a página pedida não foi encontrada.|お探しのページは見つかりませんでした。|요청하신 페이지를 찾을 수 없습니다.
-oops! we looked everywhere, but that article has gone missing.|service temporarily unavailable due to maintenance.|this account has been suspended.
-error establishing a connection to the database|upstream connect error or reset before headers|your session has expired, please sign in again.
-too many requests.|slow down and retry after 0 seconds.|too many requests. slow down and retry after 0 seconds.
-application error: a client-side exception has occurred (see the console for details).|index of /uploads name last modified size parent directory
-fatal error: uncaught typeerror: cannot read title of null in /srv/app/view.php on line 0
-leider ist ein fehler aufgetreten.|bitte versuchen sie es später erneut.|leider ist ein fehler aufgetreten. bitte versuchen sie es später erneut.
-une erreur est survenue, veuillez réessayer plus tard.|se ha producido un error, inténtelo de nuevo más tarde.|ocorreu um erro, tente novamente mais tarde.
-일시적인 오류가 발생했습니다.|일시적인 오류가 발생했습니다. 잠시 후 다시 시도해 주세요.|エラーが発生しました。|エラーが発生しました。しばらくしてからもう一度お試しください。
-please enable javascript to continue using this application.|you need to turn on javascript and cookies to view this page.|this site needs scripts to run.
-your browser has them switched off.|this site needs scripts to run. your browser has them switched off.|checking your browser before granting access.|this takes about 0 seconds.
-checking your browser before granting access. this takes about 0 seconds.|just a moment...|bitte aktivieren sie javascript, um diese seite zu nutzen.
-diese anwendung läuft nicht ohne skripte.|veuillez activer javascript pour afficher cette page.|ce service ne fonctionne pas sans scripts.
-active javascript para ver esta página.|esta aplicación no funciona sin scripts.|ative o javascript para ver esta página.|esta aplicação não funciona sem scripts.
-このページを表示するにはjavascriptを有効にしてください。|スクリプトが無効になっているため利用できません。|이 페이지를 보려면 자바스크립트를 켜 주세요.|스크립트가 꺼져 있어 서비스를 이용할 수 없습니다.
-enter description|your headline goes here|sample text.|click to edit this block and add your own words.|sample text. click to edit this block and add your own words.|insert a short summary of your page here.
-under construction|untitled document|todo: write introduction|tbd|dummy|xxx|asdf asdf|test test test|blah blah blah|foo bar baz|text text text text text
-hier steht ihre überschrift|platzhaltertext bitte ersetzen|neue seite ohne titel|votre titre ici|texte d’exemple à remplacer|page sans titre
-escriba aquí su título|texto de ejemplo, sustitúyalo|página sin título|escreva aqui o seu título|texto de exemplo, substitua|página sem título
-ここに見出しを入力|本文を入力してください|無題のページ|여기에 내용을 입력해 주세요|제목을 입력하세요|제목 없음|null|undefined|nan
-"""
-MESSAGES = frozenset(m.strip() for line in _MESSAGES.strip().splitlines() for m in line.split("|") if m.strip())
-#: No known message has more words.
-LONGEST_MESSAGE = 24
 #: Filler: words of which a passage of dummy text consists; more are learnt from the company they keep.
 FILLER_SEED = ("lorem", "ipsum")
 FILLER_SHARE, FILLER_COMPANY = 0.7, 0.25
@@ -70,6 +50,8 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\da-z])|(?<=[。！？])|\n+")
 
 
 _SIGNS = frozenset("{[%<$#_@&")
+#: What a value holds, in order of weight.
+REASONS = ("message", "filler", "leftover", "slot")
 
 
 def masked(segment: str) -> str:
@@ -81,7 +63,7 @@ def masked(segment: str) -> str:
 
 
 def segments(text: str | None, blocks) -> list[str]:
-    """The parts a value falls into: whole, the blocks that its text has, lines and sentences. Repeats count once."""
+    """The parts a value falls into: the blocks that its text has, else the whole, and lines and sentences. Repeats count once."""
     if not text:
         return []
     parts = [text.strip()]
@@ -93,57 +75,32 @@ def segments(text: str | None, blocks) -> list[str]:
     for p in parts[1:] if covered else list(parts):
         parts += [x.strip() for x in _SENTENCE.split(p)]
     if covered:
-        parts += [x.strip() for x in _SENTENCE.split(parts[0][-200:])]
+        parts = parts[1:] + [x.strip() for x in _SENTENCE.split(parts[0][-200:])]
     return list(dict.fromkeys(p for p in parts if p))
 
 
-def is_message(template: str) -> bool:
-    return template in MESSAGES or len(template) < 120 and _CODED.fullmatch(template) is not None
-
-
-def is_filler(segment: str, words: frozenset) -> bool:
-    tokens = [w.lower() for w in _WORD.findall(segment)]
-    return len(tokens) >= 3 and sum(t in words for t in tokens) >= FILLER_SHARE * len(tokens)
-
-
-def leaf_key(template: str) -> tuple[tuple, list[str]]:
-    """The leaf of the prefix tree that a masked value falls into, and its tokens."""
-    tokens = template.split(" ")
-    return (len(tokens), *(tokens[i] if i < len(tokens) else "" for i in range(DEPTH))), tokens
+def is_filler(template: str, known) -> bool:
+    """Whether a segment consists of filler words; known tells whether a word is one."""
+    tokens = _WORD.findall(template)
+    return len(tokens) >= 3 and sum(map(known, tokens)) >= FILLER_SHARE * len(tokens)
 
 
-def fits(tokens: list[str], pattern: list[str]) -> bool:
-    return all(p in ("*", t) for t, p in zip(tokens, pattern))
-
-
-def reason(text: str | None, blocks, filler: frozenset = frozenset(FILLER_SEED), leaves: dict | None = None, longest: int = LONGEST_MESSAGE) -> str | None:
-    """What a value holds beside content: 'message', 'filler', 'leftover', 'slot' or None."""
-    parts = segments(text, blocks)
-    if not parts:
-        return None
-    low = text.lower()
-    dummy = any(w in low for w in filler)
-    left = "NaN" in text or "undefined" in text or "null" in text or "[object" in text
-    for p in parts:
-        if p.count(" ") < longest:  # a longer segment can be none
-            template = masked(p)
-            if is_message(template):
-                return "message"
-            if leaves:
-                key, tokens = leaf_key(template)
-                if (pattern := leaves.get(key)) and fits(tokens, pattern):
-                    return "message"
-        if dummy and is_filler(p, filler):
-            return "filler"
-        if left and _LEFTOVER.search(p):
-            return "leftover"
+def local_reason(text: str, parts: list[str]) -> str | None:
+    """What a value holds beside content whatever other values hold: 'leftover', 'slot' or None."""
+    if ("NaN" in text or "undefined" in text or "null" in text or "[object" in text) and any(_LEFTOVER.search(p) for p in parts):
+        return "leftover"
     if not _SIGNS.isdisjoint(text):
-        for p in parts[1:] or parts:
+        for p in parts:
             if not _SIGNS.isdisjoint(p) and "\n" not in p and SLOT.search(p) and not _ABOUT.search(SLOT.sub(" ", p)):
                 return "slot"
     return None
 
 
+def _cut(text, blocks) -> dict:
+    parts = segments(text, blocks)
+    return {"local": local_reason(text, parts), "templates": list(dict.fromkeys(masked(p) for p in parts))}
+
+
 def _values(cards: DataFrame, renders: DataFrame) -> DataFrame:
     own = cards.select(F.lit("cards").alias("source_table"), F.col("card_id").alias("row_id"), F.explode(F.array(
         F.struct(F.lit("title").alias("field_name"), F.col("title").alias("text")), F.struct(F.lit("description").alias("field_name"), F.col("description").alias("text")),
@@ -153,60 +110,95 @@ def _values(cards: DataFrame, renders: DataFrame) -> DataFrame:
     return own.unionByName(texts).where(F.col("row_id").isNotNull() & (F.trim("text") != ""))
 
 
-def filler_words(values: DataFrame) -> DataFrame:
-    """(word) that dummy text consists of: most of the distinct short values with the word also have a seed."""
-    short = values.where(F.col("source_table") == "cards").select(F.lower("text").alias("t")).distinct()
-    words = short.select(F.col("t").rlike("|".join(FILLER_SEED)).cast("int").alias("seed"), F.explode(F.array_distinct(F.split("t", r"[^\p{L}]+"))).alias("word"))
-    return words.where(F.length("word") > 3).groupBy("word").agg(F.sum("seed").alias("with"), F.count("*").alias("n")).where(F.expr(f"with >= 2 and with >= {FILLER_COMPANY} * n")).select("word")
+VALUE = ["source_table", "row_id", "field_name"]
+FIELDS = ("title", "description", "text")
+KEYS = ["size", *[f"t{i}" for i in range(DEPTH)]]
 
 
-KEYS = ["size", *[f"t{i}" for i in range(DEPTH)]]
+def cut_values(values: DataFrame) -> DataFrame:
+    """VALUE, local, templates, marks: every value cut into masked segments, with their hashes."""
+    cut = values.select(*VALUE, arrow(_cut, "struct<local:string,templates:array<string>>", "text", "blocks").alias("p")).select(*VALUE, "p.*")
+    return cut.withColumn("marks", F.transform("templates", lambda t: F.xxhash64(t)))
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Adds the leaf of the prefix tree that a masked value falls into."""
-    df = df.withColumn("tokens", F.split("template", " "))
-    return df.select("*", F.size("tokens").alias("size"), *[F.coalesce(F.get("tokens", F.lit(i)), F.lit("")).alias(f"t{i}") for i in range(DEPTH)])
+def lines_of(parts: DataFrame) -> DataFrame:
+    """(template, n, title, description, text): every distinct segment with its count and the fields it stands in."""
+    each = parts.select("field_name", F.explode("templates").alias("template"))
+    return each.groupBy("template").agg(F.count("*").alias("n"), *[F.max(F.col("field_name") == f).alias(f) for f in FIELDS])
 
 
-def message_templates(values: DataFrame) -> DataFrame:
-    """Leaves of the prefix tree over the values of cards that are messages, with their patterns: each is classified once.
+def filler_bits(lines: DataFrame) -> list[int]:
+    """The filler words as bits: words of card values that stand in dummy text in a fair part of the distinct values that have them."""
+    short = lines.where(F.col("title") | F.col("description"))
+    words = short.select(F.col("template").rlike("|".join(FILLER_SEED)).cast("int").alias("seed"), F.explode(F.array_distinct(F.split("template", r"[^\p{L}]+"))).alias("word"))
+    words = words.where(F.length("word") > 3).groupBy("word").agg(F.sum("seed").alias("with"), F.count("*").alias("n")).where(F.expr(f"with >= 2 and with >= {FILLER_COMPANY} * n"))
+    return [r[0] for r in words.select(F.pmod(F.xxhash64("word"), F.lit(BITS))).distinct().toLocalIterator()]
 
-    Leaves are (token count, first tokens); tokens that are the same in all of a leaf stay, others become '*'.
-    """
-    whole = values.where(F.col("source_table") == "cards").select("field_name", arrow(masked, "string", "text").alias("template"))
-    lines = materialise(whole.groupBy("template").agg(F.count("*").alias("n"), F.max((F.col("field_name") == "title").cast("int")).alias("titles"), F.max((F.col("field_name") != "title").cast("int")).alias("others")))
-    placed = _placed(lines)
-    shape = placed.select(*KEYS, "n", "titles", "others", F.posexplode("tokens").alias("at", "token")).groupBy(*KEYS, "at").agg(
-        F.min("token").alias("least"), F.max("token").alias("most"), F.sum("n").alias("n"), (F.max("titles") + F.max("others")).alias("fields"))
-    leaves = shape.groupBy(*KEYS).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("*").alias("token")))), lambda x: x["token"]).alias("pattern"),
-        F.max("n").alias("n"), F.max("fields").alias("fields"))
-    leaves = leaves.where((F.col("fields") > 1) & (F.col("n") >= SUPPORT) & ~F.exists("pattern", lambda t: t.contains("\x01")) & (F.size(F.filter("pattern", lambda t: t == "*")) <= WILD * F.size("pattern")))
-    split = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}]+"), lambda w: w != ""))
-    most = max(OWN_LEAST, OWN_SHARE * lines.count())
-    common = lines.select(F.explode(split(F.col("template"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    rated = leaves.select(*KEYS, "pattern", F.explode(split(F.array_join("pattern", " "))).alias("word")).join(common, "word").groupBy(*KEYS, "pattern").agg(F.avg((F.col("df") <= most).cast("double")).alias("own"))
-    return rated.where(F.col("own") >= ISOLATION).select(*KEYS, "pattern")
+
+def _bit(word: str) -> int:
+    h = xxhash.xxh64_intdigest(word, seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % BITS
 
 
-#: Message templates up to this many go to every task; beyond, segments are joined with them.
-MOST_LEAVES = 50_000
+def fit_notices(sample: list[str]) -> Notices:
+    """The model of notices; lines of the corpus that the half without them takes for notices are not used as ordinary ones."""
+    halves = sample[::2], sample[1::2]
+    models = [Notices(h) for h in halves]
+    return Notices([x for model, half in zip(models[::-1], halves) for x in half if model.score(x) < 0])
 
 
-def _model(values: DataFrame):
-    """What reason() needs beside a text, sent to every task; and the leaves as a table where they are too many for that."""
-    filler = frozenset(FILLER_SEED) | frozenset(r["word"] for r in filler_words(values).toLocalIterator())
-    mined = materialise(message_templates(values))
-    few = mined.count() <= MOST_LEAVES
-    leaves = {tuple(r[k] for k in KEYS): r["pattern"] for r in mined.toLocalIterator()} if few else {}
-    longest = max([LONGEST_MESSAGE, *(k[0] for k in leaves)])
-    return values.sparkSession.sparkContext.broadcast((filler, leaves, longest)), None if few else mined
+def judged(lines: DataFrame) -> DataFrame:
+    """The lines that may be notices, with their score, and those that are filler: next to all others are left out here.
 
+    What a leaf adds to a score is bounded, so a line too low to reach the bar with it needs no place in the tree.
+    """
+    bits = frozenset(filler_bits(lines)) | frozenset(map(_bit, FILLER_SEED))
+    sample = [r["template"] for r in bounded_sample(lines.where((F.length("template") > 1) & ~(F.col("title") & F.col("description"))).select("template"), CORPUS_LINES, lines.count(), "template")]
+    furniture = lines.where(~F.col("title") & ~F.col("description") & (F.col("n") > 1)).select("template", "n").orderBy(F.desc("n"), "template").limit(COMMON_LINES)
+    sample += [r["template"] for r in furniture.collect()]
+    shared = lines.sparkSession.sparkContext.broadcast((fit_notices(sample), bits))
 
-def residue_model(cards: DataFrame, renders: DataFrame):
-    """What reason() needs beside a text, for operators that only leave such values out."""
-    return _model(_values(cards, renders))[0]
+    def run(template):
+        model, bits = shared.value
+        return {"score": model.score(template) if "\x01" not in template else -99.0, "filler": is_filler(template, lambda w: _bit(w) in bits)}
+
+    scored = lines.select("*", arrow(run, "struct<score:double,filler:boolean>", "template").alias("j")).select(*lines.columns, "j.*")
+    return scored.where((F.col("score") >= BAR - BOTH - 2 * RECURS) | F.col("filler"))
+
+
+def templates_of(lines: DataFrame) -> DataFrame:
+    """Adds the leaf of the prefix tree that a line falls into, and its template there.
+
+    Tokens that two lines of a leaf share at a place stay, others become '*'; a line that would lose more than WILD of
+    its tokens keeps them all and is a template of its own.
+    """
+    df = lines.withColumn("tokens", F.split("template", " "))
+    df = df.select("*", F.size("tokens").alias("size"), *[F.coalesce(F.get("tokens", F.lit(i)), F.lit("")).alias(f"t{i}") for i in range(DEPTH)])
+    placed = df.select("template", *KEYS, F.posexplode("tokens").alias("at", "token"))
+    common = placed.groupBy(*KEYS, "at", "token").agg(F.count("*").alias("same"))
+    shape = placed.join(common, [*KEYS, "at", "token"]).groupBy("template").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("same") > 1, F.col("token")).otherwise("*").alias("token")))).alias("shape"))
+    shape = shape.select("template", F.transform("shape", lambda x: x["token"]).alias("shape"))
+    stars = F.size(F.filter("shape", lambda t: t == "*"))
+    return df.join(shape, "template").withColumn("pattern", F.when(stars <= WILD * F.col("size"), F.col("shape")).otherwise(F.col("tokens"))).drop("tokens", "shape")
+
+
+def message_templates(lines: DataFrame) -> DataFrame:
+    """(size, t0.., pattern, n, score, message): the templates of the lines, each judged once."""
+    leaves = lines.groupBy(*KEYS, "pattern").agg(F.sum("n").alias("n"), *[F.max(f).alias(f) for f in FIELDS], F.max("score").alias("score"))
+    several = sum((F.col(f).cast("int") for f in FIELDS), F.lit(0)) > 1
+    in_text = ~F.col("title") & ~F.col("description")
+    added = F.when(F.col("title") & F.col("description"), BOTH).otherwise(0.0) + RECURS * F.when(several, F.least(F.log2("n"), F.lit(2.0))).when(in_text, -F.least(F.log2("n"), F.lit(4.0))).otherwise(0.0)
+    return leaves.withColumn("message", F.col("score") + added >= BAR)
+
+
+def verdicts(parts: DataFrame) -> DataFrame:
+    """(mark, reason) of every segment that is a message or filler."""
+    lines = materialise(lines_of(parts))
+    some = materialise(judged(lines))
+    placed = templates_of(some.where(F.col("score") >= BAR - BOTH - 2 * RECURS))
+    good = message_templates(placed).where("message").select(*KEYS, "pattern")
+    messages = placed.join(good, [*KEYS, "pattern"], "left_semi").select(F.xxhash64("template").alias("mark"), F.lit("message").alias("reason"))
+    return materialise(messages.unionByName(some.where("filler").select(F.xxhash64("template").alias("mark"), F.lit("filler").alias("reason"))))
 
 
 def residue_values(cards: DataFrame, renders: DataFrame) -> DataFrame:
@@ -215,15 +207,13 @@ def residue_values(cards: DataFrame, renders: DataFrame) -> DataFrame:
     Null and empty values are none, rows with a null id are dropped, repeated rows count once; extra columns don't
     matter. Very long texts are cut into segments, never shortened.
     """
-    values = _values(cards, renders)
-    keys = ["source_table", "row_id", "field_name"]
-    shared, mined = _model(values)
-    found = values.select(*keys, arrow(lambda t, b: reason(t, b, *shared.value), "string", "text", "blocks").alias("reason")).where(F.col("reason").isNotNull())
-    if mined is not None:
-        parts = values.select(*keys, F.explode(arrow(lambda t, b: [masked(p) for p in segments(t, b)], "array<string>", "text", "blocks")).alias("template"))
-        same = F.forall(F.zip_with("tokens", "pattern", lambda t, p: (p == "*") | (t == p)), lambda x: x)
-        found = found.unionByName(_placed(parts).join(mined, KEYS).where(same).select(*keys, F.lit("message").alias("reason")))
-    return found.groupBy(*keys).agg(F.min("reason").alias("reason"))
+    parts = materialise(cut_values(_values(cards, renders)))
+    known = verdicts(parts)
+    known = F.broadcast(known) if known.count() <= MOST_SENT else known
+    shared = parts.select(*VALUE, F.explode("marks").alias("mark")).join(known, "mark").select(*VALUE, "reason")
+    own = parts.where(F.col("local").isNotNull()).select(*VALUE, F.col("local").alias("reason"))
+    order = F.array(*[F.lit(x) for x in REASONS])
+    return shared.unionByName(own).groupBy(*VALUE).agg(F.get(order, F.min(F.array_position(order, F.col("reason"))).cast("int") - 1).alias("reason"))
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .boilerplate import fitted_tree, judge, text_blocks
 from .common import arrow, materialise, table
-from .residue import reason, residue_model
+from .residue import residue_values
 
 TYPES = ("prose", "list", "table", "junk")
 ROUNDS = 60
@@ -158,30 +158,29 @@ def posterior(bits: np.ndarray, prior: np.ndarray, chance: np.ndarray) -> np.nda
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _texts(renders: DataFrame, cards: DataFrame, quality: DataFrame) -> DataFrame:
-    """(source_table, row_key, text, block_count, noted): the main bodies of renders and the texts of quality cases.
-
-    noted is true for renders that hold residue or notices in place of content.
-    """
+def main_texts(renders: DataFrame) -> DataFrame:
+    """(render_id, body, block_count) of every render: the text blocks of its main body, one a line; without blocks its text."""
     tree = fitted_tree(renders)
-    model = residue_model(cards, renders)
 
-    def body(blocks, html) -> str:
-        return "\n".join(t for (_, t), main in zip(text_blocks(blocks), judge(tree.value, blocks, html)) if main)
+    def body(text, blocks, html) -> str | None:
+        numbered = text_blocks(blocks)
+        return "\n".join(t for (_, t), main in zip(numbered, judge(tree.value, blocks, html)) if main) if numbered else text
 
-    def noted(text, blocks) -> bool:
-        return reason(text, [b["text"] for b in blocks if b is not None and b["type"] == "text"] if blocks is not None else None, *model.value) is not None
+    rows = renders.where(F.col("render_id").isNotNull())
+    return rows.select("render_id", arrow(body, "string", "text", "blocks", "html").alias("body"), F.col("block_count").cast("bigint").alias("block_count"))
 
-    a = renders.where(F.col("render_id").isNotNull()).select(F.lit("render_results").alias("source_table"), F.col("render_id").cast("string").alias("row_key"), arrow(body, "string", "blocks", "html").alias("text"), F.col("block_count").cast("bigint").alias("block_count"), arrow(noted, "boolean", "text", "blocks").alias("noted"))
-    b = quality.where(F.col("case_id").isNotNull()).select(F.lit("quality_cases").alias("source_table"), F.col("case_id").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"), F.size("blocks").cast("bigint").alias("block_count"), F.lit(False).alias("noted"))
-    return a.unionByName(b)
+
+def noted_renders(residue: DataFrame) -> DataFrame:
+    """(render_id) of the renders whose text holds residue or notices."""
+    return residue.where((F.col("source_table") == "render_results") & (F.col("field_name") == "text")).select(F.col("row_id").alias("render_id")).distinct()
 
 
-def text_types(renders: DataFrame, cards: DataFrame, quality: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(source_table, row_key, statistics..., kind, posterior, noted) of each text.
+def text_types(bodies: DataFrame, noted: DataFrame, quality: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(source_table, row_key, statistics..., kind, posterior, noted) of each main body and each text of a quality case.
 
-    Null and empty texts have statistics of 0 and are prose by prior; null keys are dropped; repeated rows count once;
-    extra columns don't matter. Texts are read whole.
+    noted is true for renders that hold residue or notices; they take no part in the fit. Null and empty texts have
+    statistics of 0 and are prose by prior; null keys are dropped; repeated rows count once; extra columns don't matter.
+    Texts are read whole.
     """
     common = frozenset(r[0].lower() for r in common_words.select("word").where(F.col("word").isNotNull()).distinct().toLocalIterator())
 
@@ -189,23 +188,30 @@ def text_types(renders: DataFrame, cards: DataFrame, quality: DataFrame, common_
         stats = statistics(text, common, None if block_count is None or block_count != block_count else int(block_count))
         return {**stats, "votes": votes(stats)}
 
-    rows = _texts(renders, cards, quality)
-    judged = rows.select("source_table", "row_key", "noted", arrow(run, f"struct<{', '.join(p.replace(' ', ':', 1) for p in STATISTICS.split(', '))},votes:bigint>", "text", "block_count").alias("s")).groupBy("source_table", "row_key").agg(F.first("s").alias("s"), F.max("noted").alias("noted"))
+    marked = bodies.join(noted.withColumn("noted", F.lit(True)), "render_id", "left")
+    a = marked.select(F.lit("render_results").alias("source_table"), F.col("render_id").cast("string").alias("row_key"), F.coalesce("body", F.lit("")).alias("text"), "block_count", F.coalesce("noted", F.lit(False)).alias("noted"))
+    b = quality.where(F.col("case_id").isNotNull()).select(F.lit("quality_cases").alias("source_table"), F.col("case_id").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"), F.size("blocks").cast("bigint").alias("block_count"), F.lit(False).alias("noted"))
+    judged = a.unionByName(b).select("source_table", "row_key", "noted", arrow(run, f"struct<{', '.join(p.replace(' ', ':', 1) for p in STATISTICS.split(', '))},votes:bigint>", "text", "block_count").alias("s")).groupBy("source_table", "row_key").agg(F.first("s").alias("s"), F.max("noted").alias("noted"))
     judged = materialise(judged)
-    patterns = {r[0]: r[1] for r in judged.where(~F.col("noted")).groupBy("s.votes").count().collect()}
+    counts = judged.groupBy("s.votes").agg(F.sum((~F.col("noted")).cast("bigint")).alias("n")).collect()
+    patterns = {r[0]: r[1] for r in counts if r[1]}
     prior, chance = fit(patterns)
-    known = sorted(set(patterns) | {r[0] for r in judged.select("s.votes").distinct().collect()})
+    known = sorted(r[0] for r in counts)
     post = posterior(np.array([[p >> i & 1 for i in range(len(FUNCTIONS))] for p in known], dtype=float), prior, chance) if known else np.zeros((0, len(TYPES)))
     table_ = judged.sparkSession.createDataFrame([(p, TYPES[int(q.argmax())], round(float(q.max()), 6)) for p, q in zip(known, post)], "votes bigint, kind string, posterior double")
     return judged.select("source_table", "row_key", "noted", "s.*").join(F.broadcast(table_), "votes").drop("votes")
 
 
+def _typed(spark, sf_dir: str) -> DataFrame:
+    renders, cards, quality, words = (table(spark, sf_dir, t) for t in ("render_results", "cards", "quality_cases", "common_words"))
+    return text_types(main_texts(renders), noted_renders(residue_values(cards, renders)), quality, words)
+
+
 def p6_statistics(spark, sf_dir: str) -> DataFrame:
     """The statistics of each text with its type."""
-    return text_types(*(table(spark, sf_dir, t) for t in ("render_results", "cards", "quality_cases", "common_words"))).drop("noted")
+    return _typed(spark, sf_dir).drop("noted")
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """Texts that are mainly a list, a table or junk."""
-    found = text_types(*(table(spark, sf_dir, t) for t in ("render_results", "cards", "quality_cases", "common_words")))
-    return found.where((F.col("kind") != "prose") & ~F.col("noted")).select("source_table", "row_key", "kind")
+    return _typed(spark, sf_dir).where((F.col("kind") != "prose") & ~F.col("noted")).select("source_table", "row_key", "kind")

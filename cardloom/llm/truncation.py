@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from .common import arrow, bounded_sample, materialise, table
-from .residue import SLOT, reason
+from .residue import SLOT
 
 #: Intact values of each field that the model is fitted on, the size of its feature space, and the passes over them.
 INTACT, DIM, EPOCHS = 4000, 1 << 14, 12
@@ -219,7 +219,7 @@ def truncated_values(cards: DataFrame, renders: DataFrame, pages: DataFrame) ->
         for f, t, u, ls, b, m in zip(field, text, full, lines, broken, more):
             u = u if isinstance(u, str) else None
             part = _SLOT_TAIL.sub("", _TAIL.sub("", kept(t)[0]))
-            if ends_whole(part) or not _WORD.search(SLOT.sub(" ", part)) or f == "cards" and reason(t, None) in ("message", "filler"):
+            if ends_whole(part) or not _WORD.search(SLOT.sub(" ", part)):
                 out.append(False)
                 continue
             longer = relation(t, u)

@@ -1,47 +1,90 @@
 import pytest
 
-from cardloom.llm import residue as R
+from cardloom.llm import notices as N, residue as R
 
 from .conftest import CARD, RENDER
 
+# Notices that the labelled table doesn't hold.
+UNLISTED = ["JavaScript is required to view this site.", "Sorry, you have been blocked", "Something went wrong. Please try again.", "Diese Seite ist nicht verfügbar.", "Votre session n'est plus valide, veuillez réessayer.", "페이지 오류가 발생했습니다."]
+ORDINARY = ["Notes on the old tide tables", "A visit to the mill near the canal", "The harbour office measures three small boats", "Why the orchard school lends out maps", "Most read this week", "Share this page"]
 
-@pytest.mark.parametrize("text", ["{{title}}", "Old boats | ${site.name}", "Wie %%date%% es war", "[object Object] Notes", "null – Una visita", "Notes (NaN min)", "502 Bad Gateway", "HTTP/1.1 503 Service Unavailable", "Please enable JavaScript to continue using this application.", "Lorem ipsum ipsum lorem lorem.", "TBD"])
-def test_residue(text):
-    assert R.reason(text, None)
 
+def block(t):
+    return ("text", t, None, None, None, None)
 
-@pytest.mark.parametrize("text", ["We explain what {{title}} stands for in a mail merge", "The border remained undefined until the survey of 1861.", "Access denied: the locksmith remembers", "Why error 404 tells a reader nothing", "Null islands and other maps", "See the note [1] and [...] 100% of it", "", None])
-def test_sound(text):
-    assert R.reason(text, None) is None
 
+def found(spark, cards, renders):
+    return {(r.source_table, r.row_id, r.field_name): r.reason for r in R.residue_values(spark.createDataFrame(cards, CARD), spark.createDataFrame(renders, RENDER)).collect()}
 
-def test_blocks_are_segments():
-    assert R.reason("Menu Home Page not found Back", ["Menu Home", "Page not found", "Back"]) == "message"
 
+@pytest.mark.parametrize("text", ["{{title}}", "Old boats | ${site.name}", "Wie %%date%% es war", "[object Object] Notes", "null – Una visita", "Notes (NaN min)"])
+def test_residue_of_a_value_alone(text):
+    assert R.local_reason(text, R.segments(text, None))
 
-@pytest.mark.parametrize("most", [50_000, 0])
-def test_mined_template_is_found_in_a_page(spark, monkeypatch, most):
-    monkeypatch.setattr(R, "MOST_LEAVES", most)
-    notice = "Sorry folks, our hamster left the wheel again"
-    words = [f"word{i} of note{i} number {i}" for i in range(400)]
-    cards = [(i, 1, "p", w, None) for i, w in enumerate(words)] + [(1000 + i, 1, "p", notice, notice) for i in range(6)] + [(None, None, None, "TBD", None)]
-    block = lambda t: ("text", t, None, None, None, None)
-    renders = [(1, 1, "", f"Menu {notice} End", 3, None, [block("Menu"), block(notice), block("End")]), (2, 1, None, "All is well here.", 1, None, None), (2, 1, None, "All is well here.", 1, None, None), (3, 1, None, None, None, None, None)]
-    got = R.residue_values(spark.createDataFrame(cards, CARD), spark.createDataFrame(renders, RENDER)).collect()
-    assert len(got) == len({(r.source_table, r.row_id, r.field_name) for r in got}) == 13
-    assert ("render_results", 1) in {(r.source_table, r.row_id) for r in got}
 
+@pytest.mark.parametrize("text", ["We explain what {{title}} stands for in a mail merge", "The border remained undefined until the survey of 1861.", "Null islands and other maps", "See the note [1] and [...] 100% of it"])
+def test_sound_values(text):
+    assert R.local_reason(text, R.segments(text, None)) is None
 
-def test_verdict_does_not_turn_with_the_size_of_the_corpus(spark):
-    notice = "Sorry folks, our hamster left the wheel again"
-    lists = [f"{w} hamster" for w in ("sorry folks our", "left the wheel again")]
-    for times in (1, 4):
-        # A word of the notice is in 20 of 8,000 distinct values, then in 80 of 32,000.
-        rows = [(i, 1, "p", f"alpha{chr(97 + i % 26)} " + " ".join(chr(97 + int(c)) * 3 for c in str(i)), None) for i in range(8000 * times)]
-        rows += [(100_000 + i, 1, "p", " ".join(chr(97 + int(c)) * 4 for c in str(i)) + f" {lists[0]} {lists[1]}", None) for i in range(20 * times)] + [(200_000 + i, 1, "p", notice, notice) for i in range(6)]
-        mined = R.message_templates(R._values(spark.createDataFrame(rows, CARD), spark.createDataFrame([], RENDER))).collect()
-        assert notice.lower().split() in [r.pattern for r in mined], times
 
+def test_model_on_lines_it_was_not_fitted_on():
+    assert not {R.masked(x) for x in UNLISTED} & {R.masked(x) for x in N.shown()}
+    model = N.Notices([R.masked(x) for x in ORDINARY])
+    rest = [R.masked(x) for x in N.shown()[::5]]
+    assert all(model.score(R.masked(x)) > 0 for x in UNLISTED[:4])
+    assert sum(model.score(x) > 0 for x in rest) > 0.9 * len(rest) and not any(model.score(R.masked(x)) > 0 for x in ORDINARY)
 
-def test_empty(spark):
-    assert R.residue_values(spark.createDataFrame([], CARD), spark.createDataFrame([], RENDER)).count() == 0
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Cards with ordinary titles, and each unlisted notice in some titles and descriptions and on a page."""
+    things = "boat shelf lantern kettle map rope ladder letter quay tide mill choir baker museum school garden tower bridge stone glass".split()
+    pick = lambda i, k: things[(i * 7 + i // 20 * k + k) % 20]
+    rows = [(i, 1, "p", f"{ORDINARY[i % 6]}: the {pick(i, 1)} and the {pick(i, 2)}", f"It is the {pick(i, 3)} that measures the {pick(i, 5)}. {ORDINARY[i % 4]}, and so on.") for i in range(600)]
+    notes = [(1000 + 10 * k + j, 1, "p", t if j % 2 else "Notes", "Notes" if j % 2 else t) for k, t in enumerate(UNLISTED) for j in range(6)]
+    page = "The office of the harbour measures boats, although the budget for it is small."
+    renders = [(k, 1, None, f"Menu {t} {page}", 3, None, [block("Menu"), block(t), block(page)]) for k, t in enumerate(UNLISTED)]
+    return rows, notes, renders
+
+
+def test_unlisted_notices_are_found_wherever_they_stand(spark, corpus):
+    rows, notes, renders = corpus
+    got = found(spark, rows + notes, renders)
+    want = {("cards", r[0], "title" if r[3] != "Notes" else "description") for r in notes} | {("render_results", r[0], "text") for r in renders}
+    assert set(got) == want and set(got.values()) == {"message"}
+
+
+def test_without_mined_templates_no_message_is_found(spark, corpus, monkeypatch):
+    rows, notes, renders = corpus
+    monkeypatch.setattr(R, "message_templates", lambda lines: lines.limit(0).withColumn("message", R.F.lit(True)))
+    assert found(spark, rows + notes, renders) == {}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_verdicts_are_the_same_when_too_many_to_send(spark, corpus, monkeypatch, most):
+    rows, notes, renders = corpus
+    monkeypatch.setattr(R, "MOST_SENT", most)
+    got = found(spark, rows + notes[:6] + [(None, None, None, "TBD", None), (1, 1, "p", None, "")], [*renders[:1], renders[0], (77, 1, None, None, None, None, None)])
+    assert len(got) == 7
+
+
+def test_a_template_is_judged_with_all_its_lines(spark):
+    lines = [(f"sorry, the server is away today, ticket {x}", 2, True, True, False, 0.5) for x in ("ab", "cd", "ef")] + [("sorry, the server room has a new red door", 1, False, False, True, -0.1)]
+    df = spark.createDataFrame(lines, "template string, n bigint, title boolean, description boolean, text boolean, score double")
+    got = {tuple(r.pattern): (r.n, r.message) for r in R.message_templates(R.templates_of(df)).collect()}
+    assert got == {("sorry,", "the", "server", "is", "away", "today,", "ticket", "*"): (6, True), tuple(lines[3][0].split()): (1, False)}
+
+
+def test_filler_is_learnt_from_its_company(spark):
+    dummy = ["lorem ipsum brallo dentis", "brallo ipsum vorcal dentis lorem", "vorcal lorem dentis brallo", "dentis vorcal brallo"]
+    cards = [(i, 1, "p", t, None) for i, t in enumerate(dummy)] + [(100 + i, 1, "p", f"{ORDINARY[i % 6]} number {i}", None) for i in range(60)]
+    assert {k[1] for k, v in found(spark, cards, []).items() if v == "filler"} == {0, 1, 2, 3}
+
+
+def test_long_and_empty_texts(spark):
+    long = "The office measures boats. " * 5000
+    assert found(spark, [(1, 1, "p", long, " "), (2, 1, "p", "\n", "{{name}} " + long)], [(1, 1, None, long, 0, None, [])]) == {("cards", 2, "description"): "slot"}
+
+
+def test_empty_tables(spark):
+    assert found(spark, [], []) == {}
