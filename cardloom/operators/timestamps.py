@@ -1,17 +1,21 @@
 """Free-form publication times to one UTC instant.
 
-Every value becomes an array of candidate readings; a Viterbi pass over each source's record order picks one reading
-per record, charging for changes of the day-month-year order and for jumps back in time. A source is cut into runs of
-consecutive record numbers, so that a source holding a third of all rows is as many tasks as it needs: each run first
-yields the cheapest cost between any reading of its first and any of its last record (at most 3 x 3 numbers), these
-small matrices are chained per source, and then each run is decoded between the two readings so fixed. The result is
-the same as one pass over the whole source.
+Every value becomes an array of candidate readings, one for each order of day, month and year; a Viterbi pass over each
+source's record order picks the order of every record, charging for changes of it, less where the written form of the
+value changes too, for dates that the order makes impossible, for jumps back in time, and a little for an order other
+than the one the source declares: a declaration is a hint that the records can overrule. A value whose order is plain
+takes part as well: it carries the order of the records before it and its instant stands beside theirs.
+
+A source is cut into runs of consecutive record numbers, so that a source holding a third of all rows is as many tasks
+as it needs: each run first yields the cheapest cost between any state of its first and any of its last record (3 x 3
+numbers), these small matrices are chained per source, and then each run is decoded between the two states so fixed. The
+result is the same as one pass over the whole source.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
@@ -20,11 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-#: Readings of an all-digit date; OTHER is any value whose order of day, month and year is plain.
-DMY, MDY, YMD, OTHER = 0, 1, 2, 3
+from ..session import materialise, table
+
+#: Orders of an all-digit date, which are the states; PLAIN is a reading whose order of day, month and year is plain.
+DMY, MDY, YMD, PLAIN = 0, 1, 2, 3
+STATES = (DMY, MDY, YMD)
 ORDERS = {"DMY": DMY, "MDY": MDY, "YMD": YMD}
-#: Costs: a reading against the order the source declares, a change of order between neighbours, a jump back in time.
-AGAINST_DECLARED, SWITCH, BACKWARD = 3.0, 1.0, 0.25
+#: Costs of a record: an order other than the declared one, and a date that its order makes impossible. Costs of a pair of
+#: neighbours: another order in the same written form, in another form, and a jump back in time.
+UNDECLARED, IMPOSSIBLE, SWITCH, FORM_SWITCH, BACKWARD = 0.15, 1.2, 2.0, 1.5, 0.1
 BACKWARD_US = 86_400_000_000
 #: Record numbers in a run; bounds what one task holds.
 RUN = 50_000
@@ -53,6 +61,8 @@ _LEAD = re.compile(r"^(?:posted(?:\s+on)?|published(?:\s+on)?|(?:last\s+)?update
 _EPOCH = re.compile(r"^(?:(\d{9,10})(?:\.(\d{1,9}))?|(\d{13})|(\d{16})|(\d{19}))$")
 _OFFSET = re.compile(r"^(?:utc|gmt)?([+\-−])(\d{1,2}):?(\d{2})?$", _I)
 _SPACE = re.compile(r"[\s ﻿]+")
+_DIGIT, _LETTERS = re.compile(r"\d"), re.compile(r"[^\W\d_]+")
+INFINITE, _SAME = float("inf"), list(STATES)
 _EPOCH0 = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -95,13 +105,11 @@ def _instant(wall: datetime, zone: str | None, zone_id: str | None, site_zone: s
     return _us(first), False
 
 
-def readings(value: str | None, declared: str | None, site_zone: str | None) -> list[tuple[int, int, float, bool]]:
-    """All readings of a value as (microseconds, order, cost, fixed).
+def readings(value: str | None, site_zone: str | None) -> list[tuple[int, int, bool]]:
+    """All readings of a value as (microseconds, order, fixed): one with order PLAIN, or one for every order it allows.
 
     Relative, impossible, empty and null values have none; a wall-clock time that is skipped, or passed twice and not
-    told apart, has one that is not fixed. A source that declares no order, or an unknown one, gets every valid order
-    at the same cost; with a declared order the others are kept at a higher cost, but a date that the declared order
-    makes impossible has none. Two-digit years are 19xx from 70 on.
+    told apart, has one that is not fixed. Two-digit years are 19xx from 70 on.
     """
     if value is None:
         return []
@@ -111,7 +119,7 @@ def readings(value: str | None, declared: str | None, site_zone: str | None) ->
             us = int(m[1]) * 1_000_000 + int(((m[2] or "") + "000000")[:6])
         else:
             us = int(m[3]) * 1000 if m[3] else int(m[4]) if m[4] else int(m[5]) // 1000
-        return [(us, OTHER, 0.0, True)]
+        return [(us, PLAIN, True)]
     m = _ISO.match(text) or _COMPACT.match(text) or _DIGITS.match(text) or _DAY_FIRST.match(text) or _MONTH_FIRST.match(text) or _CJK.match(text)
     if m is None:
         return []
@@ -128,7 +136,7 @@ def readings(value: str | None, declared: str | None, site_zone: str | None) ->
     if "a" in g:
         a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
         if len(g["a"]) == 4:
-            days = [(OTHER, a, b, c)]
+            days = [(PLAIN, a, b, c)]
         elif len(g["a"]) > 2 or len(g["c"]) not in (2, 4):
             return []
         else:
@@ -137,8 +145,7 @@ def readings(value: str | None, declared: str | None, site_zone: str | None) ->
         month = MONTHS.get(g["name"].lower()) if g.get("name") else int(g["mo"])
         if month is None:
             return []
-        days = [(OTHER, int(g["y"]), month, int(g["d"]))]
-    wanted = ORDERS.get(declared or "")
+        days = [(PLAIN, int(g["y"]), month, int(g["d"]))]
     out = []
     for order, year, month, day in days:
         year += 0 if year > 99 else 1900 if year >= 70 else 2000
@@ -148,72 +155,96 @@ def readings(value: str | None, declared: str | None, site_zone: str | None) ->
         except (ValueError, OverflowError):
             continue
         if got:
-            cost = 0.0 if order == OTHER or wanted is None or order == wanted else AGAINST_DECLARED
-            out.append((got[0], order, cost, got[1]))
-    if wanted is not None and out and out[0][1] != OTHER and all(x[1] != wanted for x in out):
-        return []
-    return sorted(out, key=lambda x: x[2])
+            out.append((got[0], order, got[1]))
+    return out
+
+
+def written_form(value: str) -> int:
+    """A number for the pattern and precision of a value: its digits as 0, its words as a."""
+    return zlib.crc32(_LETTERS.sub("a", _DIGIT.sub("0", _SPACE.sub(" ", value).strip())).encode())
 
 
-READING = "struct<us:bigint,fmt:int,cost:double,fixed:boolean>"
+#: What the decoder needs of a record: for each state an instant (NEVER where it is impossible; a null among the numbers would
+#: make them floats), whether that is fixed, and its cost; the written form; whether its order is plain.
+NEVER = -(1 << 63)
+RECORD = "struct<us:array<bigint>,fixed:array<boolean>,cost:array<double>,form:bigint,plain:boolean>"
 
 
-def _readings_column(value: pd.Series, declared: pd.Series, zone: pd.Series) -> pd.Series:
-    names = ("us", "fmt", "cost", "fixed")
+def record(value: str | None, declared: str | None, site_zone: str | None) -> dict | None:
+    """The record of a value; null for one without readings. A source that declares no order, or an unknown one, prefers none."""
+    found = readings(value, site_zone)
+    if not found:
+        return None
+    if found[0][1] == PLAIN:
+        us, _, fixed = found[0]
+        return {"us": [us] * 3, "fixed": [fixed] * 3, "cost": [0.0] * 3, "form": written_form(value), "plain": True}
+    wanted, by = ORDERS.get(declared or ""), {o: (us, fixed) for us, o, fixed in found}
+    cost = [(IMPOSSIBLE if o not in by else 0.0) + (UNDECLARED if wanted is not None and o != wanted else 0.0) for o in STATES]
+    return {"us": [by[o][0] if o in by else NEVER for o in STATES], "fixed": [by[o][1] if o in by else False for o in STATES], "cost": cost, "form": written_form(value), "plain": False}
+
+
+def _records_column(value: pd.Series, declared: pd.Series, zone: pd.Series) -> pd.DataFrame:
     clean = lambda x: x if isinstance(x, str) else None
-    return pd.Series([[dict(zip(names, r)) for r in readings(clean(v), clean(d), clean(z))] for v, d, z in zip(value, declared, zone)], index=value.index)
+    none = dict.fromkeys(("us", "fixed", "cost", "form", "plain"))
+    return pd.DataFrame([record(clean(v), clean(d), clean(z)) or none for v, d, z in zip(value, declared, zone)], index=value.index, columns=list(none)).astype({"form": "Int64"})
 
 
-def _step(a: dict, b: dict) -> float:
-    return (SWITCH if a["fmt"] != b["fmt"] and OTHER not in (a["fmt"], b["fmt"]) else 0.0) + (BACKWARD if b["us"] < a["us"] - BACKWARD_US else 0.0)
+def step(a: dict, i: int, b: dict, j: int) -> float:
+    """Cost of state j of a record behind state i of the one before. The order doesn't change at a plain value."""
+    if i != j and b["plain"]:
+        return INFINITE
+    turned = 0.0 if i == j else SWITCH if a["form"] == b["form"] else FORM_SWITCH
+    x, y = a["us"][i], b["us"][j]
+    return turned + (BACKWARD if x != NEVER and y != NEVER and y < x - BACKWARD_US else 0.0)
 
 
-def _paths(records: list[list[dict]], first: int) -> tuple[list[float], list[list[int]]]:
-    """Cheapest costs to each reading of the last record, from reading number first of the first; and the way back."""
-    costs = [r["cost"] if i == first else float("inf") for i, r in enumerate(records[0])]
+def _paths(records: list[dict], first: int) -> tuple[list[float], list[list[int]]]:
+    """Cheapest costs to each state of the last record, from state first of the first; and the way back."""
+    costs = [c if i == first else INFINITE for i, c in enumerate(records[0]["cost"])]
     back: list[list[int]] = []
-    for before, now in zip(records, records[1:]):
-        if len(before) == 1 and len(now) == 1:
-            costs = [costs[0] + _step(before[0], now[0]) + now[0]["cost"]]
-            back.append([0])
+    for a, b in zip(records, records[1:]):
+        if b["plain"]:
+            costs = [costs[j] + step(a, j, b, j) for j in STATES]
+            back.append(_SAME)
             continue
         new, links = [], []
-        for r in now:
-            best = min(range(len(before)), key=lambda i: (costs[i] + _step(before[i], r), i))
-            new.append(costs[best] + _step(before[best], r) + r["cost"])
+        for j in STATES:
+            way = [costs[i] + step(a, i, b, j) for i in STATES]
+            best = min(STATES, key=way.__getitem__)
+            new.append(way[best] + b["cost"][j])
             links.append(best)
         costs = new
         back.append(links)
     return costs, back
 
 
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per record that has a reading, in record order. Filtered here: a filter in the plan would parse twice."""
-    return pdf[pdf["__r"].map(len) > 0].drop_duplicates("__id").sort_values("__id", kind="stable")
+def _in_order(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[dict]]:
+    """One row per record, in record order."""
+    pdf = pdf.drop_duplicates("__id").sort_values("__id", kind="stable")
+    columns = ("us", "fixed", "cost", "form", "plain")
+    return pdf, [{"us": list(map(int, us)), "fixed": f, "cost": c, "form": form, "plain": p} for us, f, c, form, p in zip(*(pdf[c] for c in columns))]
 
 
 def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = _sorted(pdf)
-    records = [list(x) for x in pdf["__r"]]
-    if not records:
-        return pd.DataFrame({c: pd.Series(dtype=object) for c in ("__source", "__run", "head", "tail", "costs")})
-    costs = [_paths(records, i)[0] for i in range(len(records[0]))]
-    return pd.DataFrame({"__source": [pdf["__source"].iloc[0]], "__run": [pdf["__run"].iloc[0]], "head": [records[0]], "tail": [records[-1]], "costs": [costs]})
+    pdf, records = _in_order(pdf)
+    costs = [_paths(records, i)[0] for i in STATES]
+    ends = {f"{name}_{k}": [r[k]] for name, r in (("head", records[0]), ("tail", records[-1])) for k in ("us", "form", "plain")}
+    return pd.DataFrame({"__source": [pdf["__source"].iloc[0]], "__run": [pdf["__run"].iloc[0]], **ends, "costs": [costs]})
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Picks the first and last reading of every run of a source; as Viterbi, with runs for records."""
+    """Picks the states of the first and last record of every run of a source; as Viterbi, with runs for records."""
     pdf = pdf.sort_values("__run")
-    runs = [(list(h), list(t), [list(c) for c in k]) for h, t, k in zip(pdf["head"], pdf["tail"], pdf["costs"])]
+    ends = {name: [{"us": list(map(int, u)), "form": f, "plain": p} for u, f, p in zip(*(pdf[f"{name}_{k}"] for k in ("us", "form", "plain")))] for name in ("head", "tail")}
     table, total = [], None
-    for n, (head, tail, costs) in enumerate(runs):
-        enter = [(0.0, 0)] * len(head)
+    for n, costs in enumerate(pdf["costs"]):
+        enter = [(0.0, 0)] * 3
         if n:
-            enter = [min((total[j] + _step(p, r), j) for j, p in enumerate(runs[n - 1][1])) for r in head]
-        best = [min((enter[i][0] + costs[i][j], i) for i in range(len(head))) for j in range(len(tail))]
+            enter = [min((total[i] + step(ends["tail"][n - 1], i, ends["head"][n], j), i) for i in STATES) for j in STATES]
+        best = [min((enter[i][0] + costs[i][j], i) for i in STATES) for j in STATES]
         table.append(([e[1] for e in enter], [i for _, i in best]))
         total = [c for c, _ in best]
-    picks, j = [], min(range(len(total)), key=lambda x: (total[x], x))
+    picks, j = [], min(STATES, key=lambda x: (total[x], x))
     for enter, via in reversed(table):
         i = via[j]
         picks.append((i, j))
@@ -223,10 +254,9 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _decode(rows: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
-    rows = _sorted(rows)
     if rows.empty or picks.empty:
         return pd.DataFrame({"__id": pd.Series(dtype="int64"), "__us": pd.Series(dtype="int64")})
-    records = [list(x) for x in rows["__r"]]
+    rows, records = _in_order(rows)
     first, j = int(picks["first"].iloc[0]), int(picks["last"].iloc[0])
     _, back = _paths(records, first)
     chosen = [j]
@@ -234,8 +264,7 @@ def _decode(rows: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
         j = links[j]
         chosen.append(j)
     chosen.reverse()
-    taken = [r[k] for r, k in zip(records, chosen)]
-    return pd.DataFrame({"__id": rows["__id"], "__us": pd.array([t["us"] if t["fixed"] else None for t in taken], dtype="Int64")})
+    return pd.DataFrame({"__id": rows["__id"], "__us": pd.array([r["us"][k] if r["fixed"][k] else None for r, k in zip(records, chosen)], dtype="Int64")})
 
 
 def normalise_timestamps(df: DataFrame, sites: DataFrame, *, id_col: str = "card_id", value_col: str = "published_at", source_col: str = "provider", run: int = RUN) -> DataFrame:
@@ -250,10 +279,13 @@ def normalise_timestamps(df: DataFrame, sites: DataFrame, *, id_col: str = "card
         df.select(F.col(id_col).cast("bigint").alias("__id"), F.col(value_col).alias("__value"), F.col(source_col).alias("__src"))
         .where(F.col("__id").isNotNull() & F.col("__value").rlike("[0-9]"))
         .join(known, F.col("__src") == F.col("__provider"), "left")
-        .select("__id", F.coalesce("__src", F.lit("")).alias("__source"), F.expr(f"floor(__id / {run})").cast("bigint").alias("__run"), pandas_udf(_readings_column, f"array<{READING}>")("__value", "date_order", "time_zone").alias("__r"))
+        .select("__id", F.coalesce("__src", F.lit("")).alias("__source"), F.expr(f"floor(__id / {run})").cast("bigint").alias("__run"), pandas_udf(_records_column, RECORD)("__value", "date_order", "time_zone").alias("__r"))
     )
+    # Parsed once: written, as both passes over the runs read it.
+    rows = materialise(rows.select("__id", "__source", "__run", "__r.*")).where(F.col("us").isNotNull())
     key = "__source string, __run bigint"
-    runs = rows.groupBy("__source", "__run").applyInPandas(_summary, f"{key}, head array<{READING}>, tail array<{READING}>, costs array<array<double>>")
+    ends = ", ".join(f"{name}_us array<bigint>, {name}_form bigint, {name}_plain boolean" for name in ("head", "tail"))
+    runs = rows.groupBy("__source", "__run").applyInPandas(_summary, f"{key}, {ends}, costs array<array<double>>")
     picks = runs.groupBy("__source").applyInPandas(_chain, f"{key}, first int, last int")
     return (
         rows.groupBy("__source", "__run").cogroup(picks.groupBy("__source", "__run")).applyInPandas(_decode, "__id bigint, __us bigint")
@@ -264,6 +296,4 @@ def normalise_timestamps(df: DataFrame, sites: DataFrame, *, id_col: str = "card
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """Cards whose published_at denotes exactly one instant."""
-    from ..session import table
-
     return normalise_timestamps(table(spark, sf_dir, "cards"), table(spark, sf_dir, "sites"))
