@@ -1,20 +1,21 @@
 """A small labelled table of notices and ordinary lines, and the model of notices that is fitted on it.
 
 The rows are written by hand: messages as common servers, browsers, frameworks and page builders show them by default,
-and lines that pages have anyway, also lines that speak of errors. A template is judged by logistic regression over hashed
+and lines that pages have anyway, also lines that speak of errors. A template is judged by logistic regression over
 words, word pairs and the letters inside words, so that what is learnt carries over to messages that the table lacks.
 Lines of the corpus are added as ordinary ones: next to all of them are.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from functools import lru_cache
 from http import HTTPStatus
 
 import numpy as np
-import xxhash
 
-DIM, EPOCHS, RATE, DECAY = 1 << 15, 200, 0.5, 1e-6
+EPOCHS, RATE, DECAY = 200, 0.5, 1e-6
 
 # Labelled rows, one a line: what is shown in place of content.
 _SHOWN = """
@@ -305,6 +306,7 @@ asldkfj qwpeor zmxncb
 
 _WORD = re.compile(r"[^\W\d_]+|\d+|[$/_]+")
 _QUOTED = re.compile(r"[“«„「\"][^”»“」\"]*[”»“」\"]")
+_QUOTES = frozenset("“«„「\"")
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 
 
@@ -321,24 +323,35 @@ def ordinary() -> list[str]:
     return _ORDINARY.strip().split("\n")
 
 
-def hashed(line: str) -> list[int]:
-    """Numbers of the features of a line: words, pairs of words, letters inside words, length, kind of end."""
+@lru_cache(maxsize=200_000)
+def _word_features(w: str) -> tuple[str, ...]:
+    """The word, and the letters inside it."""
+    if w.isdigit():
+        return ("w0",)
+    if _EAST.search(w):
+        return (f"w{w}", *{f"c{w[i : i + k]}" for k in (2, 3, 4) for i in range(len(w) - k + 1)})
+    return (f"w{w}", f"s{w[:5]}", f"s{w[:7]}") if len(w) > 5 else (f"w{w}",)
+
+
+def _parts(line: str) -> tuple[list[str], list[str]]:
+    """The words of a line, and what it looks like as a whole; what stands in quotation marks is spoken of and left out."""
     low = line.lower()
-    if any(c in low for c in "“«„「\"") and len(_WORD.findall(bare := _QUOTED.sub(" ", low))) >= 3:
-        low = bare  # what stands in quotation marks is spoken of
+    if not _QUOTES.isdisjoint(low) and len(_WORD.findall(bare := _QUOTED.sub(" ", low))) >= 3:
+        low = bare
     words = _WORD.findall(low)
-    named = {"bias", f"n{min(len(words), 12) // 2}", f"end{low[-1:] if low[-1:] in '.!?…。' else ''}", f"same{len(words) > 1 and len(set(words)) == 1}", f"ask{'?' in low or '？' in low}", f"quote{any(c in low for c in '“”«»「」')}", f"colon{': ' in low}"}
-    last = "^"
-    for w in words:
-        w = "0" if w.isdigit() else w
-        named |= {f"w{w}", f"p{last} {w}"}
-        last = w
-        if _EAST.search(w):
-            named |= {f"c{w[i : i + k]}" for k in (2, 3, 4) for i in range(len(w) - k + 1)}
-        elif len(w) > 5:
-            named |= {f"s{w[:5]}", f"s{w[:7]}"}
-    named.add(f"p{last} $")
-    return [xxhash.xxh32_intdigest(f) % DIM for f in sorted(named)]
+    last = low[-1:]
+    return words, ["bias", f"n{min(len(words), 12) // 2}", f"end{last if last in '.!?…。' else ''}", f"same{len(words) > 1 and len(set(words)) == 1}", f"ask{'?' in low or '？' in low}", f"quote{'“' in low or '”' in low or '«' in low or '»' in low or '「' in low or '」' in low}", f"colon{': ' in low}"]
+
+
+def _pairs(words: list[str]) -> set[tuple[str, str]]:
+    plain = ["0" if w.isdigit() else w for w in words]
+    return set(zip(["^", *plain], [*plain, "$"]))
+
+
+def features(line: str) -> list:
+    """The features of a line: words, the letters inside them, pairs of words, length, kind of end."""
+    words, looks = _parts(line)
+    return [*looks, *_pairs(words), *(f for w in set(words) for f in _word_features(w))]
 
 
 def fragments(line: str) -> list[str]:
@@ -348,28 +361,45 @@ def fragments(line: str) -> list[str]:
 
 
 class Notices:
-    """Logistic regression over hashed features; weights of one fit are the same for the same rows."""
+    """Logistic regression over the features of lines; the same for the same rows."""
 
     def __init__(self, corpus: list[str] = ()):
-        good, bad = [hashed(x) for x in shown()], [hashed(x) for x in ordinary()]
-        lines = [hashed(x) for line in sorted(set(corpus)) for x in (line, *fragments(line))]
+        good, bad = [features(x) for x in shown()], [features(x) for x in ordinary()]
+        lines = [features(x) for line in sorted(set(corpus)) for x in (line, *fragments(line))]
         rows = good + bad + lines
         y = np.array([1.0] * len(good) + [0.0] * (len(bad) + len(lines)))
-        # A labelled row counts the same whatever number of corpus lines stand beside it.
-        weight = np.array([1.0] * (len(good) + len(bad)) + [min(1.0, 1.0 * len(good) / max(1, len(lines)))] * len(lines))
+        # Lines of the corpus together weigh as much as the labelled notices, whatever their number.
+        weight = np.array([1.0] * (len(good) + len(bad)) + [min(1.0, len(good) / max(1, len(lines)))] * len(lines))
+        index: dict = {}
+        columns = np.array([index.setdefault(f, len(index)) for r in rows for f in r])
         at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        columns = np.concatenate([np.array(r) for r in rows])
         scale = 1 / np.sqrt(np.array([len(r) for r in rows]))
-        self.weights = np.zeros(DIM)
-        grad = np.full(DIM, 1e-4)
+        weights, grad = np.zeros(len(index)), np.full(len(index), 1e-4)
         for _ in range(EPOCHS):
-            z = np.bincount(at, self.weights[columns], len(rows)) * scale
+            z = np.bincount(at, weights[columns], len(rows)) * scale
             q = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight * scale
-            g = np.bincount(columns, q[at], DIM) / weight.sum() + DECAY * self.weights
+            g = np.bincount(columns, q[at], len(index)) / weight.sum() + DECAY * weights
             grad += g * g
-            self.weights -= RATE * g / np.sqrt(grad)
+            weights -= RATE * g / np.sqrt(grad)
+        self.weights = {f: w for f, w in zip(index, weights.tolist())}
+        self.words: dict[str, tuple[float, int]] = {}
+
+    def _word(self, w: str) -> tuple[float, int]:
+        """What a word adds, and its number of features; kept, as words recur."""
+        if (got := self.words.get(w)) is None:
+            own = _word_features(w)
+            got = (sum(self.weights.get(f, 0.0) for f in own), len(own))
+            if len(self.words) > 200_000:
+                self.words.clear()
+            self.words[w] = got
+        return got
 
     def score(self, line: str) -> float:
         """Log-odds that a line is a notice."""
-        f = hashed(line)
-        return float(self.weights[f].sum() / np.sqrt(len(f)))
+        words, looks = _parts(line)
+        pairs, get = _pairs(words), self.weights.get
+        total, n = sum(get(f, 0.0) for f in looks) + sum(get(p, 0.0) for p in pairs), len(looks) + len(pairs)
+        for w in set(words):
+            a, k = self._word(w)
+            total, n = total + a, n + k
+        return total / math.sqrt(n)
