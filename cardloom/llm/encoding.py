@@ -16,8 +16,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow, field_values, materialise
@@ -90,6 +93,10 @@ CHANNELS = {
     "euc-kr as cp1252": _through("cp949", "cp1252", "keep"),
 }
 NAMES = list(CHANNELS)
+#: The channel that leaves one and the same sign for every character that it garbles.
+LOSSY = "cp1252 as utf-8"
+#: A word with at least this share of all occurrences is hot, so there are at most its inverse of them; hot words are joined in so many parts.
+HOT_SHARE, PARTS = 1 / 2000, 64
 
 
 class Lattice:
@@ -166,11 +173,24 @@ def _odd_words(text: str) -> list[str]:
     return [w for w in split_words(text) if _ODD.search(w)]
 
 
-def _char_counts(text: str) -> list[dict]:
-    seen: dict[str, int] = {}
-    for c in text:
-        seen[c] = seen.get(c, 0) + 1
-    return [{"c": c, "n": n} for c, n in seen.items()]
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of characters and of odd words, added up per batch before anything is shuffled."""
+    for pdf in batches:
+        chars: Counter = Counter()
+        words: Counter = Counter()
+        for text in pdf["__text"]:
+            chars.update(text)
+            words.update(_odd_words(text))
+        yield pd.DataFrame({"char": [True] * len(chars) + [False] * len(words), "key": [*chars, *words], "n": [*chars.values(), *words.values()]})
+
+
+def shape(word: str) -> str | None:
+    """A word as it shows where its bytes were read as UTF-8: every odd character lost; None where nothing is."""
+    try:
+        out = "".join(CHANNELS[LOSSY](c) for c in word)
+    except UnicodeError:
+        return None
+    return out if LOST in out and LOST not in word else None
 
 
 def suspects(text: str) -> list[dict]:
@@ -252,25 +272,33 @@ def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table"
 
     restored is null where nothing fits, as where every byte of a character was lost. Values whose only garbled marks
     are spoken of, in quotes or beside the right character, are sound, and so are those whose only lost character is
-    their last, which a cut leaves. Null and empty values are sound; repeated rows count once; only keys and text_col are read.
+    their last, which a cut leaves. Null and empty values are sound; repeated rows count once; only keys and text_col are read. Character counts, some tens of thousands at most, go to every task; words are joined.
     """
     base = values.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text_col).alias("__text")).where(F.col("__text").rlike(f"[^\\x00-\\x7F]|&[a-zA-Z]+;"))
     ids = [f"__k{i}" for i in range(len(keys))]
-    chars = base.select(F.explode(arrow(_char_counts, "array<struct<c:string,n:bigint>>", "__text")).alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n"))
-    counts = values.sparkSession.sparkContext.broadcast({r["c"]: r["n"] for r in chars.toLocalIterator()})
-    counted = materialise(base.select(F.explode(arrow(_odd_words, "array<string>", "__text")).alias("word")).groupBy("word").count())
+    tally = materialise(base.select("__text").mapInPandas(_tally, "char boolean, key string, n bigint").groupBy("char", "key").agg(F.sum("n").alias("n")))
+    counts = values.sparkSession.sparkContext.broadcast({r["key"]: r["n"] for r in tally.where("char").toLocalIterator()})
+    counted = tally.where("not char").select(F.col("key").alias("word"), "n")
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rated = counted.repartition(spread, "word").where(F.col("word").rlike(_SUSPECT.pattern) | F.col("word").contains(LOST)).select(
-        "word", F.col("count").alias("n"),
-        F.explode_outer(arrow(lambda w, n: _readings(w, n, _lattice(counts)), "array<struct<channel:int,text:string,gain:double,runs:int>>", "word", "count")).alias("r"),
-    )
-    known = counted.select(F.col("word").alias("__reading"), F.col("count").alias("__count"))
-    rated = rated.join(known, F.col("r.text") == F.col("__reading"), "left").groupBy("word", "n").agg(
-        F.collect_list(F.when(F.col("r").isNotNull() & ((F.col("r.runs") > 0) | F.col("__count").isNotNull()), F.struct("r.channel", "r.text", "r.gain", "r.runs", F.coalesce("__count", F.lit(0)).alias("n")))).alias("readings")
-    )
+    doubtful = materialise(counted.where(F.col("word").rlike(_SUSPECT.pattern) | F.col("word").contains(LOST)))
+    reading = "struct<channel:int,text:string,gain:double,runs:int>"
+    rated = doubtful.repartition(spread, "word").select("word", "n", F.explode_outer(arrow(lambda w, n: _readings(w, n, _lattice(counts)), f"array<{reading}>", "word", "n")).alias("r"))
+    known = counted.select(F.col("word").alias("__reading"), F.col("n").alias("__count"))
+    rated = rated.join(known, F.col("r.text") == F.col("__reading"), "left").where(F.col("r").isNull() | (F.col("r.runs") > 0) | F.col("__count").isNotNull())
+    rated = rated.select("word", "n", F.when(F.col("r").isNotNull(), F.struct("r.channel", "r.text", "r.gain", "r.runs", F.coalesce("__count", F.lit(0)).alias("n"))).alias("r"))
+    # Where one sign stands for every lost character the lattice can't tell them apart: the words of the corpus that show as such a word are its readings, all of them.
+    shaped = counted.select(F.col("word").alias("__reading"), F.col("n").alias("__count"), arrow(shape, "string", "word").alias("__shape")).where(F.col("__shape").isNotNull())
+    lost = doubtful.where(F.col("word").contains(LOST)).join(shaped, F.col("word") == F.col("__shape"))
+    lost = lost.select("word", "n", F.struct(F.lit(NAMES.index(LOSSY)).alias("channel"), F.col("__reading").alias("text"), F.lit(0.0).alias("gain"), F.lit(0).alias("runs"), F.col("__count").alias("n")).alias("r"))
+    rated = rated.unionByName(lost).groupBy("word", "n").agg(F.collect_set("r").alias("readings"))
     rated = rated.where((F.size("readings") > 0) | F.col("word").contains(LOST))
     found = base.select(*ids, F.explode(arrow(suspects, "array<struct<at:int,word:string,last:boolean,alone:array<string>>>", "__text")).alias("s")).select(*ids, "s.*").distinct()
-    found = found.join(rated, "word").groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("at", "word", "last", "alone", "n", "readings"))).alias("items"))
+    # A hot word is joined in PARTS parts, so that no task gets all of its occurrences.
+    total = doubtful.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(doubtful.where(F.col("n") >= max(1.0, HOT_SHARE * total)).select("word", F.lit(True).alias("hot")))
+    found = found.join(hot, "word", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64(*ids), F.lit(PARTS))).otherwise(F.lit(0).cast("bigint"))).drop("hot")
+    rated = rated.join(hot, "word", "left").withColumn("part", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("hot")
+    found = found.join(rated, ["word", "part"]).groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("at", "word", "last", "alone", "n", "readings"))).alias("items"))
     found = found.select(*ids, arrow(_verdict, "array<struct<at:int,word:string,channel:string,restored:string>>", "items").alias("words"))
     return found.where(F.size("words") > 0).select(*[F.col(i).alias(k) for i, k in zip(ids, keys)], "words")
 
