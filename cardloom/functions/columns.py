@@ -62,15 +62,82 @@ def trimmed(c: Column) -> Column:
 # URLs -----------------------------------------------------------------------------------------------------------------
 
 
+# Scheme, authority, path and query of a web address; any number of slashes may follow the scheme.
+_RX_ADDRESS = r"^(?i)(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+_RX_AUTHORITY = r"^(?:[\s\S]*@)?(\[[0-9A-Fa-f:.]+\]|[^:\[\]\s<>^|%@]+)(?::(\d{0,5}))?$"
+_RX_ODD_PATH, _RX_ODD_QUERY = r"[^\x21\x23-\x3B\x3D\x3F-\x5F\x61-\x7A\x7C\x7E]", r"[^\x21\x23-\x26\x28-\x3B\x3D\x3F-\x7E]"
+
+
+# Addresses that are canonical as they stand: next to all, so that the rest may go the slow way.
+_RX_CANONICAL = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/(?:[A-Za-z0-9_~!$&'()*+,;=:@-]|/(?!\.)|(?<!/)\.|%(?!2[eE])[0-9A-Fa-f]{2})*(?:\?[A-Za-z0-9_~!$&()*+,;=:@/?.%-]*)?$"
+
+
+def _escaped(c: Column, odd: str) -> Column:
+    """Characters that may not stand in an address as UTF-8 bytes in hexadecimal."""
+    one = lambda ch: F.when(ch.rlike(odd), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch)
+    return F.when(c.rlike(odd), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its '.' and '..' segments carried out."""
+    dot, dots = r"^(?i)(\.|%2e)$", r"^(?i)(\.|%2e){2}$"
+    step = lambda acc, x: F.when(x.rlike(dots), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x.rlike(dot), acc).otherwise(F.concat(acc, F.array(x)))
+    walked = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    closed = F.concat(walked, F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}$"), "/").otherwise(""))
+    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), F.regexp_replace(F.concat(F.lit("/"), closed), "^/+", "/")).otherwise(path)
+
+
+def _canonical(u: Column, fragment: bool) -> Column:
+    part = lambda i: F.regexp_extract(u, _RX_ADDRESS, i)
+    parts = F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("authority"), F.replace(part(3), F.lit("\\"), F.lit("/")).alias("path"), part(4).alias("query"), part(5).alias("tail"))
+
+    def built(p: Column) -> Column:
+        host, digits = (F.regexp_extract(p["authority"], _RX_AUTHORITY, i) for i in (1, 2))
+        port = digits.try_cast("int")
+        own = F.when(port.isNotNull() & (port != F.when(p["scheme"] == "http", 80).otherwise(443)), F.concat(F.lit(":"), port.cast("string"))).otherwise("")
+        path = F.when(p["path"] == "", "/").otherwise(let(_without_dots(p["path"]), lambda x: _escaped(x, _RX_ODD_PATH)))
+        whole = F.concat(p["scheme"], F.lit("://"), F.regexp_extract(p["authority"], r"^([\s\S]*@)", 1), F.lower(host), own, path, _escaped(p["query"], _RX_ODD_QUERY), *([p["tail"]] if fragment else []))
+        return F.when((p["scheme"] != "") & p["authority"].rlike(_RX_AUTHORITY) & (F.coalesce(port, F.lit(0)) <= 65535), whole)
+
+    return let(parts, built)
+
+
+def canonical_url(u: Column, *, fragment: bool = False) -> Column:
+    """A web address in canonical form: scheme and host in small letters, no default port, a path without dot segments; null for one that can't be.
+
+    User names and passwords stay; hosts beyond ASCII stay as they are.
+    """
+    return F.when(u.rlike(_RX_CANONICAL), u).otherwise(_canonical(u, fragment))
+
+
 def normalize_url(c: Column) -> Column:
-    """Trimmed, with https:// where no scheme is given, without fragment; null for an empty one or another protocol."""
-    t = F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
-    u = F.when(t.rlike(r"^[a-zA-Z][a-zA-Z\d+.-]*:"), t).otherwise(F.concat(F.lit("https://"), t))
-    return F.when((t != "") & u.rlike(r"^(?i)https?://[^/?#]+"), F.regexp_replace(u, "#.*$", ""))
+    """Trimmed, with https:// where no scheme is given, canonical, without fragment; null for an empty one or another protocol."""
+
+    def slow(t: Column) -> Column:
+        return F.when(t != "", _canonical(F.when(t.rlike(r"^[a-zA-Z][a-zA-Z\d+.-]*:"), t).otherwise(F.concat(F.lit("https://"), t)), False))
+
+    blank = rf"(?:{WS}|[\x00-\x20])+"
+    return F.when(c.rlike(_RX_CANONICAL), c).otherwise(let(F.regexp_replace(F.regexp_replace(c, f"^{blank}|{blank}$", ""), r"[\t\r\n]", ""), slow))
+
+
+def resolve_link(link: Column, base: Column) -> Column:
+    """A link as an absolute address, seen from a canonical base; null for an empty one. Other schemes than the web's stay as they are."""
+
+    def whole(x: Column) -> Column:
+        root = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1)
+        folder = F.regexp_extract(base, r"^([a-z]+://[^/?#]+(?:/[^?#/]*)*/)", 1)
+        return (
+            F.when(x.rlike(r"^[a-zA-Z][a-zA-Z\d+.-]*:"), x).when(x.rlike(r"^[/\\]{2}"), F.concat(F.regexp_extract(base, r"^([a-z]+:)", 1), x)).when(x.rlike(r"^[/\\]"), F.concat(root, x))
+            .when(x.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), x)).when(x.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), x)).otherwise(F.concat(folder, x))
+        )
+
+    made = let(let(present(link), whole), lambda w: F.when(w.rlike(r"^(?i)https?:"), canonical_url(w, fragment=True)).otherwise(w))
+    return F.when(link.isNotNull(), made)
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z\d+.-]*://([^/:?#]+)", 1))
+    """The host of an address: behind a user name, before a port; of IPv6 with its brackets."""
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z\d+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)", 1))
 
 
 def url_path(url: Column) -> Column:
@@ -125,9 +192,51 @@ def article_path(path: Column) -> Column:
 
 
 def readable_html(html: Column, content_type: Column) -> Column:
-    """The html where the content type allows to read it, within the byte limit."""
+    """The html where the content type allows to read it, cut at the byte limit; a character that the cut breaks becomes U+FFFD."""
     low = F.lower(content_type)
-    return F.when((content_type.isNull() | low.contains("text/html") | low.contains("application/xhtml+xml")) & (F.octet_length(html) <= MAX_HTML_BYTES), html)
+    cut = F.make_valid_utf8(F.substring(F.encode(html, "UTF-8"), 1, MAX_HTML_BYTES).cast("string"))
+    return F.when(content_type.isNull() | (content_type == "") | low.contains("text/html") | low.contains("application/xhtml+xml"), F.when(F.octet_length(html) > MAX_HTML_BYTES, cut).otherwise(html))
+
+
+def headers_map(names: Column, values: Column) -> Column:
+    """Response headers as a map with small names; of a repeated name the last counts."""
+    pairs = F.arrays_zip(F.transform(names, F.lower).alias("k"), values.alias("v"))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"]), p["k"]))
+    return F.map_from_entries(last)
+
+
+RX_HEAD_TAG = r"(?i)<(?:meta|link|html)[^>]*>|<title[^>]*>[^<]+</title>|<iframe\b[^>]*>"
+
+
+def head_tags(html: Column) -> Column:
+    """The tags that metadata stand in, one behind the other: a page is gone through once, and the patterns then only see these."""
+    return F.array_join(F.regexp_extract_all(html, F.lit(RX_HEAD_TAG), F.lit(0)), "")
+
+
+def tag_attribute(tag: Column, name: str) -> Column:
+    rx = name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    part = lambda i: F.nullif(F.regexp_extract(tag, "(?i)" + rx, i), F.lit(""))
+    return present(F.coalesce(part(1), part(2), part(3)))
+
+
+def title_match(text: Column, candidates: Column) -> Column:
+    """1 where a text holds a candidate, else the best share of a candidate's words that it holds."""
+    tokens = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 2)
+    share = lambda flat: lambda c: F.when(F.contains(flat, c), 1.0).otherwise(let(tokens(c), lambda ts: F.when(F.size(ts) > 0, F.size(F.filter(ts, lambda t: F.contains(flat, t))) / F.size(ts)).otherwise(0.0)))
+    return F.when(text.isNull(), 0.0).otherwise(let(_plain(text), lambda flat: F.when(flat == "", 0.0).otherwise(F.coalesce(F.array_max(F.transform(candidates, share(flat))), F.lit(0.0)))))
+
+
+PLAYER_SCORE = 0.5
+
+
+def frame_player(tags: Column, title: Column, base: Column) -> Column:
+    """The address of the first frame; with a title, of the frame whose own title matches it best, if well enough."""
+    frames = F.regexp_extract_all(tags, F.lit(r"(?i)<iframe\b[^>]*>"), F.lit(0))
+    names = title_candidates(title, 2)
+    rated = F.filter(F.transform(frames, lambda f: F.struct(resolve_link(tag_attribute(f, "src"), base).alias("src"), title_match(tag_attribute(f, "title"), names).alias("fit"))), lambda x: x["src"].isNotNull())
+    best = lambda xs, most: F.try_element_at(F.filter(xs, lambda x: (x["fit"] == most) & (most >= PLAYER_SCORE)), F.lit(1))["src"]
+    chosen = let(rated, lambda xs: F.when(title.isNull() | (F.size(names) == 0), F.try_element_at(xs, F.lit(1))["src"]).otherwise(let(F.array_max(F.transform(xs, lambda y: y["fit"])), lambda most: best(xs, most))))
+    return F.when(tags.rlike(r"(?i)<iframe\b"), chosen)
 
 
 def strip_tags(html: Column) -> Column:
@@ -178,20 +287,26 @@ def body_html(html: Column) -> Column:
     return F.coalesce(first(html, RX_BODY), html)
 
 
-METADATA = ("title", "description", "image_url", "site_name", "author", "published_at", "canonical_url", "og_type", "excerpt", "oembed_url", "player_url")
+METADATA = ("title", "description", "image_url", "site_name", "author", "published_at", "canonical_url", "og_type", "oembed_url", "player_url", "favicon_url", "language")
 
 
-def page_metadata(html: Column) -> dict[str, Column]:
-    """What a page says of itself in its markup. Links are as written."""
-    meta = lambda key: first(html, rx_meta(key))
-    long = F.try_element_at(F.filter(tag_texts(html, RX_PARAGRAPH), lambda t: F.length(t) >= 60), F.lit(1))
+def page_metadata(tags: Column, base: Column) -> dict[str, Column]:
+    """What a page says of itself in its markup, from its head_tags. oEmbed, player frame and icon are absolute addresses, others as written."""
+    meta = lambda key: first(tags, rx_meta(key))
+    title = present(first(tags, RX_TITLE))
     return {
-        "title": present(first(html, RX_TITLE)), "description": present(F.coalesce(meta("description"), meta("og:description"))), "image_url": present(meta("og:image")), "site_name": present(meta("og:site_name")),
-        "author": present(meta("author")), "published_at": present(meta("article:published_time")), "canonical_url": present(first(html, RX_CANONICAL)), "og_type": present(meta("og:type")), "excerpt": F.left(long, F.lit(320)),
-        "oembed_url": first(html, RX_OEMBED), "player_url": present(F.coalesce(meta("twitter:player"), meta("og:video"), meta("og:video:url"), meta("og:video:secure_url"))),
+        "title": title, "description": present(F.coalesce(meta("description"), meta("og:description"))), "image_url": present(meta("og:image")), "site_name": present(meta("og:site_name")),
+        "author": present(meta("author")), "published_at": present(meta("article:published_time")), "canonical_url": present(first(tags, RX_CANONICAL)), "og_type": present(meta("og:type")),
+        "oembed_url": resolve_link(first(tags, RX_OEMBED), base), "player_url": F.coalesce(present(F.coalesce(meta("twitter:player"), meta("og:video"), meta("og:video:url"), meta("og:video:secure_url"))), frame_player(tags, title, base)),
+        "favicon_url": resolve_link(first(tags, RX_ICON), base), "language": present(first(tags, RX_LANG)),
     }
 
 
+def first_paragraph(html: Column, least: int = 60) -> Column:
+    """The text of the first paragraph that is long enough."""
+    return F.try_element_at(F.filter(tag_texts(html, RX_PARAGRAPH), lambda t: F.length(t) >= least), F.lit(1))
+
+
 def merge_present(*values: Column) -> Column:
     """The first value that has text."""
     return F.coalesce(*[present(v) for v in values])
@@ -264,25 +379,32 @@ def keyword_hits(text: Column, words: Column) -> Column:
 
 
 def quality(text: Column, blocks: Column, nodes: Column, title: Column, main: Column, noise: Column, truncated: Column) -> dict[str, Column]:
-    """Score from 0 to 100, its grade and its signals."""
+    """Score from 0 to 100, its grade and its signals. A tree without a known size adds nothing."""
     text = F.coalesce(text, F.lit(""))
     n_blocks = F.when(blocks.isNull(), 0).otherwise(F.size(blocks))
     media = F.when(blocks.isNull(), 0).otherwise(F.size(F.filter(blocks, lambda b: b["type"] != "text")))
-    ratio = lambda n, m: F.when(n + m > 0, n / (n + m)).otherwise(F.lit(0.0))
     clamp = lambda c, hi: F.greatest(F.lit(0.0), F.least(F.lit(float(hi)), c))
-    signals = F.struct(overlap_ratio(text, title).alias("similarity"), keyword_hits(text, noise).alias("noisy"), keyword_hits(text, main).alias("mains"), F.length(text).alias("length"))
 
-    def rate(s: Column) -> Column:
+    def signals(flat: Column) -> Column:
+        """All that is counted in the text, whose plain form is made once."""
+        tokens = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 2)
+        words = lambda ks: F.transform(F.coalesce(ks, F.array().cast("array<string>")), _plain)
+        hits = lambda ks: F.size(F.filter(words(ks), lambda k: (k != "") & F.contains(flat, k)))
+        share = let(tokens(_plain(F.coalesce(title, F.lit("")))), lambda want: F.when(F.size(want) > 0, let(tokens(flat), lambda have: F.size(F.filter(want, lambda t: F.array_contains(have, t))) / F.size(want))).otherwise(0.0))
+        return F.struct(share.alias("similarity"), hits(noise).alias("noisy"), hits(main).alias("mains"), F.length(text).alias("length"), n_blocks.alias("blocks"), media.alias("media"))
+
+    def rated(s: Column) -> Column:
+        ratio = F.when(s["noisy"] + s["mains"] > 0, s["noisy"] / (s["noisy"] + s["mains"])).otherwise(0.0)
         raw = (
-            clamp(s["length"] / 1400 * 38, 38) + clamp(n_blocks / 42 * 16, 16) + clamp(media.cast("double"), 3) * 2 + s["similarity"] * 16 + clamp(s["mains"].cast("double"), 6) * 4
-            + F.coalesce(clamp(nodes / 1200 * 8, 8), F.lit(0.0)) - ratio(s["noisy"], s["mains"]) * 18 - F.when(truncated, 8).otherwise(0)
+            clamp(s["length"] / 1400 * 38, 38) + clamp(s["blocks"] / 42 * 16, 16) + clamp(s["media"].cast("double"), 3) * 2 + s["similarity"] * 16 + clamp(s["mains"].cast("double"), 6) * 4
+            + F.when(nodes.isNotNull(), clamp(nodes / 1200 * 8, 8)).otherwise(0.0) - ratio * 18 - F.when(truncated, 8).otherwise(0)
         )
-        return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw + 0.5))).cast("int")
+        score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw + 0.5))).cast("int")
+        return F.struct(score.alias("score"), F.round(s["similarity"], 3).alias("title_similarity"), F.round(ratio, 3).alias("noise_ratio"), s["mains"].alias("main_keyword_hits"), s["length"].alias("text_length"), s["blocks"].alias("block_count"), s["media"].alias("media_count"))
 
-    score = let(signals, rate)
-    grade = let(score, lambda x: F.when(x >= 80, "excellent").when(x >= 60, "good").when(x >= 40, "fair").otherwise("poor"))
-    similarity, mains = overlap_ratio(text, title), keyword_hits(text, main)
-    return {"score": score, "grade": grade, "text_length": F.length(text), "block_count": n_blocks, "media_count": media, "title_similarity": F.round(similarity, 3), "noise_ratio": F.round(let(F.struct(keyword_hits(text, noise).alias("n"), mains.alias("m")), lambda s: ratio(s["n"], s["m"])), 3), "main_keyword_hits": mains}
+    all_ = let(let(_plain(text), signals), rated)
+    grade = F.when(all_["score"] >= 80, "excellent").when(all_["score"] >= 60, "good").when(all_["score"] >= 40, "fair").otherwise("poor")
+    return {"score": all_["score"], "grade": grade} | {k: all_[k] for k in ("text_length", "block_count", "media_count", "title_similarity", "noise_ratio", "main_keyword_hits")}
 
 
 # Limits and rendering -------------------------------------------------------------------------------------------------

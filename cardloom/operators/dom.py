@@ -1,4 +1,4 @@
-"""Trees of rendered pages with selectors, players among frames, and whole render documents.
+"""Trees of rendered pages with selectors, and whole render documents.
 
 Works on the flat tree of the reader. A rendered page's tree is cut down to the best of the boxes that the main selectors
 name, or to the box around the title, without what the remove selectors name, within a limit of nodes and depth.
@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .reader import NODE, Tree, parse, plain, title_parts, tidy
+from .reader import NODE, Tree, parse, plain, title_parts
 
 # Limits of a captured tree, scores and lengths that a title needs.
-MAX_NODES, MAX_DEPTH, TITLE_LENGTH, TITLE_SCORE, PLAYER_SCORE = 6_000, 26, 180, 0.72, 0.5
+MAX_NODES, MAX_DEPTH, TITLE_LENGTH, TITLE_SCORE = 6_000, 26, 180, 0.72
 _SIMPLE = re.compile(r"^(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<rest>(?:[#.][\w-]+|\[[^\]]+\])*)$")
 _PART = re.compile(r"([#.])([\w-]+)|\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
 
@@ -138,32 +138,9 @@ def dom_tree(html: Column | str, base: Column | str, title: Column | str | None
     return pandas_udf(run, f"array<{NODE}>").asNondeterministic()(html, base, F.lit(None).cast("string") if title is None else title)
 
 
-_FRAME = re.compile(r"<iframe\b[^>]*>", re.I)
-
-
-def tag_attribute(tag: str, name: str) -> str | None:
-    m = re.search(rf"{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", tag, re.I)
-    return next((tidy(v) for v in m.groups() if v is not None), None) or None if m else None
-
-
-def frame_player(html: str | None, title: str | None) -> str | None:
-    """The first frame's address; with a title, that of the frame whose own title matches it best, if well enough."""
-    frames = [(src, tag_attribute(t, "title") or "") for t in _FRAME.findall(html or "") if (src := tag_attribute(t, "src"))]
-    if not frames or not title:
-        return frames[0][0] if frames else None
-    parts = title_parts(title, 2)
-
-    def rate(text: str) -> float:
-        flat = plain(text)
-        return max((1.0 if flat and (p in flat or flat in p) else sum(t in flat for t in p.split()) / max(1, len(p.split())) for p in parts), default=0.0) if flat else 0.0
-
-    best = max(range(len(frames)), key=lambda i: (rate(frames[i][1]), -i))
-    return frames[best][0] if rate(frames[best][1]) >= PLAYER_SCORE else None
-
-
 def render_document(title: Column, html: Column) -> Column:
     """A whole page around semantic html."""
     from ..functions.columns import escape_html, trimmed
 
     head = F.coalesce(trimmed(title), F.lit("Preview Document"))
-    return F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), escape_html(head), F.lit('</title><link rel="stylesheet" href="index.css"></head><body>'), html, F.lit("</body></html>"))
+    return F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8" /><meta name="viewport" content="width=device-width, initial-scale=1" /><title>'), escape_html(head), F.lit('</title><link rel="stylesheet" href="./preview.css" /></head><body><main class="preview-root">'), html, F.lit("</main></body></html>"))

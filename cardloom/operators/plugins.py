@@ -10,18 +10,26 @@ from pyspark.sql import Column, functions as F
 from ..functions import columns as C
 
 
+SCALARS = {"focus_title_nearest_body": "boolean", "timeout_ms": "int", "max_scroll_steps": "int", "scroll_delay_ms": "int"}
+LISTS = ("main_selectors", "remove_selectors", "noise_keywords", "main_keywords", "drop_tags")
+
+
 @dataclass(frozen=True)
 class ContentRules:
-    """What a profile asks of content extraction. Scalars of the first matching profile count, lists are joined."""
-
-    min_text_length: int | None = None
+    """What a profile, or a caller, asks of capture and content extraction."""
+
+    focus_title_nearest_body: bool | None = None
+    timeout_ms: int | None = None
+    max_scroll_steps: int | None = None
+    scroll_delay_ms: int | None = None
+    main_selectors: tuple[str, ...] = ()
+    remove_selectors: tuple[str, ...] = ()
     noise_keywords: tuple[str, ...] = ()
     main_keywords: tuple[str, ...] = ()
     drop_tags: tuple[str, ...] = ()
 
-    def merged(self, other: ContentRules) -> ContentRules:
-        join = lambda a, b: tuple(dict.fromkeys((*a, *b)))
-        return ContentRules(self.min_text_length if self.min_text_length is not None else other.min_text_length, join(self.noise_keywords, other.noise_keywords), join(self.main_keywords, other.main_keywords), join(self.drop_tags, other.drop_tags))
+    def columns(self) -> dict[str, Column]:
+        return {k: F.lit(getattr(self, k)).cast(t) for k, t in SCALARS.items()} | {k: F.array(*[F.lit(x) for x in getattr(self, k)]).cast("array<string>") for k in LISTS}
 
 
 class Plugin(ABC):
@@ -35,6 +43,9 @@ class Plugin(ABC):
 class SitePolicy(Plugin):
     """Every hook gets the columns of its stage by name and returns those it changes."""
 
+    def refine_options(self, url: Column, values: dict[str, Column]) -> dict[str, Column]:
+        return {}
+
     def refine_metadata(self, url: Column, values: dict[str, Column]) -> dict[str, Column]:
         return {}
 
@@ -70,16 +81,26 @@ class Registry:
                 values = values | {k: F.when(match, v).otherwise(values[k]) for k, v in getattr(p, hook)(url, values).items()}
         return values
 
-    def rules_for(self, url: str, provider: str, spark) -> ContentRules:
-        """Rules of all profiles that match one URL."""
-        profiles = [p for p in self.ordered() if isinstance(p, ContentProfile)]
-        out = ContentRules()
-        if profiles:
-            row = spark.range(1).select(*[F.coalesce(p.matches(F.lit(url), F.lit(provider)), F.lit(False)).alias(f"m{i}") for i, p in enumerate(profiles)]).first()
-            for p, match in zip(profiles, row):
-                out = out.merged(p.rules()) if match else out
+    def rules(self, url: Column, provider: Column, base: dict[str, Column]) -> dict[str, Column]:
+        """The rules in base with those of all matching profiles: of a scalar the first given counts, lists are joined without repeats.
+
+        They are columns, so that every page gets the rules of its own address within the plan.
+        """
+        out = dict(base)
+        for p in self.ordered():
+            if isinstance(p, ContentProfile):
+                match, more = F.coalesce(p.matches(url, provider), F.lit(False)), p.rules().columns()
+                for k in SCALARS:
+                    out[k] = F.coalesce(out[k], F.when(match, more[k]))
+                for k in LISTS:
+                    if getattr(p.rules(), k):
+                        out[k] = F.when(match, F.array_distinct(F.concat(out[k], more[k]))).otherwise(out[k])
         return out
 
+    def options(self, url: Column, provider: Column, base: dict[str, Column]) -> dict[str, Column]:
+        """rules, and then what the matching policies make of them."""
+        return self.fold("refine_options", url, provider, self.rules(url, provider, base))
+
 
 def video_id(url: Column) -> Column:
     """The id of a video on the best-known video site, from its short, watch, shorts, live and embed addresses."""
@@ -125,4 +146,42 @@ class MapSitePolicy(SitePolicy):
         return {"embed_url": F.when(good, player).otherwise(values["embed_url"]), "embeddable": F.when(good, True).otherwise(values["embeddable"]), "interaction_mode": F.when(good, "embeddable").otherwise(values["interaction_mode"])}
 
 
-DEFAULTS = Registry([VideoSitePolicy(), MapSitePolicy()])
+class VideoSiteProfile(ContentProfile):
+    id, priority = "video-site-content", 120
+
+    def matches(self, url: Column, provider: Column) -> Column:
+        return (provider == "youtube") | C.url_host(url).rlike(r"(^|\.)youtube\.com$|(^|\.)youtu\.be$")
+
+    def rules(self) -> ContentRules:
+        # Fixed values.
+        return ContentRules(
+            main_selectors=("#primary", "#primary-inner", "#content", "main", '[role="main"]'),
+            remove_selectors=("#masthead-container", "#guide", "#secondary", "#related", "#chat", "ytd-mini-guide-renderer", "ytd-merch-shelf-renderer"),
+            noise_keywords=("related", "recommend", "sidebar", "shorts", "ad", "sponsored"),
+            main_keywords=("content", "description", "watch", "comment", "본문", "댓글"),
+        )
+
+
+class MapSiteProfile(ContentProfile):
+    id, priority = "map-site-content", 110
+
+    def matches(self, url: Column, provider: Column) -> Column:
+        return (provider == "naver") & C.url_host(url).rlike(r"(^|\.)map\.naver\.com$")
+
+    def rules(self) -> ContentRules:
+        # Fixed values.
+        return ContentRules(
+            focus_title_nearest_body=True,
+            main_selectors=("#app", "#content", "main", '[role="main"]', '[class*="place"]'),
+            remove_selectors=("header", "nav", "footer", '[class*="toolbar"]', '[class*="control"]', '[class*="floating"]'),
+            noise_keywords=("gnb", "lnb", "snb", "menu", "banner", "ad", "광고", "추천"),
+            main_keywords=("place", "content", "detail", "panel", "본문", "리뷰", "주소"),
+        )
+
+
+DEFAULTS = Registry([VideoSitePolicy(), MapSitePolicy(), VideoSiteProfile(), MapSiteProfile()])
+
+
+def registry(*own: Plugin) -> Registry:
+    """The built-in plug-ins with one's own."""
+    return Registry([*own, *DEFAULTS.plugins])

@@ -8,15 +8,16 @@ that can't be read gives an error and no content.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import accumulate
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions.columns import MAIN_KEYWORDS, NOISE_KEYWORDS
@@ -218,6 +219,32 @@ def parse(html: str, base: str) -> Tree:
     return tree
 
 
+def from_nodes(nodes, base: str) -> Tree:
+    """A sanitised tree from nodes in document order (kind, tag, attrs, text, parent), as a renderer hands them in."""
+    tree = Tree()
+    place: list[int | None] = []  # node or the nearest one above that is kept; None below a dropped one
+    for n in nodes:
+        at = n["parent"]
+        above = -1 if at is None or not 0 <= at < len(place) else place[at]
+        here = above
+        if above is not None and n["kind"] == "text":
+            if text := tidy(n["text"]):
+                tree.add("", {}, text, above)
+        elif above is not None:
+            tag = (n["tag"] or "").lower()
+            attrs = clean_attributes(tag, dict(n["attrs"] or {}), base)
+            if not tag or tag in DROPPED or tag in ("img", "iframe") and not attrs.get("src"):
+                here = None
+            elif tag not in UNWRAPPED:
+                here = tree.add(tag, attrs, "", above)
+        place.append(here)
+    for i in range(len(tree.tag) - 1, -1, -1):
+        if (p := tree.parent[i]) >= 0:
+            tree.end[p] = max(tree.end[p], tree.end[i])
+    tree.sums()
+    return tree
+
+
 @dataclass(frozen=True)
 class Options:
     source: str = "static-html"
@@ -234,6 +261,12 @@ class Options:
     main_keywords: tuple[str, ...] = ()
     drop_tags: tuple[str, ...] = ()
 
+    def with_words(self, noise, main, drop) -> Options:
+        """The same options with the words that a row's rules add."""
+        more = lambda a, b: (*a, *b) if b is not None else a
+        return replace(self, noise_keywords=more(self.noise_keywords, noise), main_keywords=more(self.main_keywords, main), drop_tags=more(self.drop_tags, drop))
+
+    @lru_cache(maxsize=1024)  # noqa: B019
     def noise(self) -> tuple[tuple[str, ...], tuple[str, ...], frozenset]:
         more = lambda xs: tuple(k for x in xs if len(k := x.strip().lower()) > 1)
         return tuple(dict.fromkeys(NOISE_KEYWORDS + more(self.noise_keywords))), tuple(dict.fromkeys(MAIN_KEYWORDS + more(self.main_keywords))), NOISE_TAGS | frozenset(more(self.drop_tags))
@@ -435,8 +468,45 @@ def render_block(b: dict) -> str:
     if b["type"] == "image":
         return f'<img src="{_attr(b["src"])}" alt="{_attr(b.get("alt") or "")}" loading="lazy" />'
     if b["type"] == "video":
-        return f'<video controls src="{_attr(b["src"])}"></video>'
-    return f'<iframe src="{_attr(b["src"])}" title="{_attr(b.get("title") or "")}" loading="lazy" allowfullscreen></iframe>'
+        return f'<video controls preload="metadata" src="{_attr(b["src"])}"' + (f' poster="{_attr(b["poster"])}"' if b.get("poster") else "") + "></video>"
+    return f'<iframe src="{_attr(b["src"])}" title="{_attr(b.get("title") or "Embedded content")}" loading="lazy" allowfullscreen></iframe>'
+
+
+def index_html(title: str | None, html: str) -> str:
+    """A whole page around the html of a content."""
+    head = (title or "").strip() or "Preview Document"
+    return f'<!doctype html><html><head><meta charset="utf-8" /><meta name="viewport" content="width=device-width, initial-scale=1" /><title>{_html(head)}</title><link rel="stylesheet" href="./preview.css" /></head><body><main class="preview-root">{html}</main></body></html>'
+
+
+def quality_of(text: str, blocks: list[dict], nodes: int | None, title: str | None, main: tuple[str, ...], noise: tuple[str, ...], truncated: bool) -> dict:
+    """Score from 0 to 100, grade and signals of a content; the same figures as the column function quality."""
+    flat = plain(text)
+    words = {t for t in flat.split() if len(t) >= 2}
+    wanted = [t for t in plain(title or "").split() if len(t) >= 2]
+    similarity = sum(t in words for t in wanted) / len(wanted) if wanted and words else 0.0
+    hits = lambda keys: sum(k in flat for x in keys if (k := plain(x))) if flat else 0
+    noisy, mains, media = hits(noise), hits(main), sum(b["type"] != "text" for b in blocks)
+    ratio = noisy / (noisy + mains) if noisy + mains else 0.0
+    raw = min(len(text) / 1400 * 38, 38) + min(len(blocks) / 42 * 16, 16) + min(media, 3) * 2 + similarity * 16 + min(mains, 6) * 4 + (min(nodes / 1200 * 8, 8) if nodes is not None else 0.0) - ratio * 18 - (8 if truncated else 0)
+    score = max(0, min(100, math.floor(raw + 0.5)))
+    grade = "excellent" if score >= 80 else "good" if score >= 60 else "fair" if score >= 40 else "poor"
+    return {"score": score, "grade": grade, "title_similarity": round(similarity, 3), "noise_ratio": round(ratio, 3), "main_keyword_hits": mains, "media_count": media}
+
+
+_PARAGRAPH = re.compile(r"<p[^>]*>([\s\S]*?)</p>", re.I)
+_CODE = re.compile(r"<script[\s\S]*?</script>|<style[\s\S]*?</style>", re.I)
+_ANY_TAG = re.compile(r"<[^>]+>")
+
+
+def first_paragraph(html: str, least: int = 60) -> str | None:
+    """The text of the first paragraph that is long enough."""
+    for m in _PARAGRAPH.finditer(html):
+        inner = m[1]
+        if "<" in inner:
+            inner = _ANY_TAG.sub(" ", _CODE.sub(" ", inner))
+        if len(text := tidy(inner)) >= least:
+            return text
+    return None
 
 
 def _rendered(tree: Tree, start: int, stop: int, options: Options, control) -> dict | None:
@@ -467,13 +537,16 @@ def _rendered(tree: Tree, start: int, stop: int, options: Options, control) -> d
     return {"html": html, "text": text[: options.max_text], "block_count": n, "truncated": truncated or len(text) > options.max_text, "blocks": blocks}
 
 
-def recompose(html: str | None, base: str | None, title: str | None = None, options: Options = Options()) -> dict:
-    """The content of a page; only error is set where it can't be read, and nothing where there is none."""
-    if not html:
+def recompose(html: str | None, base: str | None, title: str | None = None, options: Options = Options(), nodes=None) -> dict:
+    """The content of a page, from its html or the nodes of its tree; only error is set where it can't be read, and nothing where there is none."""
+    if not html and nodes is None:
         return {}
     try:
-        body = re.search(r"<body[^>]*>([\s\S]*?)</body>", html, re.I)
-        tree = parse(body[1] if body else html, base or "")
+        if nodes is not None:
+            tree = from_nodes(nodes, base or "")
+        else:
+            body = re.search(r"<body[^>]*>([\s\S]*?)</body>", html, re.I)
+            tree = parse(body[1] if body else html, base or "")
     except (ValueError, OverflowError) as e:
         return {"error": type(e).__name__}
     n = len(tree.tag)
@@ -491,30 +564,53 @@ def recompose(html: str | None, base: str | None, title: str | None = None, opti
     if got is None:
         return {}
     kept = min(n, options.max_nodes)
-    nodes = [
+    rows = [
         {"idx": i, "parent": tree.parent[i], "depth": tree.depth[i], "subtree_end": min(tree.end[i], kept), "kind": "element" if tree.tag[i] else "text", "tag": tree.tag[i] or None, "attrs": tree.attrs[i] or None, "text": tree.text[i] or None}
         for i in range(kept)
     ]
-    return got | {"truncated": got["truncated"] or n > kept, "tree": nodes, "tree_node_count": kept, "source": options.source, "capture_mode": options.capture_mode or ("focused-body" if focused else "full-body"), "focused": focused}
+    truncated = got["truncated"] or n > kept
+    own = quality_of(got["text"], got["blocks"], kept, title, control[1], control[0], truncated)
+    return got | own | {
+        "truncated": truncated, "tree": rows, "tree_node_count": kept, "source": options.source, "capture_mode": options.capture_mode or ("focused-body" if focused else "full-body"), "focused": focused,
+        "first_paragraph": first_paragraph(got["html"]), "index_html": index_html(title, got["html"]),
+    }
 
 
 BLOCK = "struct<type:string,text:string,src:string,alt:string,poster:string,title:string>"
 NODE = "struct<idx:int,parent:int,depth:int,subtree_end:int,kind:string,tag:string,attrs:map<string,string>,text:string>"
-CONTENT = f"html string, text string, block_count int, truncated boolean, blocks array<{BLOCK}>, tree array<{NODE}>, tree_node_count int, source string, capture_mode string, focused boolean, error string"
-_FIELDS = ("html", "text", "block_count", "truncated", "blocks", "tree", "tree_node_count", "source", "capture_mode", "focused", "error")
+CONTENT = (
+    f"html string, text string, block_count int, truncated boolean, blocks array<{BLOCK}>, tree array<{NODE}>, tree_node_count int, source string, capture_mode string, focused boolean, error string, "
+    "score int, grade string, title_similarity double, noise_ratio double, main_keyword_hits int, media_count int, first_paragraph string, index_html string"
+)
+_FIELDS = tuple(f.strip().split(" ")[0] for f in CONTENT.replace(BLOCK, "").replace(NODE, "").split(", "))
 
 
-def reader_content(html: Column | str, base: Column | str, title: Column | str | None = None, options: Options = Options()) -> Column:
-    """The content struct of a page. Unused, it is pruned with its html; used twice, it is computed once."""
+def reader_content(html: Column | str, base: Column | str, title: Column | str | None = None, options: Options = Options(), *, noise: Column | None = None, main: Column | None = None, drop: Column | None = None, nodes: Column | None = None, select: Column | None = None, remove: Column | None = None, otherwise: Options | None = None) -> Column:
+    """The content struct of a page. Unused, it is pruned with its html; used twice, it is computed once.
 
-    def run(html: pd.Series, base: pd.Series, title: pd.Series) -> pd.DataFrame:
-        text = lambda x: x if isinstance(x, str) else None
-        rows = [recompose(text(h), text(b), text(t), options) for h, b, t in zip(html, base, title)]
-        return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], index=html.index, dtype=object) for f in _FIELDS})
+    noise, main and drop are words that the rules of a row add. nodes is the tree of a rendered page, which counts before
+    its html; without one, select and remove are selectors by which the tree is cut out of the html. otherwise are the
+    options of a second try on the html where the first finds nothing.
+    """
 
-    run.__annotations__ = {"html": pd.Series, "base": pd.Series, "title": pd.Series, "return": pd.DataFrame}
-    return pandas_udf(run, CONTENT).asNondeterministic()(html, base, F.lit(None).cast("string") if title is None else title)
+    def run(html: pd.Series, base: pd.Series, title: pd.Series, noise: pd.Series, main: pd.Series, drop: pd.Series, nodes: pd.Series, select: pd.Series, remove: pd.Series) -> pd.DataFrame:
+        from .dom import captured_tree
 
+        text = lambda x: x if isinstance(x, str) else None
+        words = lambda x: tuple(x) if x is not None and len(x) else None
+        rows = []
+        for h, b, t, n, m, d, tree, s, r in zip(html, base, title, noise, main, drop, nodes, select, remove):
+            h, b, t = text(h), text(b), text(t)
+            n, m, d = words(n), words(m), words(d)
+            own = options.with_words(n, m, d) if n or m or d else options
+            given = tree if tree is not None and len(tree) else captured_tree(h, b, t, words(s) or (), words(r) or ()) if words(s) or words(r) else None
+            got = recompose(h, b, t, own, given if given is not None and len(given) else None)
+            if otherwise is not None and "text" not in got and h:
+                got = recompose(h, b, t, otherwise.with_words(n, m, d) if n or m or d else otherwise)
+            rows.append(got)
+        return pd.DataFrame({f: pd.Series([r.get(f) for r in rows], index=html.index, dtype=object) for f in _FIELDS})
 
-def with_reader_content(pages: DataFrame, options: Options = Options(), *, html: str = "html", base: str = "url", title: str | None = None) -> DataFrame:
-    return pages.withColumn("content", reader_content(F.col(html), F.col(base), F.col(title) if title else None, options))
+    run.__annotations__ = {k: pd.Series for k in ("html", "base", "title", "noise", "main", "drop", "nodes", "select", "remove")} | {"return": pd.DataFrame}
+    words = lambda c: F.lit(None).cast("array<string>") if c is None else c
+    tree = F.lit(None).cast(f"array<{NODE}>") if nodes is None else nodes
+    return pandas_udf(run, CONTENT).asNondeterministic()(html, base, F.lit(None).cast("string") if title is None else title, words(noise), words(main), words(drop), tree, words(select), words(remove))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +11,7 @@ from ..operators import cards as K
 from ..operators.plugins import video_id
 from ..operators.reader import Options, reader_content
 from ..operators.timestamps import p1_found
-from ..session import table
+from ..session import shared_folder, table
 
 QUERIES: dict = {"p1_found": p1_found}
 SQL: dict[str, str] = {}
@@ -90,13 +90,14 @@ def s_unique(xs: str) -> str:
 
 
 def s_html() -> str:
-    return f"CASE WHEN (content_type IS NULL OR contains(lower(content_type), 'text/html') OR contains(lower(content_type), 'application/xhtml+xml')) AND strlen(html) <= {C.MAX_HTML_BYTES} THEN html END"
+    return f"CASE WHEN (content_type IS NULL OR content_type = '' OR contains(lower(content_type), 'text/html') OR contains(lower(content_type), 'application/xhtml+xml')) THEN html END"
 
 
 def s_url(c: str) -> str:
     t = f"regexp_replace({c}, {q(f'^{C.WS}+|{C.WS}+$')}, '', 'g')"
     u = f"CASE WHEN regexp_matches({t}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {t} ELSE 'https://' || {t} END"
-    return f"CASE WHEN {t} <> '' AND regexp_matches({u}, '^(?i)https?://[^/?#]+') THEN regexp_replace({u}, '#.*$', '') END"
+    bare = f"regexp_replace({u}, '#.*$', '')"
+    return f"CASE WHEN {t} <> '' AND regexp_matches({u}, '^(?i)https?://[^/?#]+') THEN CASE WHEN regexp_matches({bare}, '^[a-z]+://[^/?]+$') THEN {bare} || '/' ELSE {bare} END END"
 
 
 def s_clamp(c: str, n: int) -> str:
@@ -178,32 +179,75 @@ def video_embeds(spark: SparkSession, d: str) -> DataFrame:
     return made.select("page_id", "video_id", F.concat(F.lit("https://www.youtube.com/embed/"), F.col("video_id")).alias("embed_url"))
 
 
+def s_resolved(link: str) -> str:
+    """A link from the root, a relative one or an absolute one, seen from u."""
+    root = "regexp_extract(u, '^([a-z]+://[^/]+)', 1)"
+    return f"CASE WHEN {link} IS NULL THEN NULL WHEN regexp_matches({link}, '^[a-zA-Z]+:') THEN {link} WHEN starts_with({link}, '/') THEN {root} || {link} ELSE regexp_extract(u, '^([a-z]+://[^?#]*/)', 1) || {link} END"
+
+
 def _s_meta() -> dict[str, str]:
     m = lambda k: s_first("h", C.rx_meta(k))
     return {
         "title": s_present(s_first("h", C.RX_TITLE)), "description": s_present(f"coalesce({m('description')}, {m('og:description')})"), "image_url": s_present(m("og:image")), "site_name": s_present(m("og:site_name")), "author": s_present(m("author")), "published_at": s_present(m("article:published_time")),
-        "canonical_url": s_present(s_first("h", C.RX_CANONICAL)), "og_type": s_present(m("og:type")), "excerpt": f"substr(list_filter({s_texts('h', C.RX_PARAGRAPH)}, lambda t: length(t) >= 60)[1], 1, 320)", "oembed_url": s_first("h", C.RX_OEMBED),
-        "player_url": s_present(f"coalesce({m('twitter:player')}, {m('og:video')}, {m('og:video:url')}, {m('og:video:secure_url')})"),
+        "canonical_url": s_present(s_first("h", C.RX_CANONICAL)), "og_type": s_present(m("og:type")), "oembed_url": s_resolved(s_first("h", C.RX_OEMBED)), "favicon_url": s_resolved(s_first("h", C.RX_ICON)), "language": s_present(s_first("h", C.RX_LANG)),
     }
 
 
-@query(f"SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _s_meta().items())} FROM (SELECT page_id, {s_html()} AS h FROM pages)")
+_S_EXCERPT = f"list_filter({s_texts('h', C.RX_PARAGRAPH)}, lambda t: length(t) >= 60)[1]"
+
+
+@query(f"SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _s_meta().items())}, {_S_EXCERPT} AS excerpt FROM (SELECT page_id, {s_html()} AS h, {s_url('url')} AS u FROM pages)")
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """What pages say of themselves in their markup."""
-    df = table(spark, d, "pages").select("page_id", C.readable_html(F.col("html"), F.col("content_type")).alias("h"))
-    return df.select("page_id", *[v.alias(k) for k, v in C.page_metadata(F.col("h")).items()])
+    """What pages say of themselves in their markup, as the pipeline reads it."""
+    df = table(spark, d, "pages").select("page_id", C.readable_html(F.col("html"), F.col("content_type")).alias("h"), C.normalize_url(F.col("url")).alias("u"))
+    df = K.with_metadata(df, "h", "u", "m_")
+    return df.select("page_id", *[F.col(f"m_{k}").alias(k) for k in _s_meta()], C.first_paragraph(F.col("h")).alias("excerpt"))
 
 
 _DERIVED = "'<meta property=\"og:type\" content=\"' || CASE page_id % 3 WHEN 0 THEN 'article' ELSE 'website' END || '\"><meta name=\"keywords\" content=\"boats, tides , boats,' || page_id || '\"><link rel=\"canonical\" href=\"/c/' || page_id || '\"><link rel=\"shortcut icon\" href=\"/i.png\"><link type=\"application/json+oembed\" href=\"/o?' || page_id || '\"><meta name=\"twitter:player\" content=\"https://p.example/' || page_id || '\">' || html"
 
 
-@query(f"""SELECT page_id, {s_first('h', C.rx_meta('og:type'))} AS og_type, {s_first('h', C.RX_CANONICAL)} AS canonical_url, {s_first('h', C.RX_ICON)} AS favicon, {s_first('h', C.RX_OEMBED)} AS oembed_url, {s_first('h', C.rx_meta('twitter:player'))} AS player_url, {s_first('h', C.RX_LANG)} AS language,
- array_to_string(({s_unique('ks')})[1:10], '|') AS keywords FROM (SELECT *, list_filter(list_transform(string_split({s_first('h', C.rx_meta('keywords'))}, ','), lambda t: {s_collapse('t')}), lambda t: t <> '') AS ks FROM (SELECT page_id, {_DERIVED} AS h FROM pages))""")
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'article' ELSE 'website' END AS og_type, '/c/' || page_id AS canonical_url, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/i.png' AS favicon, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/o?' || page_id AS oembed_url, 'https://p.example/' || page_id AS player_url, 'boats|tides|' || page_id AS keywords FROM pages WHERE html IS NOT NULL""")
 def head_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links and metadata of heads that have every kind of them."""
-    h = F.col("h")
-    df = table(spark, d, "pages").select("page_id", F.expr(_DERIVED).alias("h"))
-    return df.select("page_id", C.first(h, C.rx_meta("og:type")).alias("og_type"), C.first(h, C.RX_CANONICAL).alias("canonical_url"), C.first(h, C.RX_ICON).alias("favicon"), C.first(h, C.RX_OEMBED).alias("oembed_url"), C.first(h, C.rx_meta("twitter:player")).alias("player_url"), C.first(h, C.RX_LANG).alias("language"), F.array_join(C.keywords(h), "|").alias("keywords"))
+    """Links and metadata of heads that have every kind of them; what must come out is said in the SQL without any pattern."""
+    df = table(spark, d, "pages").where(F.col("html").isNotNull()).select("page_id", F.expr(_DERIVED).alias("h"), C.normalize_url(F.col("url")).alias("u"))
+    df = K.with_metadata(df, "h", "u", "m_")
+    return df.select("page_id", F.col("m_og_type").alias("og_type"), F.col("m_canonical_url").alias("canonical_url"), F.col("m_favicon_url").alias("favicon"), F.col("m_oembed_url").alias("oembed_url"), F.col("m_player_url").alias("player_url"), F.array_join(C.keywords(F.col("m_tags")), "|").alias("keywords"))
+
+
+_FRAMES = "'<title>Winter boats | Site</title><iframe src=\"/ads/' || page_id || '\"></iframe><iframe class=\"x\" title=\"' || CASE page_id % 3 WHEN 0 THEN 'Winter boats film' WHEN 1 THEN 'winter' ELSE 'other' END || '\" src=\"film/' || page_id || '\"></iframe>'"
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'https://frames.example/a/film/' || page_id END AS player_url FROM pages")
+def frame_players(spark: SparkSession, d: str) -> DataFrame:
+    """Players among the frames of pages by their titles."""
+    df = table(spark, d, "pages").select("page_id", F.expr(_FRAMES).alias("h"), F.lit("https://frames.example/a/b").alias("u"))
+    return K.with_metadata(df, "h", "u", "m_").select("page_id", F.col("m_player_url").alias("player_url"))
+
+
+# Ways to write an address and what it is in canonical form: fixed pairs, with a number from the table.
+_WRITTEN = {
+    "'HTTP://User:pw@Site.Example:80/a/./b/../c?n=' || page_id || '#f'": ("'http://User:pw@site.example/a/c?n=' || page_id", "site.example", "site"),
+    "'http://[2001:DB8::1]:8080/n' || page_id": ("'http://[2001:db8::1]:8080/n' || page_id", "[2001:db8::1]", "[2001:db8::1]"),
+    "'  www.m.shop.co.uk?n=' || page_id": ("'https://www.m.shop.co.uk/?n=' || page_id", "www.m.shop.co.uk", "shop"),
+    "'https:\\\\news.example:443\\n' || page_id || '/'": ("'https://news.example/n' || page_id || '/'", "news.example", "news"),
+    "'https://10.0.0.1/a b/é/' || page_id": ("'https://10.0.0.1/a%20b/%C3%A9/' || page_id", "10.0.0.1", "10.0.0.1"),
+    "'localhost:' || page_id": ("NULL", None, None),
+    "'ftp://a.example/' || page_id": ("NULL", None, None),
+    "'https://m.blog.example/../x/' || page_id || '/..'": ("'https://m.blog.example/x/'", "m.blog.example", "blog"),
+}
+
+
+def _written(values: list) -> str:
+    return "CASE page_id % 8 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT page_id, {_written([v[0] for v in _WRITTEN.values()])} AS url, {_written([q(v[1]) if v[1] else 'NULL' for v in _WRITTEN.values()])} AS host, {_written([q(v[2]) if v[2] else 'NULL' for v in _WRITTEN.values()])} AS provider FROM pages")
+def url_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses as people write them in canonical form: ports, user names, IPv6, dot segments, spaces; none for other schemes."""
+    made = _written(list(_WRITTEN)).replace("\\", "\\\\")
+    df = table(spark, d, "pages").select("page_id", C.normalize_url(F.expr(made)).alias("url"))
+    return df.select("page_id", "url", C.url_host(F.col("url")).alias("host"), F.when(F.col("url").isNotNull(), C.provider(F.col("url"))).alias("provider"))
 
 
 _WORDS = f"nullif(len(list_filter(regexp_split_to_array({s_strip('h')}, {q(C.WS + '+')}), lambda t: t <> '')), 0)"
@@ -250,14 +294,15 @@ _SIGNALS = f"SELECT case_id, txt, n_blocks, media, nodes, tr, CASE WHEN len(want
 
 
 @query(f"""SELECT case_id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'poor' END AS grade, length(txt) AS text_length, n_blocks AS block_count, media AS media_count, round(sim, 3) AS title_similarity, round(ratio, 3) AS noise_ratio, mains AS main_keyword_hits
- FROM (SELECT *, CAST(greatest(0, least(100, floor(least(length(txt) / 1400 * 38, 38) + least(n_blocks / 42 * 16, 16) + least(media, 3) * 2 + sim * 16 + least(mains, 6) * 4 + coalesce(least(nodes / 1200 * 8, 8), 0) - ratio * 18 - CASE WHEN tr THEN 8 ELSE 0 END + 0.5))) AS BIGINT) AS score
+ FROM (SELECT *, CAST(greatest(0, least(100, floor(least(length(txt) / 1400 * 38, 38) + least(n_blocks / 42 * 16, 16) + least(media, 3) * 2 + sim * 16 + least(mains, 6) * 4 + CASE WHEN nodes IS NULL THEN 0 ELSE least(nodes / 1200 * 8, 8) END - ratio * 18 - CASE WHEN tr THEN 8 ELSE 0 END + 0.5))) AS BIGINT) AS score
  FROM (SELECT *, CASE WHEN noisy + mains > 0 THEN noisy / (noisy + mains) ELSE 0.0 END AS ratio FROM ({_SIGNALS})))""")
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
     """Score, grade and signals of the quality cases."""
     df = table(spark, d, "quality_cases")
     parts = C.quality(F.col("text"), F.col("blocks"), F.col("tree_node_count"), F.col("title_hint"), F.col("main_keywords"), F.col("noise_keywords"), F.col("truncated"))
     whole = {"score", "text_length", "block_count", "media_count", "main_keyword_hits"}
-    return df.select("case_id", *[(v.cast("bigint") if k in whole else v).alias(k) for k, v in parts.items()])
+    rated = df.select("case_id", F.explode(F.array(F.struct(*[v.alias(k) for k, v in parts.items()]))).alias("q"))  # computed once a row
+    return rated.select("case_id", *[(F.col(f"q.{k}").cast("bigint") if k in whole else F.col(f"q.{k}")).alias(k) for k in parts])
 
 
 @query(f"""SELECT card_id, {s_clamp('coalesce(nullif(regexp_replace(title, ' + q(f'^{C.WS}+|{C.WS}+$') + ", '', 'g'), ''), " + s_host('resolved_url') + ')', K.TITLE)} AS title, {s_clamp('description', K.DESCRIPTION)} AS description, {s_clamp('author', K.AUTHOR)} AS author, CASE WHEN regexp_matches(image_url, '^https?://') THEN image_url END AS image_url,
@@ -292,25 +337,51 @@ def card_validation(spark: SparkSession, d: str) -> DataFrame:
  FROM (SELECT DISTINCT card_id, page_id, title, description, site_name, excerpt FROM cards) c LEFT JOIN (SELECT page_id, max({_s_meta()['title']}) AS title, max({_s_meta()['description']}) AS description, max({_s_meta()['site_name']}) AS site_name FROM (SELECT page_id, {s_html()} AS h FROM pages) GROUP BY page_id) p USING (page_id)""")
 def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
     """Fields of cards filled from the metadata of their pages; an empty field counts as missing, save where it is kept."""
-    meta = C.page_metadata(F.col("h"))
-    pages = table(spark, d, "pages").where(F.col("page_id").isNotNull()).select("page_id", C.readable_html(F.col("html"), F.col("content_type")).alias("h")).select("page_id", *[meta[k].alias(f"p_{k}") for k in ("title", "description", "site_name")]).groupBy("page_id").agg(*[F.max(f"p_{k}").alias(f"p_{k}") for k in ("title", "description", "site_name")])
+    heads = table(spark, d, "pages").where(F.col("page_id").isNotNull()).select("page_id", C.head_tags(C.readable_html(F.col("html"), F.col("content_type"))).alias("t"))
+    meta = C.page_metadata(F.col("t"), F.lit("https://page.example/"))
+    pages = heads.select("page_id", *[meta[k].alias(f"p_{k}") for k in ("title", "description", "site_name")]).groupBy("page_id").agg(*[F.max(f"p_{k}").alias(f"p_{k}") for k in ("title", "description", "site_name")])
     cards = table(spark, d, "cards").select("card_id", "page_id", "title", "description", "site_name", "excerpt").distinct()
     return cards.join(pages, "page_id", "left").select("card_id", *[C.merge_present(F.col(k), F.col(f"p_{k}")).alias(k) for k in ("title", "description", "site_name")], F.coalesce("excerpt", "p_description").alias("excerpt"))
 
 
-_SCORED = "CASE WHEN text IS NULL THEN -1 WHEN length(text) >= 600 THEN 55 WHEN length(text) >= 180 THEN 35 ELSE 15 END"
+def s_rated(t: str, blocks: str) -> str:
+    """The quality of a text and its blocks without title and tree, by the default keywords."""
+    hits = lambda ks: "(" + " + ".join(f"CASE WHEN contains({s_plain(t)}, {q(k)}) THEN 1 ELSE 0 END" for k in ks) + ")"
+    noisy, mains = hits(x.strip("-") for x in C.NOISE_KEYWORDS), hits(C.MAIN_KEYWORDS)
+    media = f"len(list_filter({blocks}, lambda b: b.type <> 'text'))"
+    return f"""CASE WHEN {t} IS NULL THEN -1 ELSE CAST(greatest(0, least(100, floor(least(length({t}) / 1400 * 38, 38) + least(coalesce(len({blocks}), 0) / 42 * 16, 16) + least(coalesce({media}, 0), 3) * 2 + least({mains}, 6) * 4
+ - CASE WHEN {noisy} + {mains} > 0 THEN {noisy} / ({noisy} + {mains}) ELSE 0 END * 18 + 0.5))) AS BIGINT) END"""
+
 
+_CAPTURE = "SELECT page_id, arg_max(struct_pack(t := text, b := blocks), (rendered_at, render_id)) AS r FROM render_results WHERE source = {s} AND page_id IS NOT NULL GROUP BY page_id"
 
-@query(f"""SELECT page_id, CASE WHEN coalesce(dscore, -1) >= coalesce(sscore, -1) THEN 'dynamic-dom' ELSE 'static-html' END AS chosen, greatest(coalesce(dscore, -1), coalesce(sscore, -1)) AS score, CASE WHEN coalesce(dscore, -1) >= coalesce(sscore, -1) THEN dexcerpt ELSE sexcerpt END AS excerpt FROM
- (SELECT page_id, {_SCORED} AS sscore, {s_excerpt('text')} AS sexcerpt FROM (SELECT page_id, max(text) AS text FROM render_results WHERE source = 'static-html' GROUP BY page_id)) FULL JOIN (SELECT page_id, {_SCORED} AS dscore, {s_excerpt('text')} AS dexcerpt FROM (SELECT page_id, max(text) AS text FROM render_results WHERE source = 'dynamic-dom' GROUP BY page_id)) USING (page_id)""")
+
+@query(f"""SELECT page_id, CASE WHEN dscore >= sscore THEN 'dynamic-dom' ELSE 'static-html' END AS chosen, greatest(dscore, sscore) AS score, CASE WHEN dscore >= sscore THEN {s_excerpt('d')} ELSE {s_excerpt('s')} END AS excerpt FROM
+ (SELECT page_id, s.r.t AS s, d.r.t AS d, {s_rated('s.r.t', 's.r.b')} AS sscore, {s_rated('d.r.t', 'd.r.b')} AS dscore FROM ({_CAPTURE.format(s=q('static-html'))}) s FULL JOIN ({_CAPTURE.format(s=q('dynamic-dom'))}) d USING (page_id))""")
 def content_preference(spark: SparkSession, d: str) -> DataFrame:
-    """Of the static and the rendered capture of a page, the better content; one aggregation, no join."""
-    renders = table(spark, d, "render_results")
-    text = lambda s: F.max(F.when(F.col("source") == s, F.col("text")))
-    both = renders.groupBy("page_id").agg(text("static-html").alias("s"), text("dynamic-dom").alias("d")).where(F.col("page_id").isNotNull())
-    score = lambda c: F.when(F.col(c).isNull(), -1).when(F.length(c) >= 600, 55).when(F.length(c) >= 180, 35).otherwise(15)
-    wins = score("d") >= score("s")
-    return both.select("page_id", F.when(wins, "dynamic-dom").otherwise("static-html").alias("chosen"), F.greatest(score("d"), score("s")).alias("score"), F.when(wins, C.excerpt(F.col("d"))).otherwise(C.excerpt(F.col("s"))).alias("excerpt"))
+    """Of the static and the rendered capture of a page, the content of better quality; one aggregation, no join."""
+    renders = table(spark, d, "render_results").where(F.col("page_id").isNotNull())
+    latest = lambda s: F.max_by(F.when(F.col("source") == s, F.struct("text", "blocks")), F.when(F.col("source") == s, F.struct("rendered_at", "render_id")))
+    both = renders.groupBy("page_id").agg(latest("static-html").alias("s"), latest("dynamic-dom").alias("d"))
+    keys = [F.lit(list(k)) for k in (C.MAIN_KEYWORDS, C.NOISE_KEYWORDS)]
+    for c in "sd":
+        rated = C.quality(F.col(f"{c}.text"), F.col(f"{c}.blocks"), F.lit(None).cast("int"), F.lit(None).cast("string"), *keys, F.lit(False))["score"]
+        both = both.withColumn(f"{c}_score", F.when(F.col(f"{c}.text").isNull(), -1).otherwise(rated).cast("bigint"))
+    wins = F.col("d_score") >= F.col("s_score")
+    return both.select("page_id", F.when(wins, "dynamic-dom").otherwise("static-html").alias("chosen"), F.greatest("d_score", "s_score").alias("score"), F.when(wins, C.excerpt(F.col("d.text"))).otherwise(C.excerpt(F.col("s.text"))).alias("excerpt"))
+
+
+_RENDERED = "'<html lang=\"x' || page_id || '\"><head>' || CASE WHEN page_id % 2 = 0 THEN '<title>Rendered ' || page_id || '</title>' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN '<meta name=\"author\" content=\"R' || page_id || '\">' ELSE '' END || '</head><body></body></html>'"
+_S_MERGED = {"title": "CASE WHEN page_id % 2 = 0 THEN 'Rendered ' || page_id END", "author": "CASE WHEN page_id % 3 = 0 THEN 'R' || page_id END", "language": "'x' || page_id", "description": "NULL", "site_name": "NULL"}
+
+
+@query(f"SELECT page_id, {', '.join(f'coalesce({v}, {_s_meta()[k]}) AS {k}' for k, v in _S_MERGED.items() if k != 'language')}, 'x' || page_id AS language FROM (SELECT page_id, {s_html()} AS h, {s_url('url')} AS u FROM pages)")
+def dynamic_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of pages with those of their rendered captures before them: what the capture says counts, the fetched page fills the rest."""
+    pages = table(spark, d, "pages")
+    rendered = pages.where(F.col("page_id").isNotNull()).select("page_id", F.expr(_RENDERED).alias("rendered_html"))
+    out = pages.transform(K.pipeline(K.bootstrap(), K.fetch_static(), K.dynamic_merge(rendered)))
+    return out.select("page_id", "title", "author", "description", "site_name", F.col("snapshot.language").alias("language"))
 
 
 _E = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -355,12 +426,17 @@ def reader_tree(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def cards_full(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline: a validated card per page, with rendered captures joined in."""
-    rendered = table(spark, d, "render_results").where(F.col("source") == "dynamic-dom").select("page_id", F.col("html").alias("rendered_html"))
+    rendered = table(spark, d, "render_results").where(F.col("source") == "dynamic-dom").select("page_id", "render_id", "rendered_at", F.col("html").alias("rendered_html"))
     out = K.cards(table(spark, d, "pages"), rendered=rendered)
     return out.select("page_id", "original_url", "resolved_url", "provider", "resource_type", "page_kind", "interaction_mode", "title", "description", "excerpt", "embed_url", "content_text", "content_score", "content_grade", F.array_join("validation_errors", ",").alias("errors"))
 
 
-@query()
+_BARE_TYPE = f"CASE WHEN ({s_shape('path')}) = 'direct-image' THEN 'image' WHEN ({s_shape('path')}) = 'direct-audio' THEN 'audio' WHEN ({s_shape('path')}) = 'direct-video' THEN 'video' WHEN {s_article('path')} THEN 'article' WHEN path IN ('/', '') OR ({s_shape('path')}) = 'path-document' THEN 'website' ELSE 'unknown' END"
+_BARE_EMBED = "page_kind = 'atomic' AND resource_type IN ('video', 'article') AND (regexp_matches(lower(path), '/embed/|/player/') OR regexp_matches(u, '[?&]embed(=|&|$)'))"
+
+
+@query(f"""SELECT page_id, provider, resource_type, page_kind, CASE WHEN {_BARE_EMBED} THEN 'embeddable' WHEN resource_type IN ('video', 'image', 'audio') THEN 'playable' WHEN resource_type = 'article' AND page_kind = 'atomic' THEN 'expandable' ELSE 'static' END AS interaction_mode, host AS title
+ FROM (SELECT *, {s_kind('path', 'resource_type')} AS page_kind FROM (SELECT page_id, u, path, host, {_PROVIDER} AS provider, {_BARE_TYPE} AS resource_type FROM (SELECT *, list_filter(string_split(bare, '.'), lambda x: x <> '') AS ls FROM ({_LABELS}))))""")
 def cards_url_only(spark: SparkSession, d: str) -> DataFrame:
     """Cards from the address alone; no html is read."""
     bare = table(spark, d, "pages").select("page_id", "url").withColumn("html", F.lit(None).cast("string"))
@@ -369,15 +445,14 @@ def cards_url_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cards_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same pipeline over the pages as a stream, all that is there, read back from its sink."""
+    """The same pipeline, content included, over the pages as a stream, all that is there, read back from its sink."""
     from ..streaming.cards import write_cards
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cardloom-stream-")
-    place = f"{root.rstrip('/')}/cards-stream-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**8}-{spark.sparkContext._jvm.System.nanoTime()}"
+    place = f"{shared_folder(spark)}/cards-stream-{uuid.uuid4().hex}"
     pages = table(spark, d, "pages")
     stream = spark.readStream.schema(pages.schema).parquet(f"{d}/pages.parquet" if pages.inputFiles() and pages.inputFiles()[0].rstrip("/").split("/")[-2] == "pages.parquet" else f"{d}/pages*.parquet")
-    write_cards(stream, f"{place}/out", f"{place}/checkpoint", content=False).awaitTermination()
-    return spark.read.parquet(f"{place}/out").select("page_id", "provider", "resource_type", "page_kind", "interaction_mode", "title")
+    write_cards(stream, f"{place}/out", f"{place}/checkpoint", ).awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("page_id", "provider", "resource_type", "page_kind", "interaction_mode", "title", "excerpt", "content_text", "content_score")
 
 
 @query()
@@ -385,11 +460,13 @@ def dom_trees(spark: SparkSession, d: str) -> DataFrame:
     """Trees of rendered pages below their main box, one node a row."""
     from ..operators.dom import dom_tree
 
-    df = table(spark, d, "render_results").where(F.col("source") == "dynamic-dom").select("render_id", dom_tree("html", F.lit("https://page.example/"), None, ("article", "[class*=story]"), (".promo-box", "nav", "aside")).alias("t"))
+    bases = table(spark, d, "pages").where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.min(C.normalize_url(F.col("url"))).alias("base"))
+    shown = table(spark, d, "render_results").where((F.col("source") == "dynamic-dom") & F.col("page_id").isNotNull())
+    df = shown.join(bases, "page_id", "left").select("render_id", dom_tree("html", "base", None, ("article", "[class*=story]"), (".promo-box", "nav", "aside")).alias("t"))
     return df.select("render_id", F.explode("t").alias("n")).select("render_id", "n.idx", "n.parent", "n.depth", "n.subtree_end", "n.kind", "n.tag", "n.text")
 
 
-@query("SELECT page_id, '<!doctype html><html><head><meta charset=\"utf-8\"><title>' || " + _E.format(c="coalesce(nullif(regexp_replace(t, " + q(f"^{C.WS}+|{C.WS}+$") + ", '', 'g'), ''), 'Preview Document')") + f" || '</title><link rel=\"stylesheet\" href=\"index.css\"></head><body>' || '<p>' || coalesce({s_strip('h')}, '') || '</p></body></html>' AS document FROM (SELECT page_id, {s_first('html', C.RX_TITLE)} AS t, {s_first('html', C.RX_BODY)} AS h FROM pages)")
+@query("SELECT page_id, '<!doctype html><html><head><meta charset=\"utf-8\" /><meta name=\"viewport\" content=\"width=device-width, initial-scale=1\" /><title>' || " + _E.format(c="coalesce(nullif(regexp_replace(t, " + q(f"^{C.WS}+|{C.WS}+$") + ", '', 'g'), ''), 'Preview Document')") + f" || '</title><link rel=\"stylesheet\" href=\"./preview.css\" /></head><body><main class=\"preview-root\">' || '<p>' || coalesce({s_strip('h')}, '') || '</p></main></body></html>' AS document FROM (SELECT page_id, {s_first('html', C.RX_TITLE)} AS t, {s_first('html', C.RX_BODY)} AS h FROM pages)")
 def render_documents(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents around the text of pages."""
     from ..operators.dom import render_document

@@ -1 +1 @@
-
+"""Where pages come from."""

@@ -23,8 +23,3 @@ def test_title_box_and_limits():
     assert texts(D.captured_tree(HTML, "", "Winter boats | Site")) == ["Winter boats", "Buy", "Text of it."]
     assert len(D.captured_tree(HTML, "", max_nodes=3)) == 3 and max(n["depth"] for n in D.captured_tree(HTML, "", max_depth=1)) == 1
     assert D.captured_tree(None, "") == [] and D.captured_tree("&#99999999;x", "") == []
-
-
-def test_frame_player():
-    html = '<iframe src="/ads"></iframe><iframe title="Winter boats film" src="/film"></iframe>'
-    assert D.frame_player(html, None) == "/ads" and D.frame_player(html, "Winter boats") == "/film" and D.frame_player(html, "Other thing") is None and D.frame_player(None, "x") is None
