@@ -169,6 +169,10 @@ def classify(plugins: Registry = DEFAULTS) -> Stage:
     return stage
 
 
+def _clamper(most: int) -> Callable[[Column], Column]:
+    return lambda x: C.clamp_text(x, most)
+
+
 def build(plugins: Registry = DEFAULTS, css: str = STYLE) -> Stage:
     """One wide row per card: fields that only some types have are null for the others."""
 
@@ -188,7 +192,7 @@ def build(plugins: Registry = DEFAULTS, css: str = STYLE) -> Stage:
         }
         values = plugins.fold("refine_card", F.col("resolved_url"), F.col("provider"), values)
         tight = {"keywords": KEYWORD, "highlights": HIGHLIGHT}
-        snapshot = F.when(F.col("snapshot").isNotNull(), F.struct(*[(F.transform(f"snapshot.{k}", lambda x, most=tight[k]: C.clamp_text(x, most)) if k in tight else F.col(f"snapshot.{k}")).alias(k) for k in SNAPSHOT]))
+        snapshot = F.when(F.col("snapshot").isNotNull(), F.struct(*[(F.transform(f"snapshot.{k}", _clamper(tight[k])) if k in tight else F.col(f"snapshot.{k}")).alias(k) for k in SNAPSHOT]))
         kept = ["page_id", "original_url", "resolved_url", "canonical_url", "provider", "resource_type", "page_kind", "site_name", "published_at", "embeddable", "playable"]
         out = [F.col(c) for c in kept] + [v.alias(k) for k, v in values.items()] + [snapshot.alias("snapshot"), F.col("url_error")]
         if content:
