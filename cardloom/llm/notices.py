@@ -307,6 +307,9 @@ asldkfj qwpeor zmxncb
 _WORD = re.compile(r"[^\W\d_]+|\d+|[$/_]+")
 _QUOTED = re.compile(r"[“«„「\"][^”»“」\"]*[”»“」\"]")
 _QUOTES = frozenset("“«„「\"")
+_MARKS = re.compile("[“”«»「]")
+_SIZES = [f"n{i}" for i in range(7)]
+_ENDS = {c: "end" + c for c in ".!?…。"}
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 
 
@@ -325,22 +328,22 @@ def ordinary() -> list[str]:
 
 @lru_cache(maxsize=200_000)
 def _word_features(w: str) -> tuple[str, ...]:
-    """The word, and the letters inside it."""
+    """The word, and the letters inside it; runs of East Asian characters are what stands inside them."""
     if w.isdigit():
         return ("w0",)
     if _EAST.search(w):
-        return (f"w{w}", *{f"c{w[i : i + k]}" for k in (2, 3, 4) for i in range(len(w) - k + 1)})
+        return ("w" + w, *[w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1)])
     return (f"w{w}", f"s{w[:5]}", f"s{w[:7]}") if len(w) > 5 else (f"w{w}",)
 
 
-def _parts(line: str) -> tuple[list[str], list[str]]:
+def _parts(line: str) -> tuple[list[str], tuple[str, ...]]:
     """The words of a line, and what it looks like as a whole; what stands in quotation marks is spoken of and left out."""
     low = line.lower()
     if not _QUOTES.isdisjoint(low) and len(_WORD.findall(bare := _QUOTED.sub(" ", low))) >= 3:
         low = bare
     words = _WORD.findall(low)
-    last = low[-1:]
-    return words, ["bias", f"n{min(len(words), 12) // 2}", f"end{last if last in '.!?…。' else ''}", f"same{len(words) > 1 and len(set(words)) == 1}", f"ask{'?' in low or '？' in low}", f"quote{'“' in low or '”' in low or '«' in low or '»' in low or '「' in low or '」' in low}", f"colon{': ' in low}"]
+    last, n = low[-1:], len(words)
+    return words, ("bias", _SIZES[min(n, 12) // 2], _ENDS.get(last, "end"), "same" if n > 1 and len(set(words)) == 1 else "other", "ask" if "?" in low or "？" in low else "tell", "quote" if _MARKS.search(low) else "bare", "colon" if ": " in low else "flow")
 
 
 def _pairs(words: list[str]) -> set[tuple[str, str]]:

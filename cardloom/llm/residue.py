@@ -45,53 +45,59 @@ _NUMBER = re.compile(r"\d+")
 #: Filler: words of which a passage of dummy text consists; more are learnt from the company they keep.
 FILLER_SEED = ("lorem", "ipsum")
 FILLER_SHARE, FILLER_COMPANY = 0.7, 0.25
+#: The score that stands for filler.
+FILLER = 1e6
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\da-z])|(?<=[。！？])|\n+")
 
 
-_SIGNS = frozenset("{[%<$#_@&")
+_SIGN = re.compile(r"[{[%<$#_@&]")
 #: What a value holds, in order of weight.
 REASONS = ("message", "filler", "leftover", "slot")
 
 
 def masked(segment: str) -> str:
-    if not _SIGNS.isdisjoint(segment):
+    if _SIGN.search(segment):
         segment = SLOT.sub("\x01", segment)
-    if any(c in segment for c in "0123456789"):
-        segment = _NUMBER.sub("0", segment)
-    return " ".join(segment.lower().split())
+    return " ".join(_NUMBER.sub("0", segment).lower().split())
 
 
 def segments(text: str | None, blocks) -> list[str]:
-    """The parts a value falls into: the blocks that its text has, else the whole, and lines and sentences. Repeats count once."""
+    """The parts a value falls into: the blocks that its text has and their lines and sentences, else those of the whole. Repeats count once."""
     if not text:
         return []
-    parts = [text.strip()]
-    for block in blocks if blocks is not None else ():
-        if block and block in text:
-            parts.append(block.strip())
+    whole = text.strip()
+    parts = [b.strip() for b in blocks if b and b in text] if blocks is not None else []
     # Blocks that make up the text are split in its place.
-    covered = sum(map(len, parts[1:])) >= 0.9 * len(parts[0])
-    for p in parts[1:] if covered else list(parts):
+    covered = bool(parts) and sum(map(len, parts)) >= 0.9 * len(whole)
+    for p in list(parts) if covered else [*parts, whole]:
         parts += [x.strip() for x in _SENTENCE.split(p)]
     if covered:
-        parts = parts[1:] + [x.strip() for x in _SENTENCE.split(parts[0][-200:])]
+        parts += [x.strip() for x in _SENTENCE.split(whole[-200:])]
     return list(dict.fromkeys(p for p in parts if p))
 
 
 def is_filler(template: str, known) -> bool:
     """Whether a segment consists of filler words; known tells whether a word is one."""
     tokens = _WORD.findall(template)
-    return len(tokens) >= 3 and sum(map(known, tokens)) >= FILLER_SHARE * len(tokens)
+    others = (1 - FILLER_SHARE) * len(tokens) + 1e-9
+    if len(tokens) < 3:
+        return False
+    for t in tokens:
+        if not known(t):
+            others -= 1
+            if others < 0:
+                return False
+    return True
 
 
 def local_reason(text: str, parts: list[str]) -> str | None:
     """What a value holds beside content whatever other values hold: 'leftover', 'slot' or None."""
     if ("NaN" in text or "undefined" in text or "null" in text or "[object" in text) and any(_LEFTOVER.search(p) for p in parts):
         return "leftover"
-    if not _SIGNS.isdisjoint(text):
+    if _SIGN.search(text):
         for p in parts:
-            if not _SIGNS.isdisjoint(p) and "\n" not in p and SLOT.search(p) and not _ABOUT.search(SLOT.sub(" ", p)):
+            if _SIGN.search(p) and "\n" not in p and SLOT.search(p) and not _ABOUT.search(SLOT.sub(" ", p)):
                 return "slot"
     return None
 
@@ -170,10 +176,10 @@ def judged(lines: DataFrame) -> DataFrame:
                 known[word] = _bit(word) in bits
             return known[word]
 
-        return {"score": model.score(template) if "\x01" not in template else -99.0, "filler": is_filler(template, dummy)}
+        return FILLER if is_filler(template, dummy) else model.score(template) if "\x01" not in template else -FILLER
 
-    scored = lines.select("*", arrow(run, "struct<score:double,filler:boolean>", "template").alias("j")).select(*lines.columns, "j.*")
-    return scored.where((F.col("score") >= BAR - BOTH - 2 * RECURS) | F.col("filler"))
+    scored = lines.select("*", arrow(run, "double", "template").alias("score")).where(F.col("score") >= BAR - BOTH - 2 * RECURS)
+    return scored.withColumn("filler", F.col("score") == FILLER)
 
 
 def templates_of(lines: DataFrame) -> DataFrame:
@@ -205,7 +211,7 @@ def verdicts(parts: DataFrame) -> DataFrame:
     """(mark, reason) of every segment that is a message or filler."""
     lines = materialise(lines_of(parts))
     some = materialise(judged(lines))
-    placed = templates_of(some.where(F.col("score") >= BAR - BOTH - 2 * RECURS))
+    placed = templates_of(some.where(~F.col("filler")))
     good = message_templates(placed).where("message").select(*KEYS, "pattern")
     messages = placed.join(good, [*KEYS, "pattern"], "left_semi").select(F.xxhash64("template").alias("mark"), F.lit("message").alias("reason"))
     return materialise(messages.unionByName(some.where("filler").select(F.xxhash64("template").alias("mark"), F.lit("filler").alias("reason"))))
