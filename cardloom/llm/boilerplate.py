@@ -9,8 +9,10 @@ markup says nothing.
 
 from __future__ import annotations
 
+import heapq
 import html as html_lib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -115,14 +117,28 @@ def hints(name: str) -> tuple[float, float]:
 
 
 def align(texts: list[str], found: list[tuple]) -> list[int]:
-    """For each block text the number of its leaf, or -1."""
+    """For each block text the number of its leaf, or -1: the next leaf of the same text, else the next of which one begins the other.
+
+    Leaves are looked up by their text and by how it begins, so that a page of many blocks costs no more per block.
+    """
     norm = [t[1] for t in found]
+    same: dict[str, list[int]] = {}
+    alike: dict[str, list[int]] = {}
+    for j, t in enumerate(norm):
+        same.setdefault(t, []).append(j)
+        alike.setdefault(t[:_BEGINS], []).append(j)
+    short = [j for j, t in enumerate(norm) if len(t) < _BEGINS]
+    after = lambda js, at: js[i] if js and (i := bisect_left(js, at)) < len(js) else None
     out, at = [], 0
     for text in texts:
         want = " ".join((text or "").split())
-        hit = next((j for j in range(at, len(norm)) if norm[j] == want), None)
-        if hit is None:
-            hit = next((j for j in range(at, len(norm)) if want and (norm[j].startswith(want) or want.startswith(norm[j]))), None)
+        hit = after(same.get(want), at)
+        if hit is None and want:
+            if len(want) < _BEGINS:
+                near = range(at, len(norm))
+            else:
+                near = heapq.merge(*([j for j in js[bisect_left(js, at) :]] for js in (alike.get(want[:_BEGINS], []), short)))
+            hit = next((j for j in near if norm[j].startswith(want) or want.startswith(norm[j])), None)
         if hit is None:
             out.append(-1)
         else:
@@ -131,6 +147,7 @@ def align(texts: list[str], found: list[tuple]) -> list[int]:
     return out
 
 
+_BEGINS = 12
 NAMES = ["words", "link", "tag", "ends", "signs", "digits", "before_words", "before_link", "after_words", "after_link", "box_from_head", "has_head", "in_head_box", "box_blocks", "box_words", "box_mean", "box_link", "box_most", "box_heads", "box_items",
          "last_words", "last_link", "last_mean", "next_words", "next_link", "next_mean", "boxes_before", "boxes_after", "at", "left", "lost", "head_gap", "run_words", "second_words", "second_mean", "second_head", "second_link", "third_words", "third_head", "main_hint", "noise_hint"]
 HINTS = 2

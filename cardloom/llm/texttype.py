@@ -28,7 +28,9 @@ _END = re.compile(r"[.!?。！？…][)\]”’\"'»」』]*\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _COLUMNS = (re.compile(r"\t"), re.compile(r"\s*;\s*"), re.compile(r"\s*\|\s*"), re.compile(r" {2,}"), re.compile(r",\s+"))
 _FIGURE = re.compile(r"[\d.,%]+")
-_HEX = re.compile(r"[0-9a-f]{2}|[0-9a-f]{4}|[0-9a-f]{8,}")
+_HEX = re.compile(r"(?<!\S)(?:[0-9a-f]{2}|[0-9a-f]{4}|[0-9a-f]{8,})(?!\S)")
+_MASH = re.compile(r"(?<!\S)[^\saeiouyà-ÿ]{5,}(?!\S)")
+_DIGIT = re.compile(r"\d")
 _VOWEL = re.compile(r"[aeiouyà-ÿ]")
 _HANGUL = re.compile(r"[가-힣]")
 _CODE = re.compile(r"[{}=<>]|\);|;\s*(?:\n|$)|\bfunction\b|\bvar\b")
@@ -65,8 +67,9 @@ def statistics(text: str | None, common: frozenset, block_count: int | None = No
     tokens = flat.split()
     last = [bool(_END.search(x)) for x in lines]
     columns = best = 0.0
+    numbered = [(x, x.strip()) for x in lines if _DIGIT.search(x)] if figures else []
     for sign, pattern in zip("\t;| ,", _COLUMNS):
-        marked = [x for x in lines if ("  " if sign == " " else sign) in x.strip() and any(c.isdigit() for c in x)]
+        marked = [x for x, bare in numbered if ("  " if sign == " " else sign) in bare]
         if len(marked) <= best * len(lines):
             continue
         cells = [[c for c in pattern.split(x.strip()) if c] for x in marked]
@@ -94,8 +97,8 @@ def statistics(text: str | None, common: frozenset, block_count: int | None = No
         "code_ratio": round(len(_CODE.findall(flat)) / n, 4) if n else 0.0,
         "east_share": round(all_east / n, 4) if n else 0.0,
         "longest_word": max(map(len, tokens), default=0) if not east else 0,
-        "hex_share": round(sum(_HEX.fullmatch(w) is not None for w in tokens) / max(1, len(tokens)), 4),
-        "mash_share": round(sum(";" in w.strip(";") or len(w) > 4 and not _VOWEL.search(w) for w in map(str.lower, tokens)) / max(1, len(tokens)), 4),
+        "hex_share": round(len(_HEX.findall(flat)) / max(1, len(tokens)), 4),
+        "mash_share": round((sum(";" in w.strip(";") or len(w) > 4 and not _VOWEL.search(w) for w in map(str.lower, tokens)) if ";" in flat else len(_MASH.findall(flat.lower()))) / max(1, len(tokens)), 4),
         "block_count": block_count or 0,
     }
 

@@ -32,12 +32,22 @@ class Tree:
         return len(self.feature) - 1
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        feature, threshold, left, right = (np.array(p) for p in (self.feature, self.threshold, self.left, self.right))
+        feature, threshold, left, right, value = self._arrays()
         at = np.zeros(len(x), dtype=int)
         while len(live := np.flatnonzero(feature[at] >= 0)):
             node = at[live]
             at[live] = np.where(x[live, feature[node]] <= threshold[node], left[node], right[node])
-        return np.array(self.value)[at]
+        return value[at]
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        """The columns as arrays; kept while no node is added."""
+        got = self.__dict__.get("_kept")
+        if got is None or len(got[0]) != len(self.feature):
+            got = self.__dict__["_kept"] = tuple(np.array(p) for p in (self.feature, self.threshold, self.left, self.right, self.value))
+        return got
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
 
 
 class Binned:
