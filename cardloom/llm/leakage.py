@@ -3,9 +3,10 @@
 Containment search with size partitions: a held-out sentence of up to s words is looked up among windows of 2s words
 that overlap by half, so that one of them holds the sentence whole however long the document is. Within a partition both
 sides have alike sizes, and MinHash bands tuned to the containment threshold find the candidates. Words that no held-out
-item has can't add to the containment and are left out of the windows first, which empties nearly all of them. Every
-candidate is then checked word by word: the numbers and names of the sentence must stand there in its order, and enough
-of its other words with them.
+item has can't add to the containment and are left out of the windows first, which empties nearly all of them; they are
+known by a bit table of fixed size, whatever their number. Every candidate is verified by the exact containment of the
+sentence's shingles of two words in the window, since a few words may be exchanged; an exact check of facts follows: the
+numbers and names of the sentence must stand there in its order, and enough of its other words with them.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ BANDS, ROWS = 64, 2
 CONTAINED = 0.75
 #: Least words of a sentence that counts as material of an item, and words so common in the items that they tell nothing.
 LEAST, COMMON = 6, 0.2
-#: Above this many distinct words of items, windows are no longer thinned by a word list sent to every task.
-MOST_WORDS = 500_000
-
-#: Up to this many sentences their bands go to every task, and documents are searched where they lie; beyond, by joins.
+#: Share of a sentence's two-word shingles that must stand in the window: a fourth of its words exchanged breaks up to half of them.
+SHINGLES = 0.5
+#: Size of the bit tables that carry the words of items to every task.
+BITS = 1 << 24
+#: Up to this many sentences their bands go to every task, and documents are searched where they lie; beyond, the same bands meet by joins.
 MOST_SENTENCES = 50_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|\[(?:b|i|/b|/i)\]")
@@ -61,7 +63,30 @@ def bands(words) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - 2**63 for i, row in enumerate(low)]
 
 
-def windows(words: list[str], size: int, known: frozenset | None, least: int, names: frozenset = frozenset(), least_names: int = 0) -> list[dict]:
+class Words:
+    """A set of words as bits: of fixed size, and sure of every word in it; of others it takes a few in as well."""
+
+    def __init__(self, words):
+        self.bits = np.zeros(BITS // 8, dtype=np.uint8)
+        for w in words:
+            h = xxhash.xxh64_intdigest(w) % BITS
+            self.bits[h >> 3] |= 1 << (h & 7)
+        self.seen: dict[str, bool] = {}
+
+    def __contains__(self, word: str) -> bool:
+        if (got := self.seen.get(word)) is None:
+            h = xxhash.xxh64_intdigest(word) % BITS
+            got = bool(self.bits[h >> 3] >> (h & 7) & 1)
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[word] = got
+        return got
+
+    def __getstate__(self):
+        return {"bits": self.bits, "seen": {}}
+
+
+def windows(words: list[str], size: int, known: Words, least: int, names: Words, least_names: int) -> list[dict]:
     """Windows of a document that could hold a sentence, as (no, words): they have enough of its kind's words and names."""
     out = []
     if least_names and sum(w in names for w in set(words)) < least_names:
@@ -69,11 +94,17 @@ def windows(words: list[str], size: int, known: frozenset | None, least: int, na
     half = size // 2
     for no, start in enumerate(range(0, max(1, len(words) - half), half)):
         part = words[start : start + size]
-        if len(part) >= LEAST and (known is None or sum(w in known for w in set(part)) >= least) and (not least_names or sum(w in names for w in set(part)) >= least_names):
+        if len(part) >= LEAST and sum(w in known for w in set(part)) >= least and (not least_names or sum(w in names for w in set(part)) >= least_names):
             out.append({"size": size, "no": no, "words": part})
     return out
 
 
+def shingled(words: list[str], sentence: list[str]) -> bool:
+    """Whether enough of a sentence's two-word shingles stand in a window."""
+    own = set(zip(sentence, sentence[1:]))
+    return len(own & set(zip(words, words[1:]))) >= SHINGLES * len(own)
+
+
 def contains(words: list[str], sentence: list[str], facts: list[bool]) -> bool:
     """Whether the words hold the sentence: all its facts and enough of the rest, in its order, close together."""
     have = set(words)
@@ -118,7 +149,7 @@ def item_sentences(items: list[tuple[int, str]]) -> list[dict]:
 class Index:
     """Bands of sentences, to look windows up in."""
 
-    def __init__(self, sentences: list[dict], known: frozenset, names: frozenset):
+    def __init__(self, sentences: list[dict], known: Words, names: Words):
         self.sentences, self.known, self.names = sentences, known, names
         self.sizes = sorted({s["size"] for s in sentences})
         self.least = max(1, int(CONTAINED * min((len(s["keys"]) for s in sentences), default=0)))
@@ -136,7 +167,7 @@ class Index:
                 found = {k for b in bands([x for x in w["words"] if x in self.known]) for k in self.buckets.get((size, b), ())}
                 for k in found:
                     s = self.sentences[k]
-                    if s["item_id"] not in out and contains(w["words"], s["words"], s["facts"]):
+                    if s["item_id"] not in out and shingled(w["words"], s["words"]) and contains(w["words"], s["words"], s["facts"]):
                         out.add(s["item_id"])
         return sorted(out)
 
@@ -145,21 +176,22 @@ def leaked_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str
     """(item_id, doc_id) of every document that holds a whole sentence of an item.
 
     Items are a set of evaluation items that the driver can hold. Null and empty texts on either side hold nothing, null
-    ids are dropped, repeated rows count once, extra columns don't matter; documents of any length are read whole.
+    ids are dropped, repeated rows count once, extra columns don't matter; documents of any length are read whole. Both
+    ways of searching hash the same windows into the same bands and give the same rows.
     """
     spark = documents.sparkSession
     items = sorted({(r[0], r[1]) for r in benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator()})
     sentences = item_sentences(items)
     schema = "item_id bigint, words array<string>, facts array<boolean>, sentence int, size int, keys array<string>"
     asked = spark.createDataFrame([{k: v for k, v in s.items() if k != "names"} for s in sentences], schema)
-    names = frozenset(w for s in sentences for w in s["names"])
-    known = frozenset(w for s in sentences for w in s["keys"])
+    names = Words({w for s in sentences for w in s["names"]})
+    known = Words({w for s in sentences for w in s["keys"]})
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("__text")).where(F.col("doc_id").isNotNull() & (F.length("__text") > 0))
     if len(sentences) <= most_sentences:
         index = spark.sparkContext.broadcast(Index(sentences, known, names))
         held = docs.select("doc_id", F.explode(arrow(lambda t: index.value.items(t), "array<bigint>", "__text")).alias("item_id"))
         return held.select("item_id", "doc_id").distinct()
-    shared = spark.sparkContext.broadcast((known if len(known) <= MOST_WORDS else None, sorted({s["size"] for s in sentences}), min((len(s["keys"]) for s in sentences), default=0), names, min((len(s["names"]) for s in sentences), default=0)))
+    shared = spark.sparkContext.broadcast((known, sorted({s["size"] for s in sentences}), min((len(s["keys"]) for s in sentences), default=0), names, min((len(s["names"]) for s in sentences), default=0)))
 
     def cut(text):
         words, (keep, sizes, least, own, fewest) = tokens(text), shared.value
@@ -169,13 +201,13 @@ def leaked_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str
 
     def keys(words):
         keep = shared.value[0]
-        return bands(words if keep is None else [w for w in words if w in keep])
+        return bands([w for w in words if w in keep])
 
     hashed = held.select("doc_id", "no", "size", F.posexplode(arrow(keys, "array<bigint>", "words")).alias("band", "hash"))
     wanted = asked.select("sentence", "size", F.posexplode(arrow(bands, "array<bigint>", "keys")).alias("band", "hash"))
     pairs = hashed.join(wanted, ["size", "band", "hash"]).select("doc_id", "size", "no", "sentence").distinct()
     checked = pairs.join(held, ["doc_id", "size", "no"]).join(asked.select("sentence", "item_id", F.col("words").alias("said"), "facts"), "sentence")
-    sure = arrow(lambda w, s, f: bool(contains(list(w), list(s), list(f))), "boolean", "words", "said", "facts")
+    sure = arrow(lambda w, s, f: shingled(list(w), list(s)) and bool(contains(list(w), list(s), list(f))), "boolean", "words", "said", "facts")
     return checked.where(sure).select("item_id", "doc_id").distinct()
 
 

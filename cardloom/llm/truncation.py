@@ -1,15 +1,17 @@
 """Values cut at a fixed length or in transfer, and how often each source cuts.
 
-Intact values are cut artificially, at limits and anywhere, which gives positives of known kind; a logistic regression
-over hashed features of how a value closes, its punctuation, its length and the lengths at which its field piles up, and
-of whether a longer form of it is known or its html breaks off, is fitted on them and scores every record. Marks put after the cut are taken
-off first. What stops at the end of a sentence, or of a line of its page, is not cut for this purpose.
+Intact values are cut artificially, at limits, at the ends of lines and sentences, and anywhere, which gives positives
+and negatives of known kind; a logistic regression over hashed features of how a value closes, its punctuation, its
+length and the lengths at which its field piles up, and of what is known of a longer form of it, is fitted on them and
+scores every record: the model alone decides. Marks put after the cut are taken off first. What stops at the end of a
+sentence, or of a line of its page, is not cut for this purpose, and the artificial cuts are labelled so.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -19,17 +21,41 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from .common import arrow, bounded_sample, materialise, table
+from .encoding import CHANNELS
+from .notices import Notices, shown
 from .residue import SLOT
 
 #: Intact values of each field that the model is fitted on, the size of its feature space, and the passes over them.
 INTACT, DIM, EPOCHS = 4000, 1 << 14, 12
+#: How often each notice stands among the intact values.
+COMPLETE = 4
+#: A length is a pile if it has so many values, and so many times as many as the lengths beside it on average.
+PILE_LEAST, PILE = 3, 1.5
 LIMITS = (80, 100, 120, 140, 150, 155, 160, 180, 200, 240, 250, 255, 256, 280, 300, 320, 500, 512, 700, 800, 1000, 1024, 1500, 2000, 2048, 4096)
 _MORE = r"read more|continue reading|more|weiterlesen|mehr lesen|mehr|lire la suite|lire plus|suite|leer más|seguir leyendo|ler mais|continuar a ler|続きを読む|もっと見る|더 보기|계속 읽기"
 _MARK = re.compile(rf"\s*(?:(?:…|\.\.\.+|\[\s?(?:…|\.\.\.)\s?\]|\(\s?(?:…|\.\.\.)\s?\)|&hellip;)\s*(?:{_MORE})?|[»→›]\s*(?:{_MORE}))\s*[»→›]?\s*$", re.I)
 #: What a rendering leaves behind a value; it says nothing about the value's end.
 _TAIL = re.compile(r"\s*(?:\((?:NaN|undefined|null)(?: \w+)?\)|[|–-] (?:undefined|null|NaN))\s*$|�+$")
 _SLOT_TAIL = re.compile(rf"\s*(?:[|–:-]\s*)?(?:{SLOT.pattern})\s*$")
-_END = re.compile(r"(?:[.!?。！？]|€‚|\x80\x82)[)\]”’\"'»›“」』\x9d]*(?:€\x9d|\x80\x9d)?[.]?$|(?:€‚|ã\x80\x82|\x81B|��B|��B|¡B|¡£)$")
+
+
+def _garbled_stops() -> list[str]:
+    """What the stops of Chinese and Japanese look like through the wrong encodings."""
+    out = set()
+    for garble in CHANNELS.values():
+        for c in "。！？":
+            try:
+                seen = garble(c)
+            except UnicodeError:
+                continue
+            if len(seen) > 1 and not seen.isascii() and seen.strip():
+                out.add(seen)
+    for codec in ("cp932", "euc_jp", "cp949"):  # read as UTF-8, with lost bytes shown
+        out |= {seen for c in "。！？" if len(seen := c.encode(codec).decode("utf-8", "replace")) > 1 and seen.strip("\ufffd")}
+    return sorted(out, key=lambda x: (-len(x), x))
+
+
+_END = re.compile(r"(?:[.!?。！？]|" + "|".join(map(re.escape, _garbled_stops())) + r")[)\]”’\"'»›“」』\x9d]*(?:€\x9d|\x80\x9d)?[.]?$")
 _TERMINATOR = re.compile(r"[.!?](?=\s)|[。！？]")
 _WORD = re.compile(r"[^\W_]+")
 _INLINE_TAG = re.compile(r"(?i)<!--.*?-->|</?(?:a|abbr|b|bdi|cite|code|em|i|kbd|mark|q|s|small|span|strong|sub|sup|time|u)\b[^>]*>", re.S)
@@ -52,18 +78,44 @@ def ends_whole(part: str) -> bool:
     return _END.search(part.rstrip()) is not None
 
 
-def hashed(text: str, field: str, pile: float, longer: int, broken: bool = False) -> list[int]:
-    """Feature numbers of a value. longer: 1 if it is a proper beginning of a known form, 0 if a known form is no longer, -1 if none is known; broken: its html breaks off within text."""
+def stop(text: str, lines: list[str] | None) -> str:
+    """Where a value stops on its page: 'inside' a line, at the end of an inner 'line', at the 'end' of all lines, or 'unknown'."""
+    part = kept(text)[0]
+    rest, lines = " ".join(part.split()), [x for line in lines or () if (x := " ".join((line or "").split()))]
+    for at, line in enumerate(lines):
+        if rest == line:
+            return "end" if at == len(lines) - 1 else "line"
+        if not rest.startswith(line + " "):
+            return "inside" if line.startswith(rest) else "unknown"
+        rest = rest[len(line) + 1 :]
+    return "unknown"
+
+
+@lru_cache(maxsize=1)
+def _notices() -> Notices:
+    return Notices()
+
+
+def hashed(text: str, field: str, pile: float, full: str | None = None, lines: list[str] | None = None, broken: bool = False, more: bool = False) -> list[int]:
+    """Feature numbers of a value.
+
+    full is the longer form that is known, lines are those of its page, broken is whether its html breaks off within
+    text, more whether another form of the page goes on where it stops.
+    """
     part, mark = kept(text)
-    part = _TAIL.sub("", part)
+    part = _SLOT_TAIL.sub("", _TAIL.sub("", part))
     words = _WORD.findall(part)
     last = words[-1] if words else ""
     n = len(part)
     sentences = len(_TERMINATOR.findall(part))
+    whole, longer, where = ends_whole(part), relation(text, full), stop(text, lines)
+    # The row's own blocks stop with its text where a capture broke off, so they tell nothing then.
+    known = "more" if more else "unknown" if broken and longer == 0 else str(longer)
+    notice = field == "cards" and len(part) < 160 and _notices().score(part) > 0
     named = [
-        f"end:{part[-1:]}", f"end3:{part[-3:].lower()}", f"kind:{_kind(part[-1:])}{_kind(part[-2:-1])}", f"word:{last.lower()}", f"size:{min(len(last), 6)}", f"whole:{ends_whole(part)}", f"mark:{mark}", f"many:{min(sentences, 3)}",
-        f"whole:{ends_whole(part)}:many:{min(sentences, 2)}", f"long:{min(int(math.log2(n + 1) * 2), 24)}", f"limit:{len(text) in LIMITS or n in LIMITS}", f"pile:{int(min(pile, 12))}", f"open:{any(part.count(a) > part.count(b) for a, b in _OPEN.items())}",
-        f"longer:{longer}", f"longer:{longer}:whole:{ends_whole(part)}", f"longer:{longer}:mark:{mark}", f"broken:{broken}", f"comma:{part[-1:] in ',;:、，'}", f"few:{min(len(words), 8)}:{sentences > 0}", "bias",
+        f"end:{part[-1:]}", f"end3:{part[-3:].lower()}", f"kind:{_kind(part[-1:])}{_kind(part[-2:-1])}", f"word:{last.lower()}", f"size:{min(len(last), 6)}", f"whole:{whole}", f"mark:{mark}", f"many:{min(sentences, 3)}",
+        f"whole:{whole}:many:{min(sentences, 2)}", f"long:{min(int(math.log2(n + 1) * 2), 24)}", f"limit:{len(text) in LIMITS or n in LIMITS}", f"pile:{int(min(pile, 12))}", f"open:{any(part.count(a) > part.count(b) for a, b in _OPEN.items())}",
+        f"longer:{known}", f"longer:{known}:whole:{whole}", f"longer:{known}:mark:{mark}", f"stop:{where}", f"stop:{where}:longer:{known}", f"broken:{broken}", f"broken:{broken}:whole:{whole}", f"comma:{part[-1:] in ',;:、，'}", f"few:{min(len(words), 8)}:{sentences > 0}", f"notice:{notice}", "bias",
     ]
     return [xxhash.xxh32_intdigest(f"{field}|{f}") % DIM for f in named]
 
@@ -86,21 +138,61 @@ def cuts(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def fit(intact: dict[str, list[tuple[str, bool]]], piles: dict[tuple[str, int], float], seed: int = 5) -> np.ndarray:
-    """Weights from intact values by field, each with whether its longer form would be known."""
+def clean_stops(text: str, rng: np.random.Generator) -> list[str]:
+    """A value stopped at the end of an inner sentence, sometimes with a mark: cut, but not for this purpose."""
+    ends = [m.end() for m in _TERMINATOR.finditer(text) if m.end() < len(text.rstrip())]
+    return [text[: ends[int(rng.integers(len(ends)))]] + ("…" if rng.random() < 0.2 else "")] if ends else []
+
+
+def _up_to(lines: list[str] | None, text: str) -> list[str]:
+    """The lines of a page as far as a text goes."""
+    out, rest = [], len(" ".join(text.split()))
+    for line in lines or ():
+        flat = " ".join((line or "").split())
+        if rest <= 0:
+            break
+        out.append(flat[:rest])
+        rest -= len(flat) + 1
+    return out
+
+
+def fit(intact: dict[str, list[tuple[str, bool, list[str] | None]]], piles: dict[tuple[str, int], float], seed: int = 5, complete: dict[str, list[str]] | None = None) -> np.ndarray:
+    """Weights from intact values by field, each with whether its longer form would be known and its lines; complete ones are not cut."""
     rng = np.random.default_rng(seed)
     rows, ys = [], []
+
+    def add(label: float, *args) -> None:
+        rows.append(hashed(*args))
+        ys.append(label)
+
+    for field, texts in (complete or {}).items():
+        for text in texts:
+            for _ in range(COMPLETE):
+                add(0.0, text.replace("0", str(rng.integers(100, 600))), field, piles.get((field, len(text)), 0.0))
     for field, values in sorted(intact.items()):
-        for text, known in values:
-            rows.append(hashed(text, field, piles.get((field, len(text)), 0.0), 0 if known and rng.random() < 0.6 else -1))
-            ys.append(0.0)
-            for part in cuts(text, rng):
+        for text, known, lines in values:
+            full = " ".join(text.split()) if known else None
+            pile = piles.get((field, len(text)), 0.0)
+            add(0.0, text, field, pile, full if rng.random() < 0.6 else None, lines)
+            parts = cuts(text, rng)
+            inner = [x for x in (lines or ())[:-1] if x and x.strip()]
+            if inner and rng.random() < 0.5:  # a stop at the end of a line
+                n = int(rng.integers(len(inner))) + 1
+                joined = ("\n" if "\n" in text else " ").join((lines or ())[:n])
+                if not ends_whole(joined):
+                    add(0.0, joined, field, 0.0, full, lines)
+            for part in clean_stops(text, rng):
+                add(0.0, part, field, piles.get((field, len(part)), 0.0), full if rng.random() < 0.8 else None, lines)
+            for part in parts:
+                if stop(part, lines) == "line":
+                    continue
                 pile = float(rng.integers(2, 9)) if len(part) in LIMITS else piles.get((field, len(part)), 0.0)
-                rows.append(hashed(part, field, pile, 1 if known and rng.random() < 0.8 else -1))
-                ys.append(1.0)
+                add(1.0, part, field, pile, full if rng.random() < 0.8 else None, lines)
                 if field == "render_results":  # the same cut in transfer: html and blocks end there too
-                    rows.append(hashed(part, field, 0.0, 1 if rng.random() < 0.2 else -1, True))
-                    ys.append(1.0)
+                    own = _up_to(lines, part) or None
+                    flat = " ".join(kept(part)[0].split())
+                    add(1.0, part, field, 0.0, flat, own, True, bool(rng.random() < 0.2))
+                    add(1.0, part, field, 0.0, flat, own, False, True)
     weights = np.zeros(DIM)
     if not rows:
         return weights
@@ -109,16 +201,14 @@ def fit(intact: dict[str, list[tuple[str, bool]]], piles: dict[tuple[str, int],
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
             q = 1 / (1 + np.exp(-np.clip(weights[x[part]].sum(axis=1), -30, 30)))
-            g = np.zeros(DIM)
-            np.add.at(g, x[part].ravel(), np.repeat(q - y[part], x.shape[1]))
-            g = g / len(part) + 1e-6 * weights
+            g = np.bincount(x[part].ravel(), np.repeat(q - y[part], x.shape[1]), DIM) / len(part) + 1e-6 * weights
             grad += g * g
             weights -= 0.3 * g / np.sqrt(grad)
     return weights
 
 
-def score(weights: np.ndarray, text: str, field: str, pile: float, longer: int, broken: bool = False) -> float:
-    return float(1 / (1 + np.exp(-np.clip(weights[hashed(text, field, pile, longer, broken)].sum(), -30, 30))))
+def score(weights: np.ndarray, text: str, field: str, pile: float, full: str | None = None, lines: list[str] | None = None, broken: bool = False, more: bool = False) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[hashed(text, field, pile, full, lines, broken, more)].sum(), -30, 30))))
 
 
 def relation(text: str | None, full: str | None) -> int:
@@ -134,21 +224,6 @@ def relation(text: str | None, full: str | None) -> int:
     return int(len(a) < len(b))
 
 
-def inside(text: str, lines: list[str] | None) -> bool:
-    """Whether the kept part stops inside a line of its page; True where that is not known, as at the end of all lines."""
-    part = kept(text)[0]
-    if not lines:
-        return True
-    rest, lines = " ".join(part.split()), [x for line in lines if (x := " ".join((line or "").split()))]
-    for at, line in enumerate(lines):
-        if rest == line:
-            return at == len(lines) - 1
-        if not rest.startswith(line + " "):
-            return True
-        rest = rest[len(line) + 1 :]
-    return True
-
-
 def page_lines(html: str) -> list[str]:
     """Lines of a page's html: what stands between tags that are not inline, without comments."""
     return [x for part in _BLOCK_TAG.split(_INLINE_TAG.sub("", html)) if (x := " ".join(unescape(part).split()))]
@@ -196,43 +271,41 @@ def truncated_values(cards: DataFrame, renders: DataFrame, pages: DataFrame) ->
     Null and empty values are not scored, null ids are dropped, repeated rows may repeat, extra columns don't matter.
     Values are read whole. The truncated flag is not read.
     """
-    values = _values(cards, renders, pages)
-    # Lengths at which a field piles up: more values than the lengths beside it would have.
-    lengths = values.groupBy("source_table", F.length("text").alias("n")).count()
-    counts = {(r[0], r[1]): r[2] for r in lengths.where(F.col("n") <= 2 * max(LIMITS)).toLocalIterator()}
-    piles = {k: c / (1 + np.mean([counts.get((k[0], k[1] + d), 0) for d in (-3, -2, -1, 1, 2, 3)])) for k, c in counts.items()}
-    whole = values.where((F.translate("text", "\n", " ") == F.translate("full", "\n", " ")) & ~F.col("broken") & ~F.col("more")).select("source_table", "text", F.lit(True).alias("known"))
+    values = materialise(_values(cards, renders, pages))
+    piles = {(r[0], r[1]): r[2] for r in length_piles(values).toLocalIterator()}
+    whole = values.where((F.translate("text", "\n", " ") == F.translate("full", "\n", " ")) & ~F.col("broken") & ~F.col("more")).select("source_table", "text", F.lit(True).alias("known"), "lines")
     # Titles close without a full stop and are complete: so may a description.
-    titles = cards.where(F.length("title") > 3).select(F.lit("cards").alias("source_table"), F.col("title").alias("text"), F.lit(False).alias("known"))
+    titles = cards.where(F.length("title") > 3).select(F.lit("cards").alias("source_table"), F.col("title").alias("text"), F.lit(False).alias("known"), F.lit(None).cast("array<string>").alias("lines"))
     sample = whole.unionByName(titles)
-    total = {s: sum(c for (x, _), c in counts.items() if x == s) for s in ("cards", "render_results")}
-    parts = [bounded_sample(sample.where((F.col("source_table") == s) & (F.col("known") == k)), m, total[s], "source_table", "text") for s, k, m in (("cards", True, INTACT), ("cards", False, INTACT // 4), ("render_results", True, INTACT // 2))]
-    intact: dict[str, list[tuple[str, bool]]] = {}
+    total = {r[0]: r[1] for r in values.groupBy("source_table").count().collect()}
+    parts = [bounded_sample(sample.where((F.col("source_table") == s) & (F.col("known") == k)), m, total.get(s, 0), "source_table", "text") for s, k, m in (("cards", True, INTACT), ("cards", False, INTACT // 4), ("render_results", True, INTACT // 2))]
+    intact: dict[str, list] = {}
     for part in parts:
         for r in {(r["source_table"], r["text"], r["known"]): r for r in part}.values():
-            intact.setdefault(r["source_table"], []).append((r["text"], r["known"]))
-    model = values.sparkSession.sparkContext.broadcast((fit(intact, piles), piles))
+            intact.setdefault(r["source_table"], []).append((r["text"], r["known"], list(r["lines"]) if r["lines"] is not None else None))
+    model = values.sparkSession.sparkContext.broadcast((fit(intact, piles, complete={"cards": shown()}), piles))  # notices are complete, however they end
 
     def run(field: pd.Series, text: pd.Series, full: pd.Series, lines: pd.Series, broken: pd.Series, more: pd.Series) -> pd.Series:
         weights, pile = model.value
         out = []
         for f, t, u, ls, b, m in zip(field, text, full, lines, broken, more):
-            u = u if isinstance(u, str) else None
-            part = _SLOT_TAIL.sub("", _TAIL.sub("", kept(t)[0]))
-            if ends_whole(part) or not _WORD.search(SLOT.sub(" ", part)):
-                out.append(False)
-                continue
-            longer = relation(t, u)
-            if longer == 0 and (b or m):  # the row's own blocks stop with its text, so they tell nothing
-                longer = 1 if m else -1
-            sure = score(weights, t, f, pile.get((f, len(t)), 0.0), longer, b) >= 0.5
-            out.append(bool(sure and inside(t, list(ls) if ls is not None else None)))
+            # A value without any word has nothing that could be cut.
+            worded = _WORD.search(SLOT.sub(" ", kept(t)[0])) is not None
+            out.append(bool(worded and score(weights, t, f, pile.get((f, len(t)), 0.0), u if isinstance(u, str) else None, list(ls) if ls is not None else None, bool(b), bool(m)) >= 0.5))
         return pd.Series(out, index=text.index)
 
     run.__annotations__ = {"field": pd.Series, "text": pd.Series, "full": pd.Series, "lines": pd.Series, "broken": pd.Series, "more": pd.Series, "return": pd.Series}
     return values.select("source_table", "row_id", "page_id", pandas_udf(run, "boolean").asNondeterministic()("source_table", "text", "full", "lines", "broken", "more").alias("cut"))
 
 
+def length_piles(values: DataFrame) -> DataFrame:
+    """(source_table, n, pile) of the lengths at which a field piles up, whatever they are: how many times the mean of the six lengths beside it."""
+    counts = values.groupBy("source_table", F.length("text").alias("n")).agg(F.count("*").alias("c"))
+    near = counts.select("source_table", F.explode(F.array(*[F.struct((F.col("n") + d).alias("n"), (F.col("c") if d == 0 else F.lit(0)).cast("bigint").alias("c"), (F.lit(0) if d == 0 else F.col("c")).cast("bigint").alias("beside")) for d in range(-3, 4)])).alias("x")).select("source_table", "x.*")
+    summed = near.groupBy("source_table", "n").agg(F.sum("c").alias("c"), F.sum("beside").alias("beside"))
+    return summed.select("source_table", "n", "c", (F.col("c") / (1 + F.col("beside") / 6)).alias("pile")).where((F.col("c") >= PILE_LEAST) & (F.col("pile") >= PILE)).select("source_table", "n", "pile")
+
+
 def p5_found(spark, sf_dir: str) -> DataFrame:
     """Card descriptions and render texts that were cut inside a word, a sentence or a line."""
     found = truncated_values(table(spark, sf_dir, "cards"), table(spark, sf_dir, "render_results"), table(spark, sf_dir, "pages"))

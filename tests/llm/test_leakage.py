@@ -21,6 +21,29 @@ def test_leaks_against_brute_force(spark, most):
     assert got == brute == [(7, 1), (7, 2), (7, 3), (7, 4)]
 
 
+def test_recall_of_both_ways_on_the_documents(spark):
+    """Against brute force over all pairs of sentence and document that share a name or number of the sentence."""
+    import pandas as pd
+
+    docs, items = (pd.read_parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    sentences = L.item_sentences(sorted({(int(i), t) for i, t in zip(items.item_id, items.text)}))
+    brute = set()
+    for i, text in zip(docs.doc_id, docs.text):
+        words = L.tokens(text)
+        have = set(words)
+        for s in sentences:
+            if all(w in have for w, f in zip(s["words"], s["facts"]) if f) and L.contains(words, s["words"], s["facts"]):
+                brute.add((s["item_id"], int(i)))
+    args = spark.createDataFrame(docs[["doc_id", "text"]]), spark.createDataFrame(items[["item_id", "text"]])
+    ways = [{tuple(r) for r in L.leaked_documents(*args, most_sentences=most).collect()} for most in (1000, 0)]
+    assert ways[0] == ways[1] and len(ways[0] & brute) >= 0.99 * len(brute) and len(brute) > 10
+
+
+def test_words_as_bits():
+    words = L.Words(["ab", "cd"])
+    assert "ab" in words and "cd" in words and sum(f"x{i}" in words for i in range(20_000)) == 0
+
+
 def test_empty_tables(spark):
     docs, items = "doc_id bigint, text string", "item_id bigint, text string"
     assert L.leaked_documents(spark.createDataFrame([(1, ONE)], docs), spark.createDataFrame([], items)).count() == 0

@@ -102,11 +102,23 @@ def test_statistics_of_odd_texts(text):
 
 def test_cuts_on_held_out_values():
     whole = ["The harbour office measures the old tide tables, although the budget is small. It is the choir that tests boat number %d." % i for i in range(300)]
-    weights = U.fit({"cards": [(t, False) for t in whole[:200]] + [("Notes on boat number %d" % i, False) for i in range(100)]}, {})
+    weights = U.fit({"cards": [(t, False, None) for t in whole[:200]] + [("Notes on boat number %d" % i, False, None) for i in range(100)]}, {})
     rng = np.random.default_rng(9)
     cut = [c for t in whole[200:] for c in U.cuts(t, rng)]
-    assert np.mean([U.score(weights, c, "cards", 0.0, -1) >= 0.5 for c in cut]) > 0.9
-    assert np.mean([U.score(weights, t, "cards", 0.0, -1) < 0.5 for t in whole[200:]]) > 0.95
+    assert np.mean([U.score(weights, c, "cards", 0.0) >= 0.5 for c in cut]) > 0.9
+    assert np.mean([U.score(weights, t, "cards", 0.0) < 0.5 for t in whole[200:]]) > 0.95
+
+
+def test_where_a_value_stops():
+    lines = ["One line here.", "Another line of it", "The last"]
+    assert [U.stop(t, lines) for t in ("One line", "One line here.", "One line here. Another", "One line here.\nAnother line of it", "One line here. Another line of it The last", "Else", "")] == ["inside", "line", "inside", "line", "end", "unknown", "inside"]
+    assert U.stop("One", None) == "unknown"
+
+
+def test_piles_of_long_values(spark):
+    rows = [("cards", "x" * n) for n in [20_000] * 9 + [19_999] + list(range(50, 90))]
+    values = spark.createDataFrame(rows, "source_table string, text string")
+    assert [(r.n, r.pile > 5) for r in U.length_piles(values).collect()] == [(20_000, True)]
 
 
 @pytest.mark.parametrize("text,part", [("one two… Read more", "one two"), ("one two [...]", "one two"), ("one two...", "one two"), ("one two.", "one two."), ("", "")])
