@@ -20,8 +20,8 @@ from .encoding import damaged_values
 from .residue import residue_values
 from .texttype import main_texts, noted_renders, text_types
 
-#: Centroids per language, longest n-gram; a sure answer needs this share of the cosine that a language's own sentences have at least when held out, and this lead.
-CENTROIDS, GRAMS, NEAREST, LEAD = 4, 3, 0.75, 0.04
+#: Centroids per language, longest n-gram; a sure answer needs this share of the cosine that a language's own sentences have at least when held out, and a lead of this share of its cosine.
+CENTROIDS, GRAMS, NEAREST, LEAD = 4, 4, 0.5, 0.1
 #: Samples that the centroids are fitted on at most.
 MOST_SAMPLES = 20_000
 
@@ -45,9 +45,10 @@ def label_code(label: str | None) -> str | None:
     return _LABELS.get(re.split(r"[-_]", label.strip().lower())[0])
 
 
-def _word_grams(word: str) -> list[str]:
+def _word_grams(word: str) -> Counter:
+    """The character n-grams of a word between its spaces."""
     w = f" {word} "
-    return [w[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1) if w[i : i + n] != " "] + ["=" + word] * 2
+    return Counter(w[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1) if w[i : i + n] != " ")
 
 
 def grams(text: str) -> Counter:
@@ -58,7 +59,7 @@ def grams(text: str) -> Counter:
 
 
 class Centroids:
-    """Several centroids per language over the n-grams of its samples."""
+    """Several centroids per language over the TF-IDF vectors of its samples' n-grams, all of length one."""
 
     def __init__(self, samples: list[tuple[str, str]], seed: int = 1, calibrate: bool = True):
         samples = sorted(set(samples))
@@ -66,8 +67,10 @@ class Centroids:
         df = Counter(g for c in counts for g in c)
         self.index = {g: i for i, g in enumerate(sorted(df))}
         self.idf = np.array([math.log((1 + len(samples)) / (1 + df[g])) + 0.3 for g in sorted(df)])
+        #: Weight of an n-gram that no sample has.
+        self.unseen = math.log(1 + len(samples)) + 0.3
         self.langs: list[str] = []
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         rows = []
         for lang in sorted({x for x, _ in samples}):
             own = np.array([self.dense(c) for (x, _), c in zip(samples, counts) if x == lang])
@@ -91,37 +94,44 @@ class Centroids:
                 out[self.index[g]] = n * self.idf[self.index[g]]
         return out / max(float(np.linalg.norm(out)), 1e-12)
 
-    def word(self, word: str) -> np.ndarray:
-        """What a word adds to the dot products with all centroids, and to the squared length; kept, as words recur."""
+    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The dot products of a word with all centroids, and its n-grams by number with their weights; kept, as words recur.
+
+        N-grams that no sample has get numbers from a hash, beyond those of the index.
+        """
         if (got := self.seen.get(word)) is None:
-            counts = Counter(_word_grams(word))
-            i = [self.index[g] for g in counts if g in self.index]
-            w = np.array([n * self.idf[self.index[g]] for g, n in counts.items() if g in self.index])
-            lost = sum(n * n for g, n in counts.items() if g not in self.index and g[0] != "=")
-            got = np.append(w @ self.matrix[i] if i else np.zeros(len(self.langs)), (float(w @ w) if i else 0.0) + lost)
+            counts = _word_grams(word)
+            known = [(self.index[g], n) for g, n in counts.items() if g in self.index]
+            i = np.array([k for k, _ in known], dtype=np.int64)
+            w = np.array([n for _, n in known], dtype=float) * self.idf[i] if known else np.zeros(0)
+            lost = [(len(self.index) + zlib.crc32(g.encode()), n * self.unseen) for g, n in counts.items() if g not in self.index]
+            got = (w @ self.matrix[i] if known else np.zeros(len(self.langs)), np.concatenate([i, np.array([k for k, _ in lost], dtype=np.int64)]), np.concatenate([w, np.array([x for _, x in lost])]))
             if len(self.seen) > 100_000:
                 self.seen.clear()
             self.seen[word] = got
         return got
 
     def nearest(self, text: str) -> tuple[str | None, float]:
-        """Language and confidence; None where every centroid is too far or two languages are about as near.
-
-        The length of the vector is taken word by word, as if no two words shared an n-gram.
-        """
+        """Language and confidence; None where every centroid is too far or two languages are about as near."""
         ranked = sorted(self.cosines(_WORDS.findall(text.lower())).items(), key=lambda x: (-x[1], x[0]))
         if not ranked:
             return None, 0.0
         lead = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0.0)
         sure = round(min(1.0, max(0.0, lead / max(ranked[0][1], 1e-9))), 4)
-        return (ranked[0][0] if ranked[0][1] >= self.floor.get(ranked[0][0], 0.0) and lead >= LEAD else None), sure
+        return (ranked[0][0] if ranked[0][1] >= self.floor.get(ranked[0][0], 0.0) and lead >= LEAD * ranked[0][1] else None), sure
 
     def cosines(self, words: list[str]) -> dict[str, float]:
-        """Cosine with the nearest centroid of each language, damped for long texts."""
+        """Cosine with the nearest centroid of each language."""
         if not words or not self.langs:
             return {}
-        total = np.add.reduce([self.word(w) for w in words])
-        cosine = (total[:-1] / math.sqrt(max(total[-1], 1e-12) * len(words) ** 0.5)).tolist()
+        parts = [self.word(w) for w in words]
+        total = np.add.reduce([p[0] for p in parts])
+        # The length of the sum: equal n-grams of several words are added up before they are squared.
+        at, weight = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        order = at.argsort(kind="stable")
+        at, weight = at[order], weight[order]
+        sums = np.add.reduceat(weight, np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])))
+        cosine = (total / max(math.sqrt(float(sums @ sums)), 1e-12)).tolist()
         best: dict[str, float] = {}
         for lang, c in zip(self.langs, cosine):
             if c > best.get(lang, -1.0):

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from ..operators.joins import left_join
 from .common import arrow, bounded_sample, materialise, table
 from .encoding import CHANNELS
 from .notices import Notices, shown
@@ -254,8 +255,8 @@ def _values(cards: DataFrame, renders: DataFrame, pages: DataFrame) -> DataFrame
     meta = F.regexp_extract("html", '(?i)<meta\\s+name="description"\\s+content="([^"]*)"', 1)
     plain = F.replace(F.replace(F.replace(F.replace(meta, F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
     known = pages.where(F.col("page_id").isNotNull() & F.col("html").isNotNull()).select("page_id", plain.alias("full")).where(F.col("full") != "").groupBy("page_id").agg(F.max("full").alias("full"))
-    own = cards.where(F.col("card_id").isNotNull() & (F.trim("description") != "")).select("card_id", "page_id", "description").join(known, "page_id", "left")
-    left = own.select(F.lit("cards").alias("source_table"), F.col("card_id").alias("row_id"), "page_id", F.col("description").alias("text"), "full", F.lit(None).cast("array<string>").alias("lines"), F.lit(False).alias("broken"), F.lit(False).alias("more"))
+    own = cards.where(F.col("card_id").isNotNull() & (F.trim("description") != "")).select("card_id", "page_id", "description")
+    left = left_join(own, known, "page_id", "card_id").select(F.lit("cards").alias("source_table"), F.col("card_id").alias("row_id"), "page_id", F.col("description").alias("text"), "full", F.lit(None).cast("array<string>").alias("lines"), F.lit(False).alias("broken"), F.lit(False).alias("more"))
     tail = F.substring("html", -400, 400)
     # A tag that breaks off ends the line before it if it is a closing one.
     broken = F.coalesce(~tail.rlike(r">\s*(<[^<>]*)?$") & ~tail.rlike(r"<(/[^<>]*)?$") & (F.trim(tail) != ""), F.lit(False))
