@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as C
+from .joins import left_join
 from .plugins import DEFAULTS, LISTS, SCALARS, ContentRules, Registry
 from .reader import Options, reader_content
 
@@ -123,9 +124,7 @@ def dynamic_merge(rendered: DataFrame | None, plugins: Registry = DEFAULTS) -> S
         if rendered is None:
             return df
         _need(rendered, "page_id", "rendered_html")
-        # Rows without a page number meet nothing: they are spread instead of meeting in one task.
-        lone = df.withColumn("c_lone", F.when(F.col("page_id").isNull(), 1 + F.pmod(F.xxhash64("url"), F.lit(4096))).otherwise(F.lit(0).cast("bigint")))
-        both = lone.join(one_capture(rendered).withColumn("c_lone", F.lit(0).cast("bigint")), ["page_id", "c_lone"], "left").drop("c_lone")
+        both = left_join(df, one_capture(rendered), "page_id", "url")
         both = both.withColumn("c_base", F.coalesce(C.normalize_url(F.col("rendered_url")), F.col("resolved_url")) if "rendered_url" in both.columns else F.col("resolved_url"))
         both = with_metadata(both, "rendered_html", "c_base", "d_")
         hint = F.coalesce("o_title_hint", "title", "d_title")

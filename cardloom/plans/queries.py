@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
 from ..operators import cards as K
+from ..operators.joins import left_join
 from ..operators.plugins import video_id
 from ..operators.reader import Options, reader_content
 from ..operators.timestamps import p1_found
@@ -341,7 +342,7 @@ def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
     meta = C.page_metadata(F.col("t"), F.lit("https://page.example/"))
     pages = heads.select("page_id", *[meta[k].alias(f"p_{k}") for k in ("title", "description", "site_name")]).groupBy("page_id").agg(*[F.max(f"p_{k}").alias(f"p_{k}") for k in ("title", "description", "site_name")])
     cards = table(spark, d, "cards").select("card_id", "page_id", "title", "description", "site_name", "excerpt").distinct()
-    return cards.join(pages, "page_id", "left").select("card_id", *[C.merge_present(F.col(k), F.col(f"p_{k}")).alias(k) for k in ("title", "description", "site_name")], F.coalesce("excerpt", "p_description").alias("excerpt"))
+    return left_join(cards, pages, "page_id", "card_id").select("card_id", *[C.merge_present(F.col(k), F.col(f"p_{k}")).alias(k) for k in ("title", "description", "site_name")], F.coalesce("excerpt", "p_description").alias("excerpt"))
 
 
 def s_rated(t: str, blocks: str) -> str:
