@@ -241,7 +241,7 @@ def judge(tree: Tree, blocks, html: str | None) -> list[bool]:
 def labelled_pages(renders: DataFrame, most: int = LABELLED_PAGES) -> list[tuple[list[str], str]]:
     """A bounded sample of pages for the tree, the same for the same rows wherever they lie."""
     rows = renders.where(F.col("html").rlike("<(?:article|nav|aside|footer)[ >]|class=\"[a-z]+-[a-z]+")).select("render_id", "blocks", "html")
-    return [([t for _, t in text_blocks(r["blocks"])], r["html"]) for r in bounded_sample(rows, most, renders.count(), "render_id", "html")]
+    return [([t for _, t in text_blocks(r["blocks"])], r["html"]) for r in bounded_sample(rows, most, rows.count(), "render_id", "html")]
 
 
 def fitted_tree(renders: DataFrame):
