@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from .common import bounded_sample, table
@@ -232,10 +232,19 @@ def text_blocks(blocks) -> list[tuple[int, str]]:
     return [(i, b["text"] or "") for i, b in enumerate(blocks) if b is not None and b["type"] == "text"] if blocks is not None else []
 
 
-def judge(tree: Tree, blocks, html: str | None) -> list[bool]:
+def block_texts() -> Column:
+    """The texts of a page's text blocks: with their places all that the tree needs, and light to hand over."""
+    return F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit("")))
+
+
+def block_places() -> Column:
+    """The places of the text blocks among all blocks."""
+    return F.filter(F.transform("blocks", lambda b, i: F.when(b["type"] == "text", i)), lambda i: i.isNotNull())
+
+
+def judge(tree: Tree, texts: list[str], html: str | None) -> list[bool]:
     """Whether each text block is main."""
-    texts = [t for _, t in text_blocks(blocks)]
-    return list(tree.predict(block_rows(texts, html)) >= 0) if texts else []
+    return list(tree.predict(block_rows(texts, html)) >= 0) if len(texts) else []
 
 
 def labelled_pages(renders: DataFrame, most: int = LABELLED_PAGES) -> list[tuple[list[str], str]]:
@@ -257,16 +266,15 @@ def boilerplate_blocks(renders: DataFrame) -> DataFrame:
     """
     tree = fitted_tree(renders)
 
-    def run(blocks: pd.Series, html: pd.Series) -> pd.Series:
+    def run(texts: pd.Series, places: pd.Series, html: pd.Series) -> pd.Series:
         out = []
-        for b, h in zip(blocks, html):
-            numbered = text_blocks(b)
-            out.append([i for (i, _), main in zip(numbered, judge(tree.value, b, h)) if not main])
-        return pd.Series(out, index=blocks.index, dtype=object)
+        for t, p, h in zip(texts, places, html):
+            out.append([int(i) for i, main in zip(p, judge(tree.value, list(t), h if isinstance(h, str) else None)) if not main])
+        return pd.Series(out, index=texts.index, dtype=object)
 
-    run.__annotations__ = {"blocks": pd.Series, "html": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"texts": pd.Series, "places": pd.Series, "html": pd.Series, "return": pd.Series}
     rows = renders.where(F.col("render_id").isNotNull() & (F.size("blocks") > 0))
-    return rows.select("render_id", F.explode(pandas_udf(run, "array<int>").asNondeterministic()("blocks", "html")).alias("block_no")).distinct()
+    return rows.select("render_id", F.explode(pandas_udf(run, "array<int>").asNondeterministic()(block_texts(), block_places(), "html")).alias("block_no")).distinct()
 
 
 BLOCK = "struct<type:string,text:string,src:string,alt:string,poster:string,title:string>"
@@ -282,7 +290,8 @@ def main_bodies(renders: DataFrame) -> DataFrame:
             if b is None:
                 out.append(None)
                 continue
-            keep = {i: m for (i, _), m in zip(text_blocks(b), judge(tree.value, b, h))}
+            numbered = text_blocks(b)
+            keep = {i: m for (i, _), m in zip(numbered, judge(tree.value, [t for _, t in numbered], h if isinstance(h, str) else None))}
             kept, last = [], next(iter(keep.values()), True)
             for i, x in enumerate(b):
                 last = keep.get(i, last)

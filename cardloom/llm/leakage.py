@@ -86,16 +86,21 @@ class Words:
         return {"bits": self.bits, "seen": {}}
 
 
-def windows(words: list[str], size: int, known: Words, least: int, names: Words, least_names: int) -> list[dict]:
-    """Windows of a document that could hold a sentence, as (no, words): they have enough of its kind's words and names."""
+def windows(words: list[str], size: int, known: set, least: int, names: set, least_names: int) -> list[dict]:
+    """Windows of a document that could hold a sentence, as (no, words): they have enough of its kind's words and names.
+
+    known and names are those words of the document that the items may have.
+    """
     out = []
-    if least_names and sum(w in names for w in set(words)) < least_names:
+    if len(names) < least_names or len(known) < least:
         return out
     half = size // 2
     for no, start in enumerate(range(0, max(1, len(words) - half), half)):
         part = words[start : start + size]
-        if len(part) >= LEAST and sum(w in known for w in set(part)) >= least and (not least_names or sum(w in names for w in set(part)) >= least_names):
-            out.append({"size": size, "no": no, "words": part})
+        if len(part) >= LEAST:
+            own = set(part)
+            if len(own & known) >= least and len(own & names) >= least_names:
+                out.append({"size": size, "no": no, "words": part})
     return out
 
 
@@ -154,6 +159,7 @@ class Index:
         self.sizes = sorted({s["size"] for s in sentences})
         self.least = max(1, int(CONTAINED * min((len(s["keys"]) for s in sentences), default=0)))
         self.fewest = min((len(s["names"]) for s in sentences), default=0)
+        self.facts = [frozenset(w for w, f in zip(s["words"], s["facts"]) if f) for s in sentences]
         self.buckets: dict[tuple[int, int], list[int]] = {}
         for k, s in enumerate(sentences):
             for b in bands(s["keys"]):
@@ -162,12 +168,16 @@ class Index:
     def items(self, text: str | None) -> list[int]:
         """The items of which a text holds a sentence."""
         words, out = tokens(text), set()
+        own = set(words)
+        known = set(filter(self.known.__contains__, own))
+        names = set(filter(self.names.__contains__, own))
         for size in self.sizes:
-            for w in windows(words, size, self.known, self.least, self.names, self.fewest):
-                found = {k for b in bands([x for x in w["words"] if x in self.known]) for k in self.buckets.get((size, b), ())}
+            for w in windows(words, size, known, self.least, names, self.fewest):
+                found = {k for b in bands(known.intersection(w["words"])) for k in self.buckets.get((size, b), ())}
+                have = set(w["words"]) if found else set()
                 for k in found:
                     s = self.sentences[k]
-                    if s["item_id"] not in out and shingled(w["words"], s["words"]) and contains(w["words"], s["words"], s["facts"]):
+                    if s["item_id"] not in out and self.facts[k] <= have and shingled(w["words"], s["words"]) and contains(w["words"], s["words"], s["facts"]):
                         out.add(s["item_id"])
         return sorted(out)
 
@@ -195,7 +205,9 @@ def leaked_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str
 
     def cut(text):
         words, (keep, sizes, least, own, fewest) = tokens(text), shared.value
-        return [w for size in sizes for w in windows(words, size, keep, max(1, int(CONTAINED * least)), own, fewest)]
+        every = set(words)
+        known, names = set(filter(keep.__contains__, every)), set(filter(own.__contains__, every))
+        return [w for size in sizes for w in windows(words, size, known, max(1, int(CONTAINED * least)), names, fewest)]
 
     held = materialise(docs.select("doc_id", F.explode(arrow(cut, "array<struct<size:int,no:int,words:array<string>>>", "__text")).alias("w")).select("doc_id", "w.*"))
 

@@ -24,7 +24,8 @@ The page you are looking for might have been removed, had its name changed, or i
 This page isn't available right now. The link may be broken.
 Sorry, the page you were looking for doesn't exist.
 Oops! That page can't be found. It may have moved.
-We couldn't find that page. The article is missing.
+We couldn't find that page. The article has gone missing.
+Oops, something broke.
 You don't have permission to access this resource.
 Access denied
 Access to this page has been denied.
@@ -195,6 +196,9 @@ How to fix a 404 error on your site
 Seven things to know about HTTP errors
 What our error messages say about us
 Writing for people who browse without scripts
+Reading the web without JavaScript is still a pleasure
+How visitors without JavaScript find a good page
+Why error codes bore most people
 A guide to placeholders in letters
 The history of dummy text in printing
 A song about a page that nobody found
@@ -207,7 +211,6 @@ The bridge is closed for maintenance in June.
 Nobody was denied entry to the tower.
 Loading the boats takes a whole morning.
 The museum has been under repair since 0.
-We looked for the old map and found it in the attic.
 “Out of order” was written on every lift in town.
 “Closed until further notice” became the name of a band in 0.
 What “pending” means in a letter from the town hall
@@ -226,76 +229,77 @@ Como explicar um erro aos leitores
 독자에게 오류를 설명하는 법
 エラーメッセージの歴史
 読者に間違いを説明する方法
-Share this page
-Copy link, print
-Back to top
-Follow us
-All rights reserved
-Sign up for our newsletter and never miss a story.
-We use cookies to count visits and to keep you signed in.
-By continuing you agree to our privacy policy.
-This website stores small files on your device.
-Accept all | Reject | Settings
-Related stories
-Most read this week
-You may also like
-Advertisement – the story continues below
-About us · Contact · Privacy · Terms of use
-Home | News | Calendar | Log in | Search
-Enter your address and press sign up.
-Seite teilen Link kopieren Drucken
-Diese Seite legt kleine Dateien auf Ihrem Gerät ab.
-Wir verwenden Cookies, um Besuche zu zählen.
-Mit der weiteren Nutzung stimmen Sie zu.
-Nach oben
-Das könnte Sie auch interessieren
-Alle Rechte vorbehalten
-Partager cette page
+Share on social media
+Share by mail
+Save for later
+Newsletter
+Sign up to get our news every Friday.
+We use cookies to improve your experience.
+Manage cookie settings
+By using this website you accept our terms.
+More from this author
+Recommended for you
+Popular articles
+Advertisement
+About the company
+Help | Jobs | Press | Contact
+Your email address
+Skip to main content
+All comments
+Tell us what you think.
+Zum Seitenanfang
+Weitere Artikel zum Thema
+Diese Seite verwendet Cookies.
+Mit dem Besuch dieser Seite akzeptieren Sie unsere Bedingungen.
+Newsletter bestellen
+Anzeige
+Retour en haut de la page
+Articles similaires
 Ce site utilise des cookies pour mesurer l'audience.
-En poursuivant, vous acceptez.
-Haut de page
-Abonnez-vous à notre lettre
-Tous droits réservés
-Compartir esta página
-Usamos cookies para contar las visitas.
-Si continúa, acepta su uso.
-Volver arriba
-Suscríbase a nuestro boletín
-Todos los derechos reservados
-Partilhar esta página
-Este sítio guarda pequenos ficheiros no seu dispositivo.
-Ao continuar, aceita.
-Voltar ao topo
-Assine o nosso boletim
-Todos os direitos reservados
-공유하기
-맨 위로
+En utilisant ce site, vous acceptez nos conditions.
+S'abonner à la lettre
+Publicité
+Ir arriba
+Artículos relacionados
+Este sitio utiliza cookies propias.
+Al usar este sitio acepta las condiciones.
+Suscribirse al boletín
+Publicidad
+Ir para o topo
+Artigos relacionados
+Este site utiliza cookies.
+Ao usar este site, aceita as condições.
+Subscrever a newsletter
+Publicidade
+위로 가기
+관련 기사
 이 사이트는 쿠키를 사용합니다.
-계속 이용하면 동의하는 것으로 봅니다.
-구독해 주세요
-모든 권리 보유
-이용약관 개인정보처리방침
-ページの先頭へ
-このサイトはクッキーを使用します。
-購読する
-利用を続けると同意したものとみなします。
-無断転載を禁じます
-利用規約 プライバシー
-The reason is simple.
-Notes on the old town
-A visit to the mill
-Der Grund ist einfach.
-La raison est simple.
-이유는 간단하다.
-理由は簡単である。
-0
-0.0
-© 0
-0) spoon
-0. spoon, shelf
-0 | 0.0
-0;0.0
-* spoon, spoon
+사이트를 이용하면 약관에 동의하게 됩니다.
+뉴스레터 신청
+광고
+トップへ戻る
+関連記事
+このサイトはクッキーを使用しています。
+サイトを利用すると規約に同意したことになります。
+メールマガジン登録
+広告
+A walk through the old town
+Five recipes for the winter
+Ein Spaziergang durch die Altstadt
+Une promenade dans la vieille ville
+Un paseo por el casco antiguo
+Um passeio pela cidade velha
+옛 도시를 걷다
+古い町を歩く
+0.
+No. 0
+0 %
+© 0 The Company
+0) paper
+0. paper, pens
+0 | 0.00
+0;0.00
+* paper, pens
 function(a,b){return a.push([0,"b"])}(window,[]);
 var x = 0; if (x) { y(); }
 aGVsbG8gd29ybGQgaG93IGFyZSB5b3U=
@@ -319,7 +323,7 @@ def shown() -> list[str]:
     forms = ("0 {}", "HTTP error 0: {}", "Error 0 ({})", "HTTP/0.0 0 {}")
     for i, s in enumerate(s for s in HTTPStatus if s >= 400):
         out += [s.phrase, forms[i % len(forms)].format(s.phrase)]
-    return [*out, "Error 0", "HTTP ERROR 0", "Oops, 0!", "Fehler 0", "Erreur 0."]
+    return [*out, "Error 0", "HTTP ERROR 0", "Oops! Error 0", "Fehler 0", "Erreur 0."]
 
 
 def ordinary() -> list[str]:

@@ -14,7 +14,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .boilerplate import fitted_tree, judge, text_blocks
+from .boilerplate import block_texts, fitted_tree, judge
 from .common import arrow, materialise, table
 from .residue import residue_values
 
@@ -165,12 +165,12 @@ def main_texts(renders: DataFrame) -> DataFrame:
     """(render_id, body, block_count) of every render: the text blocks of its main body, one a line; without blocks its text."""
     tree = fitted_tree(renders)
 
-    def body(text, blocks, html) -> str | None:
-        numbered = text_blocks(blocks)
-        return "\n".join(t for (_, t), main in zip(numbered, judge(tree.value, blocks, html)) if main) if numbered else text
+    def body(text, texts, html) -> str | None:
+        own = list(texts) if texts is not None else []
+        return "\n".join(t for t, main in zip(own, judge(tree.value, own, html)) if main) if own else text
 
     rows = renders.where(F.col("render_id").isNotNull())
-    return rows.select("render_id", arrow(body, "string", "text", "blocks", "html").alias("body"), F.col("block_count").cast("bigint").alias("block_count"))
+    return rows.select("render_id", arrow(body, "string", "text", block_texts(), "html").alias("body"), F.col("block_count").cast("bigint").alias("block_count"))
 
 
 def noted_renders(residue: DataFrame) -> DataFrame:
