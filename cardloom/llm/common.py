@@ -47,9 +47,10 @@ def field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bounded_sample(df: DataFrame, most: int, total: int, *key: str) -> list:
     """At most so many rows of df, the same ones wherever they lie.
 
-    A hash of the key thins the rows by their number first: else every task would send its own share of the limit.
+    A hash of the key thins the rows by their number first, to about twice the limit: else every task would send its own
+    share of the limit.
     """
-    every = max(1, total // (3 * most))
+    every = max(1, -(-total // (2 * most)))
     h = F.xxhash64(*key)
     return df.withColumn("__h", h).where(F.pmod("__h", F.lit(every)) == 0).orderBy("__h").limit(most).drop("__h").collect()
 

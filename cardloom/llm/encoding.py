@@ -267,9 +267,11 @@ def _readings(word: str, n: int, lattice: Lattice) -> list[dict]:
     return sorted(out.values(), key=lambda r: -r["gain"])[: 3 * BEAM]
 
 
-def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table", "row_id", "field_name"), text_col: str = "text") -> DataFrame:
+def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table", "row_id", "field_name"), text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
     """One row per value that was wholly or partly decoded wrongly: keys and words (at, word, channel, restored).
 
+    With only, a table of keys, no other values are judged; characters and words are counted in all of them all the same.
+
     restored is null where nothing fits, as where every byte of a character was lost. Values whose only garbled marks
     are spoken of, in quotes or beside the right character, are sound, and so are those whose only lost character is
     their last, which a cut leaves. Null and empty values are sound; repeated rows count once; only keys and text_col are read. Character counts, some tens of thousands at most, go to every task; words are joined.
@@ -280,7 +282,15 @@ def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table"
     counts = values.sparkSession.sparkContext.broadcast({r["key"]: r["n"] for r in tally.where("char").toLocalIterator()})
     counted = tally.where("not char").select(F.col("key").alias("word"), "n")
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    doubtful = materialise(counted.where(F.col("word").rlike(_SUSPECT.pattern) | F.col("word").contains(LOST)))
+    judged = base
+    if only is not None:
+        judged = base.join(only.select(*[F.col(k).alias(i) for i, k in zip(ids, keys)]).distinct(), ids, "left_semi")
+    found = judged.select(*ids, F.explode(arrow(suspects, "array<struct<at:int,word:string,last:boolean,alone:array<string>>>", "__text")).alias("s")).select(*ids, "s.*").distinct()
+    doubtful = counted.where(F.col("word").rlike(_SUSPECT.pattern) | F.col("word").contains(LOST))
+    if only is not None:
+        found = materialise(found)
+        doubtful = doubtful.join(found.select("word").distinct(), "word", "left_semi")
+    doubtful = materialise(doubtful)
     reading = "struct<channel:int,text:string,gain:double,runs:int>"
     rated = doubtful.repartition(spread, "word").select("word", "n", F.explode_outer(arrow(lambda w, n: _readings(w, n, _lattice(counts)), f"array<{reading}>", "word", "n")).alias("r"))
     known = counted.select(F.col("word").alias("__reading"), F.col("n").alias("__count"))
@@ -292,7 +302,6 @@ def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table"
     lost = lost.select("word", "n", F.struct(F.lit(NAMES.index(LOSSY)).alias("channel"), F.col("__reading").alias("text"), F.lit(0.0).alias("gain"), F.lit(0).alias("runs"), F.col("__count").alias("n")).alias("r"))
     rated = rated.unionByName(lost).groupBy("word", "n").agg(F.collect_set("r").alias("readings"))
     rated = rated.where((F.size("readings") > 0) | F.col("word").contains(LOST))
-    found = base.select(*ids, F.explode(arrow(suspects, "array<struct<at:int,word:string,last:boolean,alone:array<string>>>", "__text")).alias("s")).select(*ids, "s.*").distinct()
     # A hot word is joined in PARTS parts, so that no task gets all of its occurrences.
     total = doubtful.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(doubtful.where(F.col("n") >= max(1.0, HOT_SHARE * total)).select("word", F.lit(True).alias("hot")))

@@ -13,7 +13,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow, bounded_sample, field_values, materialise, table
 from .encoding import damaged_values
@@ -38,11 +38,10 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _QUOTED = re.compile(r"[“«„「『\"][^”»“」』\"]{0,200}[”»“」』\"]")
 
 
-def label_code(label: str | None) -> str | None:
-    """The language that a label names; None for a missing label or one that names none."""
-    if not label:
-        return None
-    return _LABELS.get(re.split(r"[-_]", label.strip().lower())[0])
+def label_code(label: Column) -> Column:
+    """The language that a label names; null for a missing label or one that names none."""
+    codes = F.create_map(*[F.lit(x) for pair in sorted(_LABELS.items()) for x in pair])
+    return F.try_element_at(codes, F.regexp_extract(F.lower(F.trim(label)), "^([^_-]*)", 1))
 
 
 def _word_grams(word: str) -> Counter:
@@ -203,7 +202,7 @@ def corrected_languages(segments: DataFrame, snapshots: DataFrame) -> DataFrame:
     One row per language of a whole sentence. Renders without a snapshot have no label.
     """
     langs = segments.where(F.col("segments").isNotNull()).select("render_id", F.array_distinct(F.filter(F.transform("segments", lambda s: s["lang"]), lambda x: x.isNotNull())).alias("langs")).where(F.size("langs") > 0)
-    labels = snapshots.where(F.col("render_id").isNotNull()).select("render_id", arrow(label_code, "string", "lang_label").alias("label")).groupBy("render_id").agg(F.max("label").alias("label"))
+    labels = snapshots.where(F.col("render_id").isNotNull()).select("render_id", label_code(F.col("lang_label")).alias("label")).groupBy("render_id").agg(F.max("label").alias("label"))
     both = langs.join(labels, "render_id", "left")
     return both.where((F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.coalesce("label", F.lit("")))).select("render_id", F.explode("langs").alias("lang"))
 
@@ -222,8 +221,9 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
     renders, cards, quality, words, samples, snapshots = (table(spark, sf_dir, t) for t in ("render_results", "cards", "quality_cases", "common_words", "language_samples", "snapshots"))
     noted = materialise(noted_renders(residue_values(cards, renders)))
     bodies = materialise(main_texts(renders))
+    found = materialise(corrected_languages(language_segments(bodies.join(noted, "render_id", "left_anti"), samples, texts=False), snapshots))
     kinds = text_types(bodies, noted, quality, words)
     other = kinds.where((F.col("source_table") == "render_results") & (F.col("kind") != "prose")).select(F.col("row_key").cast("bigint").alias("render_id"))
-    garbled = damaged_values(field_values(spark, sf_dir)).where(F.col("source_table") == "render_results").select(F.col("row_id").alias("render_id"))
-    out = noted.unionByName(other).unionByName(garbled)
-    return corrected_languages(language_segments(bodies.join(out, "render_id", "left_anti"), samples, texts=False), snapshots)
+    asked = found.select(F.lit("render_results").alias("source_table"), F.col("render_id").alias("row_id"), F.lit("text").alias("field_name"))
+    garbled = damaged_values(field_values(spark, sf_dir), only=asked).select(F.col("row_id").alias("render_id"))
+    return found.join(other.unionByName(garbled), "render_id", "left_anti")

@@ -340,14 +340,17 @@ def _word_features(w: str) -> tuple[str, ...]:
     return (f"w{w}", f"s{w[:5]}", f"s{w[:7]}") if len(w) > 5 else (f"w{w}",)
 
 
-def _parts(line: str) -> tuple[list[str], tuple[str, ...]]:
-    """The words of a line, and what it looks like as a whole; what stands in quotation marks is spoken of and left out."""
-    low = line.lower()
-    if not _QUOTES.isdisjoint(low) and len(_WORD.findall(bare := _QUOTED.sub(" ", low))) >= 3:
-        low = bare
-    words = _WORD.findall(low)
-    last, n = low[-1:], len(words)
-    return words, ("bias", _SIZES[min(n, 12) // 2], _ENDS.get(last, "end"), "same" if n > 1 and len(set(words)) == 1 else "other", "ask" if "?" in low or "？" in low else "tell", "quote" if _MARKS.search(low) else "bare", "colon" if ": " in low else "flow")
+def words_of(line: str) -> list[str]:
+    """The words, numbers and signs of a line in small letters."""
+    return _WORD.findall(line)
+
+
+def _looks(line: str, words: list[str]) -> tuple[list[str], tuple[str, ...]]:
+    """The words of a line that speak for it, and what it looks like as a whole; what stands in quotation marks is spoken of and left out."""
+    if not _QUOTES.isdisjoint(line) and len(bare := words_of(kept := _QUOTED.sub(" ", line))) >= 3:
+        line, words = kept, bare
+    n = len(words)
+    return words, ("bias", _SIZES[min(n, 12) // 2], _ENDS.get(line[-1:], "end"), "same" if n > 1 and len(set(words)) == 1 else "other", "ask" if "?" in line or "？" in line else "tell", "quote" if _MARKS.search(line) else "bare", "colon" if ": " in line else "flow")
 
 
 def _pairs(words: list[str]) -> set[tuple[str, str]]:
@@ -357,7 +360,8 @@ def _pairs(words: list[str]) -> set[tuple[str, str]]:
 
 def features(line: str) -> list:
     """The features of a line: words, the letters inside them, pairs of words, length, kind of end."""
-    words, looks = _parts(line)
+    line = line.lower()
+    words, looks = _looks(line, words_of(line))
     return [*looks, *_pairs(words), *(f for w in set(words) for f in _word_features(w))]
 
 
@@ -401,9 +405,11 @@ class Notices:
             self.words[w] = got
         return got
 
-    def score(self, line: str) -> float:
-        """Log-odds that a line is a notice."""
-        words, looks = _parts(line)
+    def score(self, line: str, words: list[str] | None = None) -> float:
+        """Log-odds that a line is a notice; words are those of the line in small letters, where they are known."""
+        if words is None:
+            words = words_of(line := line.lower())
+        words, looks = _looks(line, words)
         pairs, get = _pairs(words), self.weights.get
         total, n = sum(get(f, 0.0) for f in looks) + sum(get(p, 0.0) for p in pairs), len(looks) + len(pairs)
         for w in set(words):

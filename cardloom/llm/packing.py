@@ -73,17 +73,21 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
         if n and room:
             gaps.setdefault(room, []).append((start, n))
 
-    large = sorted(s for s in left if 3 * s > capacity)
-    for size in reversed(large):
-        while left[size]:
-            at = bisect.bisect_right(large, min(capacity - size, size)) - 1
-            mate = next((large[i] for i in range(at, -1, -1) if left[large[i]] > (large[i] == size)), None)
-            n = left[size] if mate is None else left[size] // 2 if mate == size else min(left[size], left[mate])
-            put(size, n * (2 if mate == size else 1), used, 2 if mate == size else 1)
-            if mate is not None and mate != size:
-                put(mate, n, used, 1)
-            free(capacity - size - (mate or 0), used, n)
-            used += n
+    live = sorted(s for s in left if 3 * s > capacity)  # sizes of which some are left
+    while live:
+        size = live[-1]
+        at = bisect.bisect_right(live, min(capacity - size, size)) - 1
+        at -= at >= 0 and live[at] == size and left[size] == 1  # one alone is no mate to itself
+        mate = live[at] if at >= 0 else None
+        n = left[size] if mate is None else left[size] // 2 if mate == size else min(left[size], left[mate])
+        put(size, n * (2 if mate == size else 1), used, 2 if mate == size else 1)
+        if mate is not None and mate != size:
+            put(mate, n, used, 1)
+        free(capacity - size - (mate or 0), used, n)
+        used += n
+        for s in {size, mate} - {None}:
+            if not left[s]:
+                del live[bisect.bisect_left(live, s)]
     for size in sorted((s for s in left if 3 * s <= capacity), reverse=True):
         rooms = sorted(g for g in gaps if g >= size)
         for room in rooms:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow, bounded_sample, materialise, table
-from .notices import Notices
+from .notices import Notices, words_of
 
 #: Depth of the prefix tree; share of a template's tokens that may be wildcards.
 DEPTH, WILD = 3, 0.34
@@ -47,7 +47,6 @@ FILLER_SEED = ("lorem", "ipsum")
 FILLER_SHARE, FILLER_COMPANY = 0.7, 0.25
 #: The score that stands for filler.
 FILLER = 1e6
-_WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\da-z])|(?<=[。！？])|\n+")
 
 
@@ -77,9 +76,9 @@ def segments(text: str | None, blocks) -> list[str]:
     return list(dict.fromkeys(p for p in parts if p))
 
 
-def is_filler(template: str, known) -> bool:
-    """Whether a segment consists of filler words; known tells whether a word is one."""
-    tokens = _WORD.findall(template)
+def is_filler(words: list[str], known) -> bool:
+    """Whether a segment consists of filler words; known tells whether a word is one. Numbers and signs don't count."""
+    tokens = [w for w in words if w.isalpha()]
     others = (1 - FILLER_SHARE) * len(tokens) + 1e-9
     if len(tokens) < 3:
         return False
@@ -176,7 +175,8 @@ def judged(lines: DataFrame) -> DataFrame:
                 known[word] = _bit(word) in bits
             return known[word]
 
-        return FILLER if is_filler(template, dummy) else model.score(template) if "\x01" not in template else -FILLER
+        words = words_of(template)
+        return FILLER if is_filler(words, dummy) else model.score(template, words) if "\x01" not in template else -FILLER
 
     scored = lines.select("*", arrow(run, "double", "template").alias("score")).where(F.col("score") >= BAR - BOTH - 2 * RECURS)
     return scored.withColumn("filler", F.col("score") == FILLER)

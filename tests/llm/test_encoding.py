@@ -30,6 +30,31 @@ def test_round_trip(found, i):
     assert found[1000 + i] == SOUND[i]
 
 
+def test_only_some_values_are_judged_by_the_counts_of_all(spark):
+    bad = garbled(SOUND[1], "cp1252", "mac_roman")
+    rows = [("cards", i, "title", t, "x") for i, t in enumerate(SOUND * 30)] + [("cards", 1000 + i, "title", bad, "x") for i in range(3)]
+    values = spark.createDataFrame(rows, VALUES)
+    only = spark.createDataFrame([("cards", 1001, "title"), ("cards", 3, "title"), ("cards", 1001, "title")], "source_table string, row_id bigint, field_name string")
+    every = {r.row_id: r.words for r in E.damaged_values(values).collect()}
+    some = {r.row_id: r.words for r in E.damaged_values(values, only=only).collect()}
+    assert set(every) == {1000, 1001, 1002} and some == {1001: every[1001]}
+
+
+def test_lost_characters_are_read_by_the_words_of_the_corpus(spark):
+    lost = "f\ufffdr die Br\ufffdcke"
+    rows = [("cards", i, "title", "für die Brücke", "x") for i in range(20)] + [("cards", 100, "title", lost, "x")]
+    got = E.restored_values(spark.createDataFrame(rows, VALUES)).collect()
+    assert [(r.row_id, r.restored) for r in got] == [(100, "für die Brücke")]
+
+
+def test_a_hot_word_gives_the_same_as_any(spark, monkeypatch):
+    bad = garbled(SOUND[1], "cp1252", "mac_roman")
+    values = spark.createDataFrame([("cards", i, "title", t, "x") for i, t in enumerate(SOUND * 20)] + [("cards", 1000 + i, "title", bad, "x") for i in range(30)], VALUES)
+    few = {(r.row_id, str(r.words)) for r in E.damaged_values(values).collect()}
+    monkeypatch.setattr(E, "HOT_SHARE", 10.0)
+    assert few == {(r.row_id, str(r.words)) for r in E.damaged_values(values).collect()} and len(few) == 30
+
+
 def test_empty(spark):
     assert E.damaged_values(spark.createDataFrame([], VALUES)).count() == 0
 
