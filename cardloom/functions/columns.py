@@ -1,6 +1,7 @@
 """Column functions of the card pipeline: URLs, page metadata, classification, capability, quality, limits.
 
-All are native expressions, so filters and column pruning reach the scan and a plan of them is one code-generated stage.
+All are native expressions, so filters and column pruning reach the scan and no row leaves the JVM. What is used several
+times within an expression is bound by let, which Spark interprets; the rest is compiled.
 A null input gives null unless stated; an empty string counts as missing where metadata are merged.
 """
 
