@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -146,15 +147,16 @@ class Lattice:
         return best[-1]
 
 
-_lattices: dict[int, Lattice] = {}
+_lattices: dict[str, Lattice] = {}
 
 
 def _lattice(counts) -> Lattice:
-    key = id(counts)
-    if key not in _lattices:
+    """The lattice of one run, made once a worker; runs are told apart by a name of their own, as workers outlive them."""
+    run, by_char = counts.value
+    if run not in _lattices:
         _lattices.clear()
-        _lattices[key] = Lattice(counts.value)
-    return _lattices[key]
+        _lattices[run] = Lattice(by_char)
+    return _lattices[run]
 
 
 @lru_cache(maxsize=100_000)
@@ -223,11 +225,16 @@ def decide(items: list) -> list[dict]:
     damaged words with channel and reading; a lost character that no channel reads gives a null reading.
     """
     SWITCH, DAMAGED = 3.0, 2.0
+    lossy = NAMES.index(LOSSY)
+    kin = lambda state: lossy if state == -2 else state  # a loss that nothing reads is of the channel that loses
     states: list[list[tuple[int, float, str | None]]] = []
     for x in items:
         options: list[tuple[int, float, str | None]] = [(-1, 0.0, None)]
         for r in x["readings"] or []:
             fit = math.log((r["n"] + 0.2) / (x["n"] + 0.2)) + (4.0 if _SYMBOL.search(x["word"]) else 0.0)
+            if LOST in x["word"] and not r["runs"] and r["n"] >= 2:  # a word of the corpus is better than none, the commoner the better
+                options.append((r["channel"], -4.5 - 0.1 * math.log(r["n"]), r["text"]))
+                continue
             gain = r["gain"] + min(fit, 6.0) if r["runs"] else fit - 1.5 if r["n"] >= 2 else 1.0 if _quote_only(r["text"]) else -9.0
             options.append((r["channel"], -gain + (0.0 if r["n"] else 0.5), r["text"]))
         if LOST in x["word"]:
@@ -240,7 +247,7 @@ def decide(items: list) -> list[dict]:
     for before, now in zip(states, states[1:]):
         new, links = [], []
         for s, c, _ in now:
-            step = [costs[i] + (0.0 if s == t else SWITCH if s != -1 and t != -1 else DAMAGED if s != -1 else 0.0) for i, (t, _, _) in enumerate(before)]
+            step = [costs[i] + (0.0 if kin(s) == kin(t) else SWITCH if s != -1 and t != -1 else DAMAGED if s != -1 else 0.0) for i, (t, _, _) in enumerate(before)]
             i = min(range(len(step)), key=step.__getitem__)
             new.append(step[i] + c)
             links.append(i)
@@ -279,7 +286,7 @@ def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table"
     base = values.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text_col).alias("__text")).where(F.col("__text").rlike(f"[^\\x00-\\x7F]|&[a-zA-Z]+;"))
     ids = [f"__k{i}" for i in range(len(keys))]
     tally = materialise(base.select("__text").mapInPandas(_tally, "char boolean, key string, n bigint").groupBy("char", "key").agg(F.sum("n").alias("n")))
-    counts = values.sparkSession.sparkContext.broadcast({r["key"]: r["n"] for r in tally.where("char").toLocalIterator()})
+    counts = values.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, {r["key"]: r["n"] for r in tally.where("char").toLocalIterator()}))
     counted = tally.where("not char").select(F.col("key").alias("word"), "n")
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     judged = base
@@ -300,7 +307,7 @@ def damaged_values(values: DataFrame, *, keys: tuple[str, ...] = ("source_table"
     shaped = counted.select(F.col("word").alias("__reading"), F.col("n").alias("__count"), arrow(shape, "string", "word").alias("__shape")).where(F.col("__shape").isNotNull())
     lost = doubtful.where(F.col("word").contains(LOST)).join(shaped, F.col("word") == F.col("__shape"))
     lost = lost.select("word", "n", F.struct(F.lit(NAMES.index(LOSSY)).alias("channel"), F.col("__reading").alias("text"), F.lit(0.0).alias("gain"), F.lit(0).alias("runs"), F.col("__count").alias("n")).alias("r"))
-    rated = rated.unionByName(lost).groupBy("word", "n").agg(F.collect_set("r").alias("readings"))
+    rated = rated.unionByName(lost).groupBy("word", "n").agg(F.sort_array(F.collect_set("r")).alias("readings"))
     rated = rated.where((F.size("readings") > 0) | F.col("word").contains(LOST))
     # A hot word is joined in PARTS parts, so that no task gets all of its occurrences.
     total = doubtful.agg(F.sum("n")).first()[0] or 0

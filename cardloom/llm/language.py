@@ -22,6 +22,8 @@ from .texttype import main_texts, noted_renders, text_types
 
 #: Centroids per language, longest n-gram; a sure answer needs this share of the cosine that a language's own sentences have at least when held out, and a lead of this share of its cosine.
 CENTROIDS, GRAMS, NEAREST, LEAD = 4, 4, 0.5, 0.1
+#: Words of a segment whose language can be told; three East Asian characters count as one.
+SHORTEST = 2
 #: Samples that the centroids are fitted on at most.
 MOST_SAMPLES = 20_000
 
@@ -81,7 +83,7 @@ class Centroids:
         if calibrate:
             half = Centroids(samples[::2], seed, False)
             for lang, text in samples[1::2]:
-                for s in sentences(text):
+                for s in filter(lambda s: size(s) >= 4, sentences(text)):
                     near = half.cosines(_WORDS.findall(s.lower())).get(lang)
                     if near:
                         self.floor[lang] = min(self.floor.get(lang, 1.0), NEAREST * near)
@@ -149,10 +151,13 @@ def _cluster(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def sentences(text: str) -> list[str]:
-    """Whole sentences: those that a stop ends; in a text without any stop its longer lines."""
-    parts = [m[0].strip() for m in _SENTENCE.finditer(text)]
-    whole = [p for p in parts if _STOP.search(p) and size(p) >= 4]
-    return whole or [p for p in text.split("\n") if size(p) >= 6]
+    """Sentences and lines of a text in order; none is left out for being short."""
+    return [p for m in _SENTENCE.finditer(text) if (p := m[0].strip())]
+
+
+def is_whole(part: str) -> bool:
+    """Whether a stop ends it."""
+    return _STOP.search(part) is not None
 
 
 def size(text: str) -> float:
@@ -163,12 +168,15 @@ def size(text: str) -> float:
 
 
 def judged_segments(body: str, model: Centroids) -> list[dict]:
-    """Sentences of a body with language and confidence; what stands in quotation marks does not speak for its sentence."""
+    """Sentences and lines of a body with language and confidence, and whether they are whole sentences.
+
+    What stands in quotation marks does not speak for its sentence. What is under SHORTEST words is too short to tell.
+    """
     out = []
     for s in sentences(body):
         bare = _QUOTED.sub(" ", s) if any(c in s for c in "“«„「『\"") else s
         lang, sure = model.nearest(bare if size(bare) >= 3 else s)
-        out.append({"segment": s, "lang": lang, "confidence": sure})
+        out.append({"segment": s, "lang": lang if size(s) >= SHORTEST else None, "confidence": sure, "whole": is_whole(s)})
     return out
 
 
@@ -177,20 +185,23 @@ def fitted(samples: DataFrame) -> Centroids:
     return Centroids([(r["lang"], r["text"]) for r in bounded_sample(rows, MOST_SAMPLES, samples.count(), "lang", "text")])
 
 
-SEGMENTS = "array<struct<segment:string,lang:string,confidence:double>>"
+SEGMENTS = "array<struct<segment:string,lang:string,confidence:double,whole:boolean>>"
 
 
 def language_segments(bodies: DataFrame, samples: DataFrame, *, texts: bool = True) -> DataFrame:
     """(render_id, segments) of each main body: its sentences in order, with language and confidence.
 
-    Without texts the segments are one per language, without their wording. Null and empty bodies have none, repeated
+    Without texts the segments are one per language of a whole sentence, without their wording. Null and empty bodies have none, repeated
     rows count once; extra columns don't matter; texts are read whole.
     """
     model = bodies.sparkSession.sparkContext.broadcast(fitted(samples))
 
     def run(body):
         found = judged_segments(body, model.value) if body else []
-        return found if texts else [{"segment": None, "lang": x, "confidence": max(s["confidence"] for s in found if s["lang"] == x)} for x in dict.fromkeys(s["lang"] for s in found) if x]
+        if texts:
+            return found
+        found = [s for s in found if s["whole"] and s["lang"]]
+        return [{"segment": None, "lang": x, "confidence": max(s["confidence"] for s in found if s["lang"] == x), "whole": True} for x in dict.fromkeys(s["lang"] for s in found)]
 
     rows = bodies.select("render_id", arrow(run, SEGMENTS, "body").alias("segments"))
     return rows.dropDuplicates(["render_id"]) if texts else rows.groupBy("render_id").agg(F.max("segments").alias("segments"))
@@ -201,7 +212,7 @@ def corrected_languages(segments: DataFrame, snapshots: DataFrame) -> DataFrame:
 
     One row per language of a whole sentence. Renders without a snapshot have no label.
     """
-    langs = segments.where(F.col("segments").isNotNull()).select("render_id", F.array_distinct(F.filter(F.transform("segments", lambda s: s["lang"]), lambda x: x.isNotNull())).alias("langs")).where(F.size("langs") > 0)
+    langs = segments.where(F.col("segments").isNotNull()).select("render_id", F.array_distinct(F.transform(F.filter("segments", lambda s: s["whole"] & s["lang"].isNotNull()), lambda s: s["lang"])).alias("langs")).where(F.size("langs") > 0)
     labels = snapshots.where(F.col("render_id").isNotNull()).select("render_id", label_code(F.col("lang_label")).alias("label")).groupBy("render_id").agg(F.max("label").alias("label"))
     both = langs.join(labels, "render_id", "left")
     return both.where((F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.coalesce("label", F.lit("")))).select("render_id", F.explode("langs").alias("lang"))
@@ -210,7 +221,7 @@ def corrected_languages(segments: DataFrame, snapshots: DataFrame) -> DataFrame:
 def p4_segments(spark, sf_dir: str) -> DataFrame:
     """Every sentence of every main body with its language and confidence."""
     found = language_segments(main_texts(table(spark, sf_dir, "render_results")), table(spark, sf_dir, "language_samples"))
-    return found.select("render_id", F.posexplode("segments").alias("segment_no", "s")).select("render_id", "segment_no", "s.segment", "s.lang", "s.confidence")
+    return found.select("render_id", F.posexplode("segments").alias("segment_no", "s")).select("render_id", "segment_no", "s.segment", "s.lang", "s.confidence", "s.whole")
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:

@@ -64,9 +64,15 @@ def test_label(spark, label, want):
     assert rows.select(L.label_code(rows["lang_label"]).alias("c")).first().c == want
 
 
+def test_short_sentences_are_segments_too(spark, data):
+    model = L.Centroids([(r.lang, r.text) for r in table(spark, data, "language_samples").collect()])
+    got = L.judged_segments("The boats lie at the old quay today.\n理由は簡単である。 Ja.\nThe harbour office measures the old boats of the town", model)
+    assert [(g["segment"], g["lang"], g["whole"]) for g in got] == [("The boats lie at the old quay today.", "en", True), ("理由は簡単である。", "ja", True), ("Ja.", None, True), ("The harbour office measures the old boats of the town", "en", False)]
+
+
 def test_corrected_languages(spark):
-    seg = "render_id bigint, segments array<struct<segment:string,lang:string,confidence:double>>"
-    s = lambda *xs: [("t", x, 1.0) for x in xs]
+    seg = "render_id bigint, segments array<struct<segment:string,lang:string,confidence:double,whole:boolean>>"
+    s = lambda *xs: [("t", x, 1.0, True) for x in xs] + [("a line", "pt", 1.0, False)]
     segments = spark.createDataFrame([(1, s("en", "en")), (2, s("en")), (3, s("en", "fr", None)), (4, s("de")), (5, None), (6, [])], seg)
     labels = spark.createDataFrame([(1, "English"), (2, "fr"), (3, "en"), (4, None), (1, "English")], "render_id bigint, lang_label string")
     assert sorted(tuple(r) for r in L.corrected_languages(segments, labels).collect()) == [(2, "en"), (3, "en"), (3, "fr"), (4, "de")]
