@@ -81,6 +81,27 @@ def test_filler_is_learnt_from_its_company(spark):
     assert {k[1] for k, v in found(spark, cards, []).items() if v == "filler"} == {0, 1, 2, 3}
 
 
+PAGE_PARTS = [" ".join([x] * 20) for x in ("The office of the harbour measures boats, although the budget for it is small.", "It is the choir that tests the boats, and the museum lends out maps.")]
+
+
+def test_every_stretch_of_a_text_is_looked_at(spark, corpus):
+    """Also between blocks, far from the end of the text, and where blocks stand twice or in another order."""
+    rows, notes, _ = corpus
+    cases = [(b, sign) for b in (PAGE_PARTS, [PAGE_PARTS[0]] * 2, ["Menu", *PAGE_PARTS[::-1]]) for sign in "\n "]
+    text = lambda sign, *more: sign.join(["Menu", PAGE_PARTS[0], UNLISTED[0], *more, PAGE_PARTS[1]])
+    for blocks, sign in cases:
+        parts = R.segments(text(sign, "By {{author}}."), blocks)
+        assert UNLISTED[0] in parts and R.local_reason(text(sign, "By {{author}}."), parts) == "slot"
+    renders = [(i, 1, None, text(sign), 3, None, [block(b) for b in blocks]) for i, (blocks, sign) in enumerate(cases)]
+    got = found(spark, rows + notes[:6], renders)
+    assert all(got.get(("render_results", i, "text")) == "message" for i in range(len(cases)))
+
+
+def test_gaps_and_sentences():
+    assert R.gaps("a b, c d e", ["a b", "d"]) == [", c", "e"] and R.gaps("x y x", ["x", "x"]) == ["y"] and R.gaps("x y", ["y", "x", "z"]) == [] and R.gaps("x", []) == ["x"] and R.gaps("", []) == []
+    assert R.sentences("One. Two!  Three? four. 理由。次。") == ["One.", "Two!", "Three? four.", "理由。", "次。", ""]
+
+
 def test_long_and_empty_texts(spark):
     long = "The office measures boats. " * 5000
     assert found(spark, [(1, 1, "p", long, " "), (2, 1, "p", "\n", "{{name}} " + long)], [(1, 1, None, long, 0, None, [])]) == {("cards", 2, "description"): "slot"}
