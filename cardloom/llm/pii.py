@@ -386,7 +386,7 @@ def pii_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     p10_found, extra columns don't matter; long texts are read whole.
     """
     model = documents.sparkSession.sparkContext.broadcast(fitted())
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[0-9A-Z@＠]"))
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return rows.withColumn("spans", _spans_udf(model)("text")).where(F.size("spans") > 0)
 
 

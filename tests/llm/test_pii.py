@@ -72,3 +72,12 @@ def test_redaction_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, text, 9), (1, text, 9), (2, None, 9), (3, "", 9), (None, text, 9), (4, "x" * 200_000, 9)], "doc_id bigint, text string, spans int")
     assert [tuple(r) for r in P.redacted(docs).distinct().collect()] == [(1, "Hi. Text me: [PHONE] or 日本語 later.")]
     assert P.redacted(docs.where("false")).count() == 0
+
+
+def test_no_document_is_left_out_by_its_signs(spark):
+    """Names of other scripts, accented capitals, other digits and spelt-out addresses stand in documents without ASCII capitals, digits or @."""
+    texts = ["担当者: 佐藤花子", "작성자: 김민수", "by Élodie Ångström.", "mail to ada.berger (at) mail dot example", "write to ada.berger at mail dot example", "tel: ０３-１２３４-５６７８"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(s.pii_type, s.span_start) for s in r.spans] for r in P.pii_spans(docs).collect()}
+    want = {i: [(k, a) for k, a, _ in found] for i, t in enumerate(texts) if (found := spans(t))}
+    assert got == want and len(want) == len(texts)
