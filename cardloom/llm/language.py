@@ -37,6 +37,7 @@ _SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?](?![\w])|[。！？]|\n|$)[\"
 _STOP = re.compile(r"[.!?。！？][\"”’»」』)]*\s*$")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
+_QUOTES = frozenset("“«„「『\"")
 _QUOTED = re.compile(r"[“«„「『\"][^”»“」』\"]{0,200}[”»“」』\"]")
 
 
@@ -71,7 +72,6 @@ class Centroids:
         #: Weight of an n-gram that no sample has.
         self.unseen = math.log(1 + len(samples)) + 0.3
         self.langs: list[str] = []
-        self.seen: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         rows = []
         for lang in sorted({x for x, _ in samples}):
             own = np.array([self.dense(c) for (x, _), c in zip(samples, counts) if x == lang])
@@ -79,14 +79,18 @@ class Centroids:
                 rows.append(centre)
                 self.langs.append(lang)
         self.matrix = np.array(rows).T if rows else np.zeros((0, 0))
+        #: The languages by name, and where the centroids of each begin.
+        self.names = sorted(set(self.langs))
+        self.bounds = [self.langs.index(x) for x in self.names]
+        self.forget()
         self.floor: dict[str, float] = {}
         if calibrate:
             half = Centroids(samples[::2], seed, False)
             for lang, text in samples[1::2]:
                 for s in filter(lambda s: size(s) >= 4, sentences(text)):
-                    near = half.cosines(_WORDS.findall(s.lower())).get(lang)
-                    if near:
-                        self.floor[lang] = min(self.floor.get(lang, 1.0), NEAREST * near)
+                    words = _WORDS.findall(s.lower())
+                    if words and lang in half.names and (near := half.cosines([words])[0, half.names.index(lang)]):
+                        self.floor[lang] = min(self.floor.get(lang, 1.0), NEAREST * float(near))
 
     def dense(self, counts: Counter) -> np.ndarray:
         out = np.zeros(len(self.index))
@@ -95,49 +99,80 @@ class Centroids:
                 out[self.index[g]] = n * self.idf[self.index[g]]
         return out / max(float(np.linalg.norm(out)), 1e-12)
 
-    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The dot products of a word with all centroids, and its n-grams by number with their weights; kept, as words recur.
+    def number(self, word: str) -> int:
+        """The number of a word: its dot products with all centroids, and its n-grams by number with their weights, are kept under it, as words recur.
 
         N-grams that no sample has get numbers from a hash, beyond those of the index.
         """
-        if (got := self.seen.get(word)) is None:
-            counts = _word_grams(word)
-            known = [(self.index[g], n) for g, n in counts.items() if g in self.index]
-            i = np.array([k for k, _ in known], dtype=np.int64)
-            w = np.array([n for _, n in known], dtype=float) * self.idf[i] if known else np.zeros(0)
-            lost = [(len(self.index) + zlib.crc32(g.encode()), n * self.unseen) for g, n in counts.items() if g not in self.index]
-            got = (w @ self.matrix[i] if known else np.zeros(len(self.langs)), np.concatenate([i, np.array([k for k, _ in lost], dtype=np.int64)]), np.concatenate([w, np.array([x for _, x in lost])]))
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[word] = got
-        return got
+        counts = _word_grams(word)
+        known = [(self.index[g], n) for g, n in counts.items() if g in self.index]
+        lost = [(len(self.index) + zlib.crc32(g.encode()), n * self.unseen) for g, n in counts.items() if g not in self.index]
+        i = np.array([k for k, _ in known], dtype=np.int64)
+        w = np.array([n for _, n in known], dtype=float) * self.idf[i] if known else np.zeros(0)
+        row, end = len(self.seen), self.used + len(counts)
+        if row == len(self.first):
+            self.first, self.count, self.dots = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.count, self.dots))
+        while end > len(self.at):
+            self.at, self.weight = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.weight))
+        self.dots[row] = w @ self.matrix[i] if known else 0.0
+        self.at[self.used : end] = np.concatenate([i, np.array([k for k, _ in lost], dtype=np.int64)])
+        self.weight[self.used : end] = np.concatenate([w, np.array([x for _, x in lost])])
+        self.first[row], self.count[row], self.used = self.used, len(counts), end
+        self.seen[word] = row
+        return row
+
+    def forget(self) -> None:
+        """Starts anew with no words kept."""
+        self.seen: dict[str, int] = {}
+        self.used = 0
+        self.first, self.count, self.dots = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64), np.zeros((256, len(self.langs)))
+        self.at, self.weight = np.zeros(4096, dtype=np.int64), np.zeros(4096)
 
     def nearest(self, text: str) -> tuple[str | None, float]:
         """Language and confidence; None where every centroid is too far or two languages are about as near."""
-        ranked = sorted(self.cosines(_WORDS.findall(text.lower())).items(), key=lambda x: (-x[1], x[0]))
-        if not ranked:
-            return None, 0.0
-        lead = ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0.0)
-        sure = round(min(1.0, max(0.0, lead / max(ranked[0][1], 1e-9))), 4)
-        return (ranked[0][0] if ranked[0][1] >= self.floor.get(ranked[0][0], 0.0) and lead >= LEAD * ranked[0][1] else None), sure
-
-    def cosines(self, words: list[str]) -> dict[str, float]:
-        """Cosine with the nearest centroid of each language."""
-        if not words or not self.langs:
-            return {}
-        parts = [self.word(w) for w in words]
-        total = np.add.reduce([p[0] for p in parts])
-        # The length of the sum: equal n-grams of several words are added up before they are squared.
-        at, weight = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        order = at.argsort(kind="stable")
-        at, weight = at[order], weight[order]
-        sums = np.add.reduceat(weight, np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])))
-        cosine = (total / max(math.sqrt(float(sums @ sums)), 1e-12)).tolist()
-        best: dict[str, float] = {}
-        for lang, c in zip(self.langs, cosine):
-            if c > best.get(lang, -1.0):
-                best[lang] = c
-        return best
+        return self.nearest_all([_WORDS.findall(text.lower())])[0]
+
+    def nearest_all(self, texts: list[list[str]]) -> list[tuple[str | None, float]]:
+        """The same for several texts, given by their words in small letters."""
+        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
+        if not self.langs or not any(texts):
+            return out
+        best = self.cosines(texts)
+        first = best.argmax(axis=1)  # of equal ones the first by name
+        top = best[np.arange(len(best)), first]
+        second = np.zeros(len(best))
+        if len(self.names) > 1:
+            best[np.arange(len(best)), first] = -np.inf
+            second = best.max(axis=1)
+        for k, i, high, low in zip((k for k, words in enumerate(texts) if words), first.tolist(), top.tolist(), second.tolist()):
+            lang, lead = self.names[i], high - low
+            sure = round(min(1.0, max(0.0, lead / max(high, 1e-9))), 4)
+            out[k] = (lang if high >= self.floor.get(lang, 0.0) and lead >= LEAD * high else None, sure)
+        return out
+
+    def cosines(self, texts: list[list[str]]) -> np.ndarray:
+        """Cosine with the nearest centroid of each language in names, a row for each text that has words."""
+        texts = [words for words in texts if words]
+        if len(self.seen) > 100_000:
+            self.forget()
+        seen = self.seen
+        rows = np.array([self.number(w) if (row := seen.get(w)) is None else row for words in texts for w in words])
+        words = np.array([len(words) for words in texts])
+        begin = np.cumsum(words) - words
+        total = np.add.reduceat(self.dots[rows], begin, axis=0)
+        # The length of each sum: equal n-grams of several words of a text are added up before they are squared.
+        count = self.count[rows]
+        place = np.arange(count.sum()) + np.repeat(self.first[rows] - (np.cumsum(count) - count), count)
+        at, weight = self.at[place], self.weight[place]
+        own = np.add.reduceat(count, begin)
+        key = (np.repeat(np.arange(len(texts)), own) << 34) + at
+        order = key.argsort(kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums = np.add.reduceat(weight[order], starts)
+        ends = np.searchsorted(starts, np.cumsum(own)).tolist()
+        length = np.sqrt([float((x := sums[a:b]) @ x) for a, b in zip([0, *ends], ends)])
+        return np.maximum.reduceat(total / np.maximum(length, 1e-12)[:, None], self.bounds, axis=1)
 
 
 def _cluster(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -167,17 +202,23 @@ def size(text: str) -> float:
     return len(_WORDS.findall(_CJK.sub(" ", text))) + east / 3
 
 
-def judged_segments(body: str, model: Centroids) -> list[dict]:
-    """Sentences and lines of a body with language and confidence, and whether they are whole sentences.
+def judged_segments(body: str, model: Centroids, whole: bool = False) -> list[dict]:
+    """Sentences and lines of a body with language and confidence, and whether they are whole sentences; with whole, only those that are.
 
     What stands in quotation marks does not speak for its sentence. What is under SHORTEST words is too short to tell.
     """
-    out = []
-    for s in sentences(body):
-        bare = _QUOTED.sub(" ", s) if any(c in s for c in "“«„「『\"") else s
-        lang, sure = model.nearest(bare if size(bare) >= 3 else s)
-        out.append({"segment": s, "lang": lang if size(s) >= SHORTEST else None, "confidence": sure, "whole": is_whole(s)})
-    return out
+    found = sentences(body)
+    if whole:
+        found = [s for s in found if is_whole(s)]
+    sizes, spoken = [], []
+    for s in found:
+        words = _WORDS.findall(s.lower())
+        n = len(words) if s.isascii() else size(s)
+        sizes.append(n)
+        if not _QUOTES.isdisjoint(s) and (bare := _QUOTED.sub(" ", s)) != s and size(bare) >= 3:
+            words = _WORDS.findall(bare.lower())
+        spoken.append(words)
+    return [{"segment": s, "lang": lang if n >= SHORTEST else None, "confidence": sure, "whole": whole or is_whole(s)} for s, n, (lang, sure) in zip(found, sizes, model.nearest_all(spoken))]
 
 
 def fitted(samples: DataFrame) -> Centroids:
@@ -197,10 +238,10 @@ def language_segments(bodies: DataFrame, samples: DataFrame, *, texts: bool = Tr
     model = bodies.sparkSession.sparkContext.broadcast(fitted(samples))
 
     def run(body):
-        found = judged_segments(body, model.value) if body else []
+        found = judged_segments(body, model.value, whole=not texts) if body else []
         if texts:
             return found
-        found = [s for s in found if s["whole"] and s["lang"]]
+        found = [s for s in found if s["lang"]]
         return [{"segment": None, "lang": x, "confidence": max(s["confidence"] for s in found if s["lang"] == x), "whole": True} for x in dict.fromkeys(s["lang"] for s in found)]
 
     rows = bodies.select("render_id", arrow(run, SEGMENTS, "body").alias("segments"))

@@ -28,12 +28,12 @@ _END = re.compile(r"[.!?。！？…][)\]”’\"'»」』]*\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _COLUMNS = (re.compile(r"\t"), re.compile(r"\s*;\s*"), re.compile(r"\s*\|\s*"), re.compile(r" {2,}"), re.compile(r",\s+"))
 _FIGURE = re.compile(r"[\d.,%]+")
-_HEX = re.compile(r"(?<!\S)(?:[0-9a-f]{2}|[0-9a-f]{4}|[0-9a-f]{8,})(?!\S)")
-_MASH = re.compile(r"(?<!\S)[^\saeiouyà-ÿ]{5,}(?!\S)")
+_HEX = re.compile(r"[0-9a-f]{2}|[0-9a-f]{4}|[0-9a-f]{8,}")
 _DIGIT = re.compile(r"\d")
 _VOWEL = re.compile(r"[aeiouyà-ÿ]")
 _HANGUL = re.compile(r"[가-힣]")
 _CODE = re.compile(r"[{}=<>]|\);|;\s*(?:\n|$)|\bfunction\b|\bvar\b")
+_CODE_SIGNS, _HEX_SIGNS = frozenset("{}=<>;"), frozenset("0123456789abcdef")
 _KOREAN_END = re.compile(r"[다요까][.!?]?$|[은는이가을를에의로]$")
 _KANA_PARTICLE = re.compile(r"[のはをがにでと]")
 
@@ -80,6 +80,9 @@ def statistics(text: str | None, common: frozenset, block_count: int | None = No
     # Two words by turns, which need one of them to be a fourth of all.
     pairs = Counter(zip(words, words[1:])).most_common(1) if top and 5 * top[0][1] >= len(words) else []
     ends = sum(last)
+    frequent = sum(w in common for w in words)
+    # Signs of code are looked for where one of them can stand.
+    code = len(_CODE.findall(flat)) if not _CODE_SIGNS.isdisjoint(kinds) or "function" in flat or "var" in flat else 0
     return {
         "word_count": count, "mean_word_length": round(sum(map(len, latin)) / len(latin), 4) if latin else 0.0,
         "symbol_ratio": round(symbols / n, 4) if n else 0.0,
@@ -90,15 +93,15 @@ def statistics(text: str | None, common: frozenset, block_count: int | None = No
         "words_per_line": round(sum(per_line) / len(lines), 4) if lines else 0.0,
         "short_line_share": round(sum(p <= 6 and not e for p, e in zip(per_line, last)) / len(lines), 4) if lines else 0.0,
         "column_share": round(best, 4), "columns": columns,
-        "common_share": round(sum(w in common for w in words) / len(words), 4) if words else 0.0,
-        "function_share": round((sum(w in common for w in latin) + sum(bool(_KOREAN_END.search(w)) for w in korean)) / max(1, len(latin) + len(korean)), 4) if latin or korean else 0.0,
+        "common_share": round(frequent / len(words), 4) if words else 0.0,
+        "function_share": round(((sum(w in common for w in latin) if all_east else frequent) + sum(bool(_KOREAN_END.search(w)) for w in korean)) / max(1, len(latin) + len(korean)), 4) if latin or korean else 0.0,
         "particle_share": round(len(_KANA_PARTICLE.findall(flat)) / east, 4) if east else 0.0,
         "repeat_share": round(max(top[0][1] if top else 0, 2 * pairs[0][1] if pairs else 0) / len(words), 4) if len(words) >= 8 else 0.0,
-        "code_ratio": round(len(_CODE.findall(flat)) / n, 4) if n else 0.0,
+        "code_ratio": round(code / n, 4) if n else 0.0,
         "east_share": round(all_east / n, 4) if n else 0.0,
         "longest_word": max(map(len, tokens), default=0) if not east else 0,
-        "hex_share": round(len(_HEX.findall(flat)) / max(1, len(tokens)), 4),
-        "mash_share": round((sum(";" in w.strip(";") or len(w) > 4 and not _VOWEL.search(w) for w in map(str.lower, tokens)) if ";" in flat else len(_MASH.findall(flat.lower()))) / max(1, len(tokens)), 4),
+        "hex_share": round(sum(_HEX.fullmatch(w) is not None for w in tokens if w[0] in _HEX_SIGNS) / max(1, len(tokens)), 4),
+        "mash_share": round((sum(";" in w.strip(";") or len(w) > 4 and not _VOWEL.search(w) for w in map(str.lower, tokens)) if ";" in flat else sum(len(w) > 4 and not _VOWEL.search(w) for w in flat.lower().split())) / max(1, len(tokens)), 4),
         "block_count": block_count or 0,
     }
 

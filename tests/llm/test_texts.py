@@ -70,6 +70,23 @@ def test_short_sentences_are_segments_too(spark, data):
     assert [(g["segment"], g["lang"], g["whole"]) for g in got] == [("The boats lie at the old quay today.", "en", True), ("理由は簡単である。", "ja", True), ("Ja.", None, True), ("The harbour office measures the old boats of the town", "en", False)]
 
 
+def test_texts_together_are_judged_as_one_by_one(data, monkeypatch):
+    import pandas as pd
+
+    rows = pd.read_parquet(f"{data}/language_samples.parquet")
+    model = L.Centroids(list(zip(rows.lang, rows.text)))
+    body = "\n".join([*rows.text[::9], "A line without a stop", "Ja.", "“Eins, zwei” is what they said.", "...", "zxqv wprt kjhg."])
+    every = L.judged_segments(body, model)
+    assert [s["confidence"] for s in every] == [L.judged_segments(s["segment"], model)[0]["confidence"] for s in every]
+    asked = []
+    judge = model.nearest_all
+    monkeypatch.setattr(model, "nearest_all", lambda texts: asked.extend(texts) or judge(texts))
+    whole = [s for s in every if s["whole"]]
+    assert L.judged_segments(body, model, whole=True) == whole and len(asked) == len(whole) < len(every)
+    model.forget()
+    assert L.judged_segments(body, model) == every
+
+
 def test_corrected_languages(spark):
     seg = "render_id bigint, segments array<struct<segment:string,lang:string,confidence:double,whole:boolean>>"
     s = lambda *xs: [("t", x, 1.0, True) for x in xs] + [("a line", "pt", 1.0, False)]
