@@ -26,7 +26,8 @@ from .trees import Tree, fit_tree
 #: Pages whose blocks the tree is fitted on, and its depth.
 LABELLED_PAGES, DEPTH = 1500, 11
 
-_TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|([^<]+)", re.S)
+_MARKUP = re.compile(r"(<!--.*?-->|</?[a-zA-Z][^>]*>)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption".split())
 _INLINE = frozenset("a b i em strong span small u s code sub sup mark abbr time font q cite label".split())
@@ -36,69 +37,109 @@ _CLASS = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
 _MAIN_HINT = re.compile(r"\b(?:article|main|story|content|post|entry|body)\b", re.I)
 _NOISE_HINT = re.compile(r"nav|menu|footer|aside|sidebar|related|promo|consent|cookie|banner|share|social|advert|newsletter|breadcrumb|header|comment|subscribe", re.I)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
+#: Beyond ASCII, and outside the letters and signs of Latin, Korean and Japanese, which hold no digits.
+_FAR = re.compile(r"[^\x00-\x7FÀ-ɏ‐-‿぀-ヿ㐀-鿿가-힣]+")
 _END = re.compile(r"[.!?。！？…”»\"']\s*$")
 _TAGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 3, "p": 4, "li": 5, "td": 6, "th": 6}
 
 
+@lru_cache(maxsize=20_000)
+def _tag(markup: str) -> tuple[str, str, str] | None:
+    """What a tag does, its name, and the name of the box it opens; None for a comment."""
+    m = _TAG.match(markup)
+    if m is None:
+        return None
+    close, name, rest = m[1], m[2].lower(), m[3]
+    if name in _HIDDEN:
+        return ("show" if close else "hide"), name, ""
+    if name in _INLINE:
+        return ("inline end" if close else "inline"), name, ""
+    if name in _VOID or rest.endswith("/"):
+        return "void", name, ""
+    if close:
+        return "end", name, ""
+    named = " ".join(_CLASS.findall(rest))
+    if name in _LEAF:  # a paragraph with a class may hold others
+        return "leaf", name, named if name == "p" else ""
+    return "box", name, "" if name in _PLAIN else f"{name} {named}".strip()
+
+
 def leaves(html: str | None) -> list[tuple[str, str, int, int, str]]:
     """Text leaves of a page in order: (tag, text, characters inside links, box number, box name)."""
     out: list[tuple[str, str, int, int, str]] = []
     stack: list[tuple[str, int, str]] = []
-    boxes, parts, linked, hidden = 0, [], 0, 0
+    parts: list[str] = []
+    boxes = linked = hidden = links = 0
     tag = ""
+    markup = True
 
     def flush() -> None:
-        nonlocal parts, linked
         text = " ".join(html_lib.unescape("".join(parts)).split())
         if text:
-            box = next(((n, name) for t, n, name in reversed(stack) if n), (0, ""))
+            box = (0, "")
+            for _, n, name in reversed(stack):
+                if n:
+                    box = (n, name)
+                    break
             out.append((tag or "div", text, linked, *box))
-        parts, linked = [], 0
-
-    for m in _TOKEN.finditer(html or ""):
-        if m[4] is not None:
-            if not hidden:
-                parts.append(m[4])
-                if any(t == "a" for t, _, _ in stack):
-                    linked += len(m[4].strip())
+
+    for token in _MARKUP.split(html or ""):
+        markup = not markup
+        if not markup:
+            # Space alone adds nothing before the first text of a leaf; a "<" that begins no tag is dropped.
+            if hidden or not token or not parts and token.isspace():
+                continue
+            for part in token.split("<") if "<" in token else (token,):
+                parts.append(part)
+                if links:
+                    linked += len(part.strip())
             continue
-        if m[2] is None:
+        got = _tag(token)
+        if got is None:
             continue
-        name = m[2].lower()
-        if name in _HIDDEN:
-            hidden = max(0, hidden + (-1 if m[1] else 1))
+        what, name, label = got
+        if what == "inline":
+            stack.append((name, 0, ""))
+            links += name == "a"
             continue
-        if name in _INLINE:
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i]
-                        break
-            else:
-                stack.append((name, 0, ""))
+        if what == "inline end":
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    del stack[i]
+                    links -= name == "a"
+                    break
             continue
-        flush()
-        if name in _VOID or m[3].endswith("/"):
+        if what == "hide" or what == "show":
+            hidden = max(0, hidden + (1 if what == "hide" else -1))
             continue
-        if m[1]:
+        if parts:
+            flush()
+            parts.clear()
+            linked = 0
+        if what == "void":
+            continue
+        if what == "end":
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
+                    if links:
+                        links = sum(t == "a" for t, _, _ in stack)
+                    break
+            tag = ""
+            for t, _, _ in reversed(stack):
+                if t in _LEAF:
+                    tag = t
                     break
-            tag = next((t for t, n, _ in reversed(stack) if t in _LEAF), "")
             continue
-        number, label = 0, ""
-        named = " ".join(_CLASS.findall(m[3]))
-        if name in _LEAF:
+        if what == "leaf":
             tag = name
-            if name == "p" and named:  # a paragraph with a class may hold others
-                boxes += 1
-                number, label = boxes, named
-        elif name not in _PLAIN:
+        number = 0
+        if label:
             boxes += 1
-            number, label = boxes, f"{name} {named}".strip()
+            number = boxes
         stack.append((name, number, label))
-    flush()
+    if parts:
+        flush()
     return out
 
 
@@ -106,7 +147,14 @@ def words(text: str) -> float:
     """Words of a text; two East Asian characters count as one."""
     if text.isascii():
         return len(text.split())
-    return len(_CJK.sub(" ", text).split()) + len(_CJK.findall(text)) / 2
+    bare, east = _CJK.subn(" ", text)
+    return len(bare.split()) + east / 2
+
+
+def digits(text: str) -> int:
+    """Characters of a text that are digits, of any script and superscripts too."""
+    n = sum(map(text.count, "0123456789"))
+    return n if text.isascii() else n + sum(map(str.isdigit, "".join(_FAR.findall(text))))
 
 
 @lru_cache(maxsize=10_000)
@@ -124,14 +172,20 @@ def align(texts: list[str], found: list[tuple]) -> list[int]:
     norm = [t[1] for t in found]
     same: dict[str, list[int]] = {}
     alike: dict[str, list[int]] = {}
-    for j, t in enumerate(norm):
-        same.setdefault(t, []).append(j)
-        alike.setdefault(t[:_BEGINS], []).append(j)
-    short = [j for j, t in enumerate(norm) if len(t) < _BEGINS]
+    short: list[int] = []
     after = lambda js, at: js[i] if js and (i := bisect_left(js, at)) < len(js) else None
     out, at = [], 0
     for text in texts:
         want = " ".join((text or "").split())
+        if at < len(norm) and norm[at] == want:  # as next to always
+            out.append(at)
+            at += 1
+            continue
+        if not same:
+            for j, t in enumerate(norm):
+                same.setdefault(t, []).append(j)
+                alike.setdefault(t[:_BEGINS], []).append(j)
+            short = [j for j, t in enumerate(norm) if len(t) < _BEGINS]
         hit = after(same.get(want), at)
         if hit is None and want:
             if len(want) < _BEGINS:
@@ -153,10 +207,10 @@ NAMES = ["words", "link", "tag", "ends", "signs", "digits", "before_words", "bef
 HINTS = 2
 
 
-def block_rows(texts: list[str], html: str | None) -> np.ndarray:
-    """A row of numbers per text block."""
+def block_lists(texts: list[str], html: str | None) -> list[list[float]]:
+    """A row of numbers per text block, in the order of NAMES."""
     if not texts:
-        return np.zeros((0, len(NAMES)))
+        return []
     found = leaves(html)
     place = align(texts, found)
     n = len(texts)
@@ -167,38 +221,42 @@ def block_rows(texts: list[str], html: str | None) -> np.ndarray:
     for p in place:
         last = found[p][3] if p >= 0 else last
         box.append(last)
-    label = [found[p][4] if p >= 0 else "" for p in place]
-    order = list(dict.fromkeys(box))
-    index = {b: i for i, b in enumerate(order)}
-    inside = {b: [i for i in range(n) if box[i] == b] for b in order}
-    stat = {}
-    for b, rows in inside.items():
-        total = sum(w[i] for i in rows)
-        stat[b] = (len(rows), total, total / len(rows), sum(link[i] * w[i] for i in rows) / max(total, 1), max(w[i] for i in rows), sum(tag[i] in (2, 3) for i in rows), sum(tag[i] in (5, 6) for i in rows) / len(rows))
+    inside: dict[int, list[int]] = {}
+    for i, b in enumerate(box):
+        inside.setdefault(b, []).append(i)
+    order = list(inside)
+    stat = []
+    for rows in inside.values():
+        total = sum([w[i] for i in rows])
+        stat.append((len(rows), total, total / len(rows), sum([link[i] * w[i] for i in rows]) / max(total, 1), max([w[i] for i in rows]), sum([tag[i] in (2, 3) for i in rows]), sum([tag[i] in (5, 6) for i in rows]) / len(rows)))
     head = next((i for i in range(n) if tag[i] == 1), None)
+    headed = order.index(box[head]) if head is not None else -9
     none = (0.0, 0.0, 0.0)
-    out = np.zeros((n, len(NAMES)))
-    for i, text in enumerate(texts):
-        b = box[i]
-        k = index[b]
-        s = stat[b]
-        before, after = (stat[order[j]] if 0 <= j < len(order) else None for j in (k - 1, k + 1))
-        second, third = (stat[order[j]] if j >= 0 else (0, 0.0, 0.0, 0.0) for j in (k - 2, k - 3))
-        headed = index[box[head]] if head is not None else -9
-        distance = k - index[box[head]] if head is not None else 0
-        between = order[index[box[head]] + 1 : k] if head is not None and distance > 0 else []
-        out[i] = [
-            w[i], link[i], tag[i], float(bool(_END.search(text or ""))), (text or "").count("·") + (text or "").count("|"), sum(map(str.isdigit, text or "")),
-            w[i - 1] if i else -1, link[i - 1] if i else -1, w[i + 1] if i + 1 < n else -1, link[i + 1] if i + 1 < n else -1,
-            max(-6, min(6, distance)), float(head is not None), float(head is not None and b == box[head]), *s,
-            *((before[1], before[3], before[2]) if before else none), *((after[1], after[3], after[2]) if after else none),
-            min(k, 8), min(len(order) - 1 - k, 8), i / n, (n - 1 - i) / n, float(place[i] < 0), len(between), max((stat[x][2] for x in between), default=0.0),
-            second[1], second[2], float(headed == k - 2), second[3], third[1], float(headed == k - 3),
-            *hints(label[i]),
-        ]
+    out: list[list[float]] = [[]] * n
+    for k, rows in enumerate(inside.values()):
+        s = stat[k]
+        before, after = (stat[j] if 0 <= j < len(order) else None for j in (k - 1, k + 1))
+        second, third = (stat[j] if j >= 0 else (0, 0.0, 0.0, 0.0) for j in (k - 2, k - 3))
+        distance = k - headed if head is not None else 0
+        between = stat[headed + 1 : k] if head is not None and distance > 0 else []
+        # What all blocks of a box have in common.
+        own = [max(-6, min(6, distance)), float(head is not None), float(k == headed), *s, *((before[1], before[3], before[2]) if before else none), *((after[1], after[3], after[2]) if after else none), min(k, 8), min(len(order) - 1 - k, 8)]
+        gap = [len(between), max([x[2] for x in between], default=0.0), second[1], second[2], float(headed == k - 2), second[3], third[1], float(headed == k - 3)]
+        for i in rows:
+            text = texts[i] or ""
+            out[i] = [
+                w[i], link[i], tag[i], float(_END.search(text) is not None), text.count("·") + text.count("|"), digits(text),
+                w[i - 1] if i else -1, link[i - 1] if i else -1, w[i + 1] if i + 1 < n else -1, link[i + 1] if i + 1 < n else -1,
+                *own, i / n, (n - 1 - i) / n, float(place[i] < 0), *gap, *hints(found[place[i]][4] if place[i] >= 0 else ""),
+            ]
     return out
 
 
+def block_rows(texts: list[str], html: str | None) -> np.ndarray:
+    """The same as an array."""
+    return np.array(block_lists(texts, html), dtype=float) if texts else np.zeros((0, len(NAMES)))
+
+
 def labels(texts: list[str], html: str | None) -> list[int] | None:
     """1 for main by the names of the boxes, on a page that names them; None for a page that doesn't."""
     found = leaves(html)
@@ -244,7 +302,7 @@ def block_places() -> Column:
 
 def judge(tree: Tree, texts: list[str], html: str | None) -> list[bool]:
     """Whether each text block is main."""
-    return list(tree.predict(block_rows(texts, html)) >= 0) if len(texts) else []
+    return [tree.value_of(row) >= 0 for row in block_lists(texts, html)] if len(texts) else []
 
 
 def labelled_pages(renders: DataFrame, most: int = LABELLED_PAGES) -> list[tuple[list[str], str]]:

@@ -37,7 +37,7 @@ _SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?](?![\w])|[。！？]|\n|$)[\"
 _STOP = re.compile(r"[.!?。！？][\"”’»」』)]*\s*$")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
-_QUOTES = frozenset("“«„「『\"")
+_QUOTE = re.compile(r"[“«„「『\"]")
 _QUOTED = re.compile(r"[“«„「『\"][^”»“」』\"]{0,200}[”»“」』\"]")
 
 
@@ -150,16 +150,48 @@ class Centroids:
             out[k] = (lang if high >= self.floor.get(lang, 0.0) and lead >= LEAD * high else None, sure)
         return out
 
-    def cosines(self, texts: list[list[str]]) -> np.ndarray:
-        """Cosine with the nearest centroid of each language in names, a row for each text that has words."""
+    def spoken(self, texts: list[list[str]]) -> dict[str, float]:
+        """The languages that nearest_all gives to several texts, with the greatest confidence of each.
+
+        Confidence needs no length, as it is a share; the floor does. So the texts of a language are held against it by
+        falling confidence, and only until one passes.
+        """
         texts = [words for words in texts if words]
+        if not self.langs or not texts:
+            return {}
+        best = np.maximum.reduceat(self._sums(texts)[0], self.bounds, axis=1)
+        first = best.argmax(axis=1)
+        top = best[np.arange(len(best)), first]
+        best[np.arange(len(best)), first] = -np.inf if len(self.names) > 1 else 0.0
+        share = (top - best.max(axis=1)) / np.maximum(top, 1e-12)
+        out: dict[str, float] = {}
+        left = first.copy()
+        # What is as near to the lead as rounding goes is left to nearest_all, too.
+        for k in np.argsort(-share, kind="stable").tolist():
+            if left[k] < 0 or 0.0 < top[k] and share[k] < LEAD - 1e-9:
+                continue
+            lang, sure = self.nearest_all([texts[k]])[0]
+            if lang is not None:
+                out[lang] = max(sure, out.get(lang, 0.0))
+                left[left == first[k]] = -1
+        return out
+
+    def _sums(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Dot products of texts, each of which has words, with all centroids; the numbers of all words; how many each text has."""
         if len(self.seen) > 100_000:
             self.forget()
-        seen = self.seen
-        rows = np.array([self.number(w) if (row := seen.get(w)) is None else row for words in texts for w in words])
-        words = np.array([len(words) for words in texts])
+        flat = [w for words in texts for w in words]
+        found = list(map(self.seen.get, flat))
+        if None in found:
+            found = [self.number(w) if (row := self.seen.get(w)) is None else row for w in flat]
+        rows, words = np.array(found), np.array([len(words) for words in texts])
+        return np.add.reduceat(self.dots[rows], np.cumsum(words) - words, axis=0), rows, words
+
+    def cosines(self, texts: list[list[str]]) -> np.ndarray:
+        """Cosine with the nearest centroid of each language in names, a row for each text that has words."""
+        texts = [words for words in texts if words]
+        total, rows, words = self._sums(texts)
         begin = np.cumsum(words) - words
-        total = np.add.reduceat(self.dots[rows], begin, axis=0)
         # The length of each sum: equal n-grams of several words of a text are added up before they are squared.
         count = self.count[rows]
         place = np.arange(count.sum()) + np.repeat(self.first[rows] - (np.cumsum(count) - count), count)
@@ -202,6 +234,18 @@ def size(text: str) -> float:
     return len(_WORDS.findall(_CJK.sub(" ", text))) + east / 3
 
 
+def _speaking(found: list[str]) -> tuple[list[float], list[list[str]]]:
+    """The size of each sentence, and the words that speak for it: what stands in quotation marks does not."""
+    sizes, spoken = [], []
+    for s in found:
+        words = _WORDS.findall(s.lower())
+        sizes.append(len(words) if s.isascii() or _CJK.search(s) is None and "İ" not in s else size(s))
+        if _QUOTE.search(s) and (bare := _QUOTED.sub(" ", s)) != s and size(bare) >= 3:
+            words = _WORDS.findall(bare.lower())
+        spoken.append(words)
+    return sizes, spoken
+
+
 def judged_segments(body: str, model: Centroids, whole: bool = False) -> list[dict]:
     """Sentences and lines of a body with language and confidence, and whether they are whole sentences; with whole, only those that are.
 
@@ -210,17 +254,16 @@ def judged_segments(body: str, model: Centroids, whole: bool = False) -> list[di
     found = sentences(body)
     if whole:
         found = [s for s in found if is_whole(s)]
-    sizes, spoken = [], []
-    for s in found:
-        words = _WORDS.findall(s.lower())
-        n = len(words) if s.isascii() else size(s)
-        sizes.append(n)
-        if not _QUOTES.isdisjoint(s) and (bare := _QUOTED.sub(" ", s)) != s and size(bare) >= 3:
-            words = _WORDS.findall(bare.lower())
-        spoken.append(words)
+    sizes, spoken = _speaking(found)
     return [{"segment": s, "lang": lang if n >= SHORTEST else None, "confidence": sure, "whole": whole or is_whole(s)} for s, n, (lang, sure) in zip(found, sizes, model.nearest_all(spoken))]
 
 
+def spoken_languages(body: str, model: Centroids) -> dict[str, float]:
+    """The languages of the whole sentences of a body, with the greatest confidence of each: what judged_segments says, without its segments."""
+    sizes, spoken = _speaking([s for s in sentences(body) if is_whole(s)])
+    return model.spoken([words for n, words in zip(sizes, spoken) if n >= SHORTEST])
+
+
 def fitted(samples: DataFrame) -> Centroids:
     rows = samples.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").distinct()
     return Centroids([(r["lang"], r["text"]) for r in bounded_sample(rows, MOST_SAMPLES, samples.count(), "lang", "text")])
@@ -238,11 +281,9 @@ def language_segments(bodies: DataFrame, samples: DataFrame, *, texts: bool = Tr
     model = bodies.sparkSession.sparkContext.broadcast(fitted(samples))
 
     def run(body):
-        found = judged_segments(body, model.value, whole=not texts) if body else []
         if texts:
-            return found
-        found = [s for s in found if s["lang"]]
-        return [{"segment": None, "lang": x, "confidence": max(s["confidence"] for s in found if s["lang"] == x), "whole": True} for x in dict.fromkeys(s["lang"] for s in found)]
+            return judged_segments(body, model.value) if body else []
+        return [{"segment": None, "lang": x, "confidence": sure, "whole": True} for x, sure in sorted(spoken_languages(body, model.value).items())] if body else []
 
     rows = bodies.select("render_id", arrow(run, SEGMENTS, "body").alias("segments"))
     return rows.dropDuplicates(["render_id"]) if texts else rows.groupBy("render_id").agg(F.max("segments").alias("segments"))

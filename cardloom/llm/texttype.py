@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .boilerplate import block_texts, fitted_tree, judge
-from .common import arrow, materialise, table
+from .common import Kept, arrow, materialise, table
 from .residue import residue_values
 
 TYPES = ("prose", "list", "table", "junk")
@@ -36,6 +36,22 @@ _CODE = re.compile(r"[{}=<>]|\);|;\s*(?:\n|$)|\bfunction\b|\bvar\b")
 _CODE_SIGNS, _HEX_SIGNS = frozenset("{}=<>;"), frozenset("0123456789abcdef")
 _KOREAN_END = re.compile(r"[다요까][.!?]?$|[은는이가을를에의로]$")
 _KANA_PARTICLE = re.compile(r"[のはをがにでと]")
+#: Words and tokens of which is kept what the statistics ask of them.
+MOST_KEPT = 200_000
+
+
+def _token(w: str) -> int:
+    """1 for a token of hexadecimal digits, and 1 << 32 for one that is mashed keys."""
+    low = w.lower()
+    mashed = ";" in low.strip(";") or len(low) > 4 and not _VOWEL.search(low)
+    return (w[0] in _HEX_SIGNS and _HEX.fullmatch(w) is not None) + (mashed << 32)
+
+
+_tokens = Kept(_token)
+_kana_han = Kept(lambda w: _KANA_HAN.search(w) is not None)
+_east = Kept(lambda w: _CJK.search(w) is not None)
+_hangul = Kept(lambda w: _HANGUL.search(w) is not None)
+_korean_end = Kept(lambda w: _KOREAN_END.search(w) is not None)
 
 
 def statistics(text: str | None, common: frozenset, block_count: int | None = None) -> dict:
@@ -60,11 +76,14 @@ def statistics(text: str | None, common: frozenset, block_count: int | None = No
             figures += k
         elif not (c.isalnum() or c.isspace()):
             symbols += k
-    count = len([w for w in words if not _KANA_HAN.search(w)]) + east // 2 if east else len(words)
-    latin = [w for w in words if not _CJK.search(w)] if all_east else words
-    korean = [w for w in words if _HANGUL.search(w)] if all_east else []
+    for kept in (_tokens, _kana_han, _east, _hangul, _korean_end):
+        kept.clear_beyond(MOST_KEPT)
+    count = len(words) - sum(map(_kana_han.__getitem__, words)) + east // 2 if east else len(words)
+    latin = [w for w in words if not _east[w]] if all_east else words
+    korean = [w for w in words if _hangul[w]] if all_east else []
     per_line = [len(w) + (len(_KANA_HAN.findall(x)) / 2 if east else 0) for w, x in zip(spelled, lines)]
     tokens = flat.split()
+    odd = sum(map(_tokens.__getitem__, tokens))
     last = [bool(_END.search(x)) for x in lines]
     columns = best = 0.0
     numbered = [(x, x.strip()) for x in lines if _DIGIT.search(x)] if figures else []
@@ -76,11 +95,11 @@ def statistics(text: str | None, common: frozenset, block_count: int | None = No
         good = sum((len(c) >= 3 or len(c) == 2 and _FIGURE.fullmatch(c[1].strip()) is not None) and any(len(y.strip()) < 12 and any(ch.isdigit() for ch in y) for y in c[1:]) for c in cells)
         if good / len(lines) > best:
             best, columns = good / len(lines), float(Counter(map(len, cells)).most_common(1)[0][0])
-    top = Counter(words).most_common(1)
+    top = max(Counter(words).values(), default=0)
     # Two words by turns, which need one of them to be a fourth of all.
-    pairs = Counter(zip(words, words[1:])).most_common(1) if top and 5 * top[0][1] >= len(words) else []
+    pairs = max(Counter(zip(words, words[1:])).values(), default=0) if 5 * top >= len(words) else 0
     ends = sum(last)
-    frequent = sum(w in common for w in words)
+    frequent = sum(map(common.__contains__, words))
     # Signs of code are looked for where one of them can stand.
     code = len(_CODE.findall(flat)) if not _CODE_SIGNS.isdisjoint(kinds) or "function" in flat or "var" in flat else 0
     return {
@@ -94,14 +113,14 @@ def statistics(text: str | None, common: frozenset, block_count: int | None = No
         "short_line_share": round(sum(p <= 6 and not e for p, e in zip(per_line, last)) / len(lines), 4) if lines else 0.0,
         "column_share": round(best, 4), "columns": columns,
         "common_share": round(frequent / len(words), 4) if words else 0.0,
-        "function_share": round(((sum(w in common for w in latin) if all_east else frequent) + sum(bool(_KOREAN_END.search(w)) for w in korean)) / max(1, len(latin) + len(korean)), 4) if latin or korean else 0.0,
+        "function_share": round(((sum(map(common.__contains__, latin)) if all_east else frequent) + sum(map(_korean_end.__getitem__, korean))) / max(1, len(latin) + len(korean)), 4) if latin or korean else 0.0,
         "particle_share": round(len(_KANA_PARTICLE.findall(flat)) / east, 4) if east else 0.0,
-        "repeat_share": round(max(top[0][1] if top else 0, 2 * pairs[0][1] if pairs else 0) / len(words), 4) if len(words) >= 8 else 0.0,
+        "repeat_share": round(max(top, 2 * pairs) / len(words), 4) if len(words) >= 8 else 0.0,
         "code_ratio": round(code / n, 4) if n else 0.0,
         "east_share": round(all_east / n, 4) if n else 0.0,
         "longest_word": max(map(len, tokens), default=0) if not east else 0,
-        "hex_share": round(sum(_HEX.fullmatch(w) is not None for w in tokens if w[0] in _HEX_SIGNS) / max(1, len(tokens)), 4),
-        "mash_share": round((sum(";" in w.strip(";") or len(w) > 4 and not _VOWEL.search(w) for w in map(str.lower, tokens)) if ";" in flat else sum(len(w) > 4 and not _VOWEL.search(w) for w in flat.lower().split())) / max(1, len(tokens)), 4),
+        "hex_share": round((odd & 0xFFFFFFFF) / max(1, len(tokens)), 4),
+        "mash_share": round((odd >> 32) / max(1, len(tokens)), 4),
         "block_count": block_count or 0,
     }
 

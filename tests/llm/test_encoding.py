@@ -64,3 +64,17 @@ def test_lattice_reads_lost_bytes():
     shown = E.CHANNELS["utf-8 as cp1252, bytes lost"]
     word = "".join(map(shown, "古い波止場"))
     assert lattice.read(word, E.NAMES.index("utf-8 as cp1252, bytes lost"))[0][1] == "古い波止場"
+
+
+def test_tally_is_that_of_single_characters_and_words():
+    from collections import Counter
+
+    import pandas as pd
+
+    texts = ["Ã© b\tc\r\nÃ©.", "&eacute;t&eacute; x&amp;y", "caf\ufffd, “č”\u3000z", "plain", "\ud83d\ude00 \ud800", "日本 の"]
+    got, none = E._tally(iter([pd.DataFrame({"__text": texts}), pd.DataFrame({"__text": []})]))
+    assert none.empty
+    assert dict(zip(got.key[got.char], got.n[got.char])) == Counter("".join(texts))
+    assert dict(zip(got.key[~got.char], got.n[~got.char])) == Counter(w for t in texts for w in E.split_words(t) if E._ODD.search(w))
+    lossy = E.CHANNELS[E.LOSSY]
+    assert [E.shape(w) for w in ("café", "naïve“", "č", "plain", "caf\ufffd")] == ["".join(map(lossy, "café")), "".join(map(lossy, "naïve“")), None, None, None]

@@ -109,3 +109,14 @@ def test_long_and_empty_texts(spark):
 
 def test_empty_tables(spark):
     assert found(spark, [], []) == {}
+
+
+def test_lines_together_score_as_one_by_one(monkeypatch):
+    model = N.Notices([R.masked(x) for x in ORDINARY])
+    lines = [*map(R.masked, [*UNLISTED, *ORDINARY]), "", "...", "0 12 0", "$ $", "“no access” is what they said", "ja ja ja", "日本語の文 0"]
+    words = [N.words_of(x) for x in lines]
+    want = [model.score(x, w) for x, w in zip(lines, words)]
+    assert model.scores(lines, words) == pytest.approx(want, abs=1e-12) and model.scores([], []) == []
+    for name, value in (("AT_ONCE", 10), ("LONG", 6), ("MOST_WORDS", 1)):
+        monkeypatch.setattr(N, name, value)
+        assert model.scores(lines, words) == pytest.approx(want, abs=1e-12)

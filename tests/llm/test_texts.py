@@ -35,6 +35,20 @@ def test_tree_on_held_out_pages_without_names(data):
     assert right / total > 0.96
 
 
+def test_single_rows_take_the_same_way_down(data):
+    pages = labelled(data)
+    tree = B.fit(pages[::2])
+    for texts, html in [*pages[1::2], (["a", "", "日本 12 ²"], None), ([], "<p>x")]:
+        assert B.judge(tree, texts, html) == list(tree.predict(B.block_rows(texts, html)) >= 0)
+
+
+def test_leaves_of_odd_markup():
+    html = "\n<DIV class=' '>one <!-- <p> -->&amp; 1 < 2<a href='/x'>\n link<b> x</b></a></p><script>var a</script><p\nid=q>two</Div/> three<1></p><!-- <p>end"
+    assert B.leaves(html) == [("div", "one & 1 2 link x", 5, 1, "div"), ("p", "two", 0, 2, "q"), ("p", "three1>", 0, 2, "q"), ("div", "!--", 0, 1, "div"), ("p", "end", 0, 1, "div")]
+    assert B.leaves(None) == B.leaves("") == []
+    assert [B.digits(t) for t in ("a1 22", "日本 12 ²", "٣é", "")] == [3, 3, 1, 0]
+
+
 def test_boilerplate_edges(spark):
     html = '<div class="top-menu"><p>Home</p></div><article><h1>Boats</h1><p>A long sentence about boats and tides, which goes on.</p></article>'
     full = [block("Home"), block(None, "image"), block("Boats"), block("A long sentence about boats and tides, which goes on.")]
@@ -87,6 +101,27 @@ def test_texts_together_are_judged_as_one_by_one(data, monkeypatch):
     assert L.judged_segments(body, model) == every
 
 
+def test_languages_of_a_body_need_few_lengths(data, monkeypatch):
+    import pandas as pd
+
+    rows = pd.read_parquet(f"{data}/language_samples.parquet")
+    model = L.Centroids(list(zip(rows.lang, rows.text)))
+    asked = []
+    judge = model.cosines
+    for body in ("\n".join(rows.text), "\n".join([*rows.text[:20], "Ja.", "zxqv wprt kjhg.", "...", "A line without a stop", "“Eins, zwei” is what they said."]), "Zxqv wprt kjhg.", "Ja.", "İ. Ä ö. 1.", ""):
+        want = {}
+        whole = [s for s in L.judged_segments(body, model) if s["whole"]]
+        for s in whole:
+            if s["lang"]:
+                want[s["lang"]] = max(s["confidence"], want.get(s["lang"], 0.0))
+        monkeypatch.setattr(model, "cosines", lambda texts: asked.extend(texts) or judge(texts))
+        assert L.spoken_languages(body, model) == want
+        monkeypatch.undo()
+        assert len(asked) <= max(1, len(whole) // 5) + len(want)
+        asked.clear()
+    assert L.spoken_languages("One two three.", L.Centroids([])) == {}
+
+
 def test_corrected_languages(spark):
     seg = "render_id bigint, segments array<struct<segment:string,lang:string,confidence:double,whole:boolean>>"
     s = lambda *xs: [("t", x, 1.0, True) for x in xs] + [("a line", "pt", 1.0, False)]
